@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["text", "chunking"]
+FAMILIES = ["text", "chunking", "vectors", "retrieval"]
 
 
 def collect() -> tuple[dict, dict]:
