@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["text", "chunking", "vectors", "retrieval"]
+FAMILIES = ["text", "chunking", "vectors", "retrieval", "lifecycle", "chat", "evaluate", "sets", "streams"]
 
 
 def collect() -> tuple[dict, dict]:

@@ -123,33 +123,27 @@ def _(spark, d):
     return R.skip_rerank(asked).select("conv_id", "turn", "skip")
 
 
-# Each query keeps its first 2 to 20 candidates, so that every candidate count occurs.
-VARIED = f"{HYBRID}, varied as (select * from hybrid where place <= query_id % 19 + 2)"
-BALANCED = f"""{VARIED},
+BALANCED = f"""{HYBRID},
 counted as (select *, count(*) over (partition by query_id) as n,
-            row_number() over (partition by query_id order by similarity desc, place) as by_sim from varied),
+            row_number() over (partition by query_id order by similarity desc, place) as by_sim from hybrid),
 planned as (select *, case when n > 3 and n % 3 <> 0 and n % 2 <> 0 then 1 else 0 end as gone,
             case when n <= 3 then 1 when n % 3 = 0 then 3 when n % 2 = 0 then 2 when (n - 1) % 3 = 0 then 3 else 2 end as threads from counted),
 balanced as (select query_id, chunk_id, similarity, case when gone > 0 then by_sim else place end as place, n - gone as n, threads
              from planned where by_sim <= n - gone)"""
 
 
-def varied(spark, d):
-    return found(spark, d).filter(F.col("place") <= F.col("query_id") % 19 + 2)
-
-
 @check("r7_balance_candidates", f"with {BALANCED} select {COLS}, place, n, threads::bigint as threads from balanced")
 def _(spark, d):
-    return shown(R.balance_candidates(varied(spark, d)))
+    return shown(R.balance_candidates(found(spark, d)))
 
 
 @check(
     "r8_score_batches",
-    f"""with {VARIED}, s as (select *, count(*) over (partition by query_id) as n, row_number() over (partition by query_id order by place) - 1 as i from varied)
+    f"""with {HYBRID}, s as (select *, count(*) over (partition by query_id) as n, row_number() over (partition by query_id order by place) - 1 as i from hybrid)
     select {COLS}, place, i // (case when n <= 8 then n when n <= 16 then 8 else 16 end) as batch from s""",
 )
 def _(spark, d):
-    return shown(R.score_batches(varied(spark, d)))
+    return shown(R.score_batches(found(spark, d)))
 
 
 BM25 = f"""terms as (select h.kb_id, h.chunk_id, {Q.words('lower(chunk_text)')} as ts from held h),

@@ -77,10 +77,11 @@ def _(spark, d):
 @check(
     "e7_resize_dct",
     f"""with {VECS}, x as (select vec_id, d, unnest(range(d)) as i, unnest(v) as x from vecs),
-    coeff as (select vec_id, d, k, sum(x * cos(pi() * (2 * i + 1) * k / (2.0 * d))) * sqrt(case when k = 0 then 1.0 else 2.0 end / d) as c
-              from x join (select unnest(range(64)) as k) on true group by all),
-    back as (select vec_id, j, sum(c * sqrt(case when k = 0 then 1.0 else 2.0 end / 96) * cos(pi() * (2 * j + 1) * k / 192.0)) as y
-             from coeff join (select unnest(range(96)) as j) on true group by all),
+    dots as (select vec_id, d, k, sum(x * cos(pi() * (2 * i + 1) * k / (2.0 * d))) as c
+             from x join (select unnest(range(64)) as k) on true group by all),
+    coeff as (select vec_id, k, c * sqrt(case when k = 0 then 1.0 else 2.0 end / d) as c from dots),
+    back as (select vec_id, j, sum(c * sqrt((case when k = 0 then 1.0 else 2.0 end) / 96) * cos(pi() * (2 * j + 1) * k / 192.0)) as y
+             from coeff join (select unnest(range(96)) as j) on true group by vec_id, j),
     size as (select vec_id, sqrt(sum(y * y)) as n from back group by all),
     own as (select vec_id, {NORM.format('v')} as n from vecs)
     select vec_id, j as i, round(y * own.n / size.n, 6) + 0.0 as x from back join size using (vec_id) join own using (vec_id)""",

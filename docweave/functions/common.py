@@ -22,5 +22,10 @@ def empty(kind: str) -> Column:
     return F.expr(f"cast(array() as {kind})")
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is exactly one JSON value; parsers alone let trailing characters pass."""
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
+
+
 def append(items: Column, item: Column) -> Column:
     return F.concat(items, F.array(item))

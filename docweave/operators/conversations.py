@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.functions.common import append
+from docweave.functions.common import append, is_json
 from docweave.operators.numbering import top_per_key
 
 # The note added to the summary, and how many questions a memory keeps.
@@ -156,4 +156,4 @@ def extract_json(reply: Column) -> Column:
     """The JSON inside a fenced block, or the whole reply; NULL when it does not parse."""
     fenced = F.regexp_extract(reply, r"```(?:json)?\s*([\s\S]*?)\s*```", 1)
     body = F.when(reply.rlike(r"```(?:json)?\s*[\s\S]*?\s*```"), fenced).otherwise(reply)
-    return F.when(F.try_parse_json(body).isNotNull(), body)
+    return F.when(is_json(body), body)

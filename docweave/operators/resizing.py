@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docweave.functions.vectors import cosine
@@ -71,5 +72,5 @@ def best_per_method(results: DataFrame) -> DataFrame:
 def method_distribution(decisions: DataFrame) -> DataFrame:
     """How often each method was chosen, and its share of all decisions."""
     counts = decisions.groupBy("method").agg(F.count(F.lit(1)).alias("selections"))
-    total = counts.agg(F.sum("selections").alias("total"))
-    return counts.join(F.broadcast(total)).select("method", "selections", (F.col("selections") / F.col("total")).alias("share"))
+    every_method = W.partitionBy()  # one row per method by now
+    return counts.withColumn("share", F.col("selections") / F.sum("selections").over(every_method))

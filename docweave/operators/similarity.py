@@ -168,7 +168,7 @@ def similarity_profile(sentences: DataFrame) -> DataFrame:
         .agg(
             F.min("sim").alias("sim_min"),
             F.max("sim").alias("sim_max"),
-            F.round(F.sum(F.col("sim") * F.col("pairs")) / F.sum("pairs"), 8).alias("sim_mean"),
+            (F.sum(F.col("sim") * F.col("pairs")) / F.sum("pairs")).alias("sim_mean"),
             quartiles.alias("q"),
         )
         .select(
