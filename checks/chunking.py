@@ -11,14 +11,14 @@ from docweave.operators import clusters as G
 from docweave.operators import similarity as M
 from docweave.operators.sentences import prepared
 from docweave.plans.semantic import ChunkingConfig, semantic_chunks
-from docweave.sources.readers import load
+from docweave.sources.readers import load, load_texts
 
 QUERIES, ORACLES = {}, {}
 check = registrar(QUERIES, ORACLES)
 
 
 def docs(spark, d):
-    return load(spark, d, "documents").select("doc_id", "text")
+    return load_texts(spark, d, "documents", "doc_id", "text")
 
 
 def sentences(spark, d):
@@ -348,7 +348,7 @@ rows_ as (select doc_id, p1, p2, unnest(range(1, len(ps) + 1)) as i, unnest(ps)
     select doc_id, chunk, string_agg(piece, ' ' order by i) as text from g group by doc_id, chunk""",
 )
 def _(spark, d):
-    rows = load(spark, d, "documents").select(
+    rows = load_texts(spark, d, "documents").select(
         "doc_id",
         paragraphs(F.col("text")).alias("pieces"),
         F.array(F.col("n_chars") % 5 + 1, F.col("n_chars") % 7 + 6).alias("points"),

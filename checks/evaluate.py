@@ -8,7 +8,7 @@ from checks.retrieval import SEMANTIC, store
 from docweave.operators import evaluation as V
 from docweave.operators import retrieval as R
 from docweave.plans.evaluate import evaluate
-from docweave.sources.readers import load
+from docweave.sources.readers import load, load_texts
 
 QUERIES, ORACLES = {}, {}
 check = registrar(QUERIES, ORACLES)
@@ -100,7 +100,7 @@ def _(spark, d):
 
 # Answers are the turns of a conversation, the truth is the turn before.
 def answers(spark, d):
-    rows = load(spark, d, "conversations").select("conv_id", "turn", "text")
+    rows = load_texts(spark, d, "conversations", "conv_id", "turn", "text")
     before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("truth"))
     key = (F.col("conv_id") * 1000 + F.col("turn")).alias("id")
     return rows.join(before, ["conv_id", "turn"]).select(key, F.col("text").alias("answer"), "truth")

@@ -7,7 +7,7 @@ from checks.registry import registrar
 from docweave.functions import text as T
 from docweave.operators import configs as G
 from docweave.operators import datasets as D
-from docweave.sources.readers import load
+from docweave.sources.readers import load, load_texts
 
 QUERIES, ORACLES = {}, {}
 check = registrar(QUERIES, ORACLES)
@@ -127,7 +127,7 @@ def _(spark, d):
 
 # A paper per document: five paragraphs to a section; a question per paragraph, the last one without an answer.
 def papers(spark, d):
-    paras = load(spark, d, "documents").select("doc_id", "source", T.paragraphs(F.col("text")).alias("p"))
+    paras = load_texts(spark, d, "documents").select("doc_id", "source", T.paragraphs(F.col("text")).alias("p"))
     rows = paras.filter(F.size("p") > 0)
     starts = F.sequence(F.lit(0), F.floor((F.size("p") - 1) / 5).cast("int"))
     first_word = lambda x: F.get(T.words(x), F.lit(0))

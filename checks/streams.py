@@ -35,7 +35,8 @@ def stored(d, name):
 )
 def _(spark, d):
     target = scratch_path(spark, "ingested")
-    W.ingest_stream(spark, stored(d, "documents"), target, scratch_path(spark, "offsets")).awaitTermination()
+    tasks = spark.sparkContext.defaultParallelism
+    W.ingest_stream(spark, stored(d, "documents"), target, scratch_path(spark, "offsets"), tasks=tasks).awaitTermination()
     return spark.read.parquet(target).withColumn("keywords", F.array_join("keywords", "|"))
 
 

@@ -9,14 +9,14 @@ from docweave.functions import text as T
 from docweave.operators import sentences as S
 from docweave.session import scratch_path
 from docweave.sources import readers, writers
-from docweave.sources.readers import load
+from docweave.sources.readers import load, load_texts
 
 QUERIES, ORACLES = {}, {}
 check = registrar(QUERIES, ORACLES)
 
 
 def docs(spark, d):
-    return load(spark, d, "documents")
+    return load_texts(spark, d, "documents")
 
 
 @check("s1_load", "select doc_id, lang, source, n_chars from documents")
@@ -128,7 +128,7 @@ def _(spark, d):
 
 @check("t5_html_to_text", f"select page_id, {Q.html_text('html')} as content from pages")
 def _(spark, d):
-    return load(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("content"))
+    return load_texts(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("content"))
 
 
 def source_records(spark, d):

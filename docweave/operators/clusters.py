@@ -25,7 +25,16 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         edges.select("doc_id", F.col("b").alias("a"), F.col("a").alias("b"))
     )
     both = checkpointed(both)
-    roots = checkpointed(nodes.select("doc_id", "pos", F.col("pos").alias("root")))
+    touched = both.select("doc_id", F.col("a").alias("pos")).distinct()
+    roots = _settle(checkpointed(touched.withColumn("root", F.col("pos"))), both)
+    joined = nodes.select("doc_id", "pos").join(roots, ["doc_id", "pos"], "left")
+    return joined.withColumn("root", F.coalesce("root", "pos"))
+
+
+def _settle(roots: DataFrame, both: DataFrame) -> DataFrame:
+    """Rounds over the sentences that have an edge."""
+    if roots.isEmpty():
+        return roots
     for _ in range(MAX_ROUNDS):
         offered = (
             both.join(roots.withColumnRenamed("pos", "a"), ["doc_id", "a"])
@@ -81,7 +90,7 @@ def cluster_density(
     """
     samples = min_samples if min_samples else max(1, min_cluster_size // 2)
     epsilon = 1 - threshold
-    close = sparse_cosine(sentences, 1 - epsilon * epsilon / 2)
+    close = checkpointed(sparse_cosine(sentences, 1 - epsilon * epsilon / 2))
     firsts = distinct_sentences(sentences).filter("pos = first").select("doc_id", "pos", "copies")
     per_side = close.select("doc_id", F.col("a").alias("pos"), F.col("copies_b").alias("near")).unionByName(
         close.select("doc_id", F.col("b").alias("pos"), F.col("copies_a").alias("near"))

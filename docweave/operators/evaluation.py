@@ -105,6 +105,65 @@ def ndcg(
     return _per_question(questions, scored, "ndcg")
 
 
+def ranking_metrics(questions: DataFrame, retrieved: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
+    """Count of results and all ranking metrics per question, in one pass over the pairs.
+
+    Each pair counts once for its result and once for its relevant text; both sides are then summed together.
+    """
+    sim = F.round(F.coalesce(cosine(F.col("vector"), F.col("rel_vector")), F.lit(0.0)), 9)
+    pairs = retrieved.join(relevant, "question_id", "left").select("question_id", "rank", "rel_id", sim.alias("sim"))
+    result = F.struct(F.lit(0).alias("side"), F.col("rank").cast("long").alias("key"))
+    text = F.struct(F.lit(1).alias("side"), F.col("rel_id").cast("long").alias("key"))
+    first = F.col("key")
+    per_key = (
+        pairs.select("question_id", "rank", "sim", F.explode(F.array(result, text)).alias("of"))
+        .select("question_id", "rank", "sim", "of.*")
+        .groupBy("question_id", "side", "key")
+        .agg(
+            F.max(F.col("sim") > 0.5).alias("hit"),
+            F.min(F.when(F.col("sim") > 0.3, F.col("rank"))).alias("rank_3"),
+            F.min(F.when(F.col("sim") > 0.2, F.col("rank"))).alias("rank_2"),
+        )
+    )
+    is_result, is_text = F.col("side") == 0, (F.col("side") == 1) & F.col("key").isNotNull()
+    hit = is_result & F.coalesce("hit", F.lit(False))
+    hit_at_k = hit & (first <= k)
+    n = F.count_if(is_text)
+    ideal = F.aggregate(
+        F.sequence(F.lit(1), F.greatest(F.least(F.col("n"), F.lit(k)), F.lit(1)).cast("int")),
+        F.lit(0.0),
+        lambda s, i: s + 1.0 / F.log2(i + 1.0),
+    )
+
+    def recall(rank, at):
+        return F.count_if(is_text & (F.col(rank) <= at))
+
+    sums = per_key.groupBy("question_id").agg(
+        F.count_if(is_result).alias("retrieved_contexts_count"),
+        n.alias("n"),
+        (F.count_if(hit_at_k) / k).alias("precision_at_k"),
+        F.min(F.when(hit, first)).alias("first_hit"),
+        F.sum(F.when(hit_at_k, 1.0 / F.log2(first + 1.0)).otherwise(0.0)).alias("dcg"),
+        recall("rank_3", k).alias("r_k"),
+        *[recall("rank_2", i).alias(f"r_{i}") for i in range(1, 6)],
+    )
+
+    def share(name):
+        return F.when(F.col("n") > 0, F.col(name) / F.col("n"))
+
+    metrics = sums.select(
+        "question_id",
+        "retrieved_contexts_count",
+        "precision_at_k",
+        share("r_k").alias("recall_at_k"),
+        *[share(f"r_{i}").alias(f"recall_at_{i}") for i in range(1, 6)],
+        (1.0 / F.col("first_hit")).alias("mrr"),
+        (F.col("dcg") / ideal).alias("ndcg"),
+    )
+    joined = questions.select("question_id").join(metrics, "question_id", "left")
+    return joined.fillna(0, [c for c in metrics.columns if c != "question_id"])
+
+
 # --- text metrics: rows (id, answer, truth) -------------------------------------------------------------
 
 

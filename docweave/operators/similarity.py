@@ -1,6 +1,6 @@
 """TF-IDF vectors of sentences, fitted per document, and similarities inside a document.
 
-Everything is keyed by doc_id and shares one exchange on it.  Quadratic work (the whole similarity matrix,
+Everything is keyed by doc_id and shares one exchange on it.  Quadratic work (similar pairs, the whole matrix,
 nearest sentence) runs in square tiles of a document, which spread over tasks and give back only what was
 asked for; it never turns into rows for all pairs.
 """
@@ -14,28 +14,42 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docweave.functions.text import tokens
+from docweave.operators.tiles import all_pairs_places, map_tiles, two_sided_places
 
-TILE = 512
 
+def _same_text():
+    """Sentences of a document that read the same; the hash makes most comparisons of the sort cheap."""
+    return W.partitionBy("doc_id", F.xxhash64("sentence"), "sentence")
 
-def sentence_weights(sentences: DataFrame) -> DataFrame:
-    """(doc_id, pos, n, token, df, w): L2-normalised TF-IDF weights, n sentences in the document.
 
-    idf is ln((1 + n) / (1 + df)) + 1.  A sentence without tokens keeps one row with a NULL token and w = 0.
+def sentence_weights(sentences: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, pos, n, token, tok, w, *keep): L2-normalised TF-IDF weights, n sentences in the document.
+
+    idf is ln((1 + n) / (1 + df)) + 1 and tok numbers the tokens of a document.  A sentence without tokens keeps
+    one row with a NULL token, tok = -1 and w = 0.  ``keep`` names sentence columns that travel along.
     """
     per_doc = W.partitionBy("doc_id")
     counted = sentences.repartition("doc_id").withColumn("n", F.count(F.lit(1)).over(per_doc))
+    return _weights(counted, *keep)
+
+
+def _weights(counted: DataFrame, *keep: str) -> DataFrame:
+    """Weights of sentences that carry n and are laid out by doc_id."""
+    per_sentence = ["doc_id", "pos", "n", *keep]
     tf = (
-        counted.select("doc_id", "pos", "n", F.explode_outer(tokens(F.col("sentence"))).alias("token"))
-        .groupBy("doc_id", "pos", "n", "token")
+        counted.select(*per_sentence, F.explode_outer(tokens(F.col("sentence"))).alias("token"))
+        .groupBy(*per_sentence, "token")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     idf = F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1.0
-    raw = tf.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("doc_id", "token"))).withColumn(
-        "w", F.when(F.col("token").isNull(), 0.0).otherwise(F.col("tf") * idf)
+    number = F.dense_rank().over(W.partitionBy("doc_id").orderBy("token"))
+    raw = (
+        tf.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("doc_id", "token")))
+        .withColumn("tok", F.when(F.col("token").isNull(), -1).otherwise(number))
+        .withColumn("w", F.when(F.col("token").isNull(), 0.0).otherwise(F.col("tf") * idf))
     )
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc_id", "pos")))
-    return raw.withColumn("w", F.when(length > 0, F.col("w") / length).otherwise(0.0)).drop("tf")
+    return raw.withColumn("w", F.when(length > 0, F.col("w") / length).otherwise(0.0)).drop("tf", "df")
 
 
 def tfidf(sentences: DataFrame) -> DataFrame:
@@ -55,107 +69,58 @@ def adjacent_similarity(sentences: DataFrame) -> DataFrame:
     )
 
 
-def sentence_vectors(sentences: DataFrame) -> DataFrame:
-    """(doc_id, pos, n, tokens, ws): each sentence vector as two arrays of the sentence's own size."""
-    entry = F.when(F.col("token").isNotNull(), F.struct("token", "w"))
-    return (
-        sentence_weights(sentences)
-        .groupBy("doc_id", "pos", "n")
-        .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-        .select("doc_id", "pos", "n", F.col("entries.token").alias("tokens"), F.col("entries.w").alias("ws"))
-    )
-
-
 def distinct_sentences(sentences: DataFrame) -> DataFrame:
     """(doc_id, pos, first, copies): every sentence with the first position that reads the same."""
-    same = W.partitionBy("doc_id", "sentence")
     return sentences.repartition("doc_id").select(
-        "doc_id", "pos", F.min("pos").over(same).alias("first"), F.count(F.lit(1)).over(same).alias("copies")
+        "doc_id", "pos", F.min("pos").over(_same_text()).alias("first"), F.count(F.lit(1)).over(_same_text()).alias("copies")
     )
 
 
 def sparse_cosine(sentences: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, a, b, sim, copies_a, copies_b) for distinct sentences a < b of a document, sim >= threshold > 0.
 
-    Sentences that read the same are compared once, with their number of copies.  Candidates come from a join
-    on rare tokens only: with unit vectors and tokens ordered from rare to common, two sentences that reach the
-    threshold share a token in front of the tail whose norm is below it.
+    Sentences that read the same are compared once, with their number of copies, so a document of repeated
+    lines gives back few pairs.
     """
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
-    firsts = distinct_sentences(sentences).filter("pos = first").select("doc_id", "pos", "copies")
-    weights = sentence_weights(sentences).filter("token is not null").join(firsts, ["doc_id", "pos"])
-    rare_first = W.partitionBy("doc_id", "pos").orderBy(F.desc("df"), F.desc("token"))
-    tail = F.sqrt(F.sum(F.col("w") * F.col("w")).over(rare_first.rowsBetween(W.unboundedPreceding, 0)))
-    index = weights.withColumn("tail", tail).filter(F.col("tail") >= threshold - 1e-9).select("doc_id", "token", "pos")
-    left, right = index.withColumnRenamed("pos", "a"), index.withColumnRenamed("pos", "b")
-    pairs = left.join(right, ["doc_id", "token"]).filter("a < b").select("doc_id", "a", "b").distinct()
-
-    vectors = weights.groupBy("doc_id", "pos", "copies").agg(
-        F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("v")
+    marked = sentences.repartition("doc_id").select(
+        "doc_id",
+        "pos",
+        "sentence",
+        F.count(F.lit(1)).over(W.partitionBy("doc_id")).alias("n"),
+        F.min("pos").over(_same_text()).alias("first"),
+        F.count(F.lit(1)).over(_same_text()).alias("copies"),
     )
+    rows = _weights(marked, "first", "copies").filter("pos = first")
 
-    def side(name):
-        return vectors.select(
-            "doc_id", F.col("pos").alias(name), F.col("v").alias(f"v_{name}"), F.col("copies").alias(f"copies_{name}")
-        )
+    def close(key, row, col, sims):
+        sims = np.round(sims, 9)
+        i, j = np.nonzero((sims >= threshold) & (row.pos[:, None] < col.pos[None, :]))
+        found = {"a": row.pos[i], "b": col.pos[j], "sim": sims[i, j]}
+        return pd.DataFrame({"doc_id": key[0], **found, "copies_a": row.copies[i], "copies_b": col.copies[j]})
 
-    shared = F.aggregate(
-        F.map_entries("v_a"),
-        F.lit(0.0),
-        lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(F.col("v_b"), e["key"]), F.lit(0.0)),
-    )
-    return (
-        pairs.join(side("a"), ["doc_id", "a"])
-        .join(side("b"), ["doc_id", "b"])
-        .withColumn("sim", F.round(shared, 9))
-        .filter(F.col("sim") >= threshold)
-        .select("doc_id", "a", "b", "sim", "copies_a", "copies_b")
-    )
+    places = all_pairs_places(F.col("pos"), F.col("n"))
+    return map_tiles(rows, places, True, close, "doc_id long, a long, b long, sim double, copies_a long, copies_b long")
 
 
 def pairwise_similarity(sentences: DataFrame, threshold: float = 0.3) -> DataFrame:
     return sparse_cosine(sentences, threshold)
 
 
-def _dense(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Two blocks of sparse sentence vectors as matrices over the tokens of both."""
-    both = pd.concat([left, right])
-    flat = [t for ts in both["tokens"] for t in ts]
-    codes, names = pd.factorize(np.array(flat, dtype=object)) if flat else (np.array([], int), [])
-    rows = np.repeat(np.arange(len(both)), [len(ts) for ts in both["tokens"]])
-    out = np.zeros((len(both), max(len(names), 1)))
-    out[rows, codes] = np.concatenate([np.asarray(w, float) for w in both["ws"]]) if flat else 0.0
-    return out[: len(left)], out[len(left) :]
-
-
-def _tiles(vectors: DataFrame, role: str, symmetric: bool) -> DataFrame:
-    """Send each sentence to the tiles of its document it belongs to, as row block or as column block."""
-    block = F.floor(F.col("pos") / TILE).cast("int")
-    last = F.floor((F.col("n") - 1) / TILE).cast("int")
-    others = F.sequence(F.lit(0), last)
-    if symmetric:
-        others = F.sequence(block, last) if role == "row" else F.sequence(F.lit(0), block)
-    own, other = ("ti", "tj") if role == "row" else ("tj", "ti")
-    kept = [F.col(c).alias(c) for c in ("doc_id", "pos", "tokens", "ws")]
-    return vectors.select(*kept, block.alias(own), F.explode(others).alias(other))
-
-
 def similarity_histogram(sentences: DataFrame) -> DataFrame:
     """(doc_id, sim, pairs): how often each similarity (6 places) below 0.999 occurs in the whole matrix."""
-    vectors = sentence_vectors(sentences)
 
-    def count_tile(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = _dense(left, right)
-        sims, pairs = np.unique(np.round(rows @ cols.T, 6), return_counts=True)
-        keep = sims < 0.999
+    def count(key, row, col, sims):
+        values, pairs = np.unique(np.round(sims, 6), return_counts=True)
+        keep = values < 0.999
         both = 1 if key[1] == key[2] else 2
-        return pd.DataFrame({"doc_id": key[0], "sim": sims[keep] + 0.0, "pairs": pairs[keep] * both})
+        return pd.DataFrame({"doc_id": key[0], "sim": values[keep] + 0.0, "pairs": pairs[keep] * both})
 
-    keys = ["doc_id", "ti", "tj"]
-    rows = _tiles(vectors, "row", True).groupBy(*keys)
-    cols = _tiles(vectors, "col", True).groupBy(*keys)
-    counted = rows.cogroup(cols).applyInPandas(count_tile, "doc_id long, sim double, pairs long")
+    places = all_pairs_places(F.col("pos"), F.col("n"))
+    counted = map_tiles(
+        sentence_weights(sentences), places, True, count, "doc_id long, sim double, pairs long"
+    )
     return counted.groupBy("doc_id", "sim").agg(F.sum("pairs").alias("pairs"))
 
 
@@ -185,29 +150,16 @@ def similarity_profile(sentences: DataFrame) -> DataFrame:
 
 def nearest_member(labelled: DataFrame) -> DataFrame:
     """(doc_id, pos, near_pos): for each outlier (label -1) its most similar sentence with a label, lowest first."""
-    vectors = sentence_vectors(labelled.select("doc_id", "pos", "sentence")).join(
-        labelled.select("doc_id", "pos", "label"), ["doc_id", "pos"]
-    )
+    side = F.when(F.col("label") == -1, 0).otherwise(1)
+    rows = sentence_weights(labelled.select("doc_id", "pos", "sentence", side.alias("side")), "side")
 
-    def best_in_tile(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"doc_id": [], "pos": [], "sim": [], "near_pos": []})
-        right = right.sort_values("pos")
-        rows, cols = _dense(left, right)
-        sims = np.round(rows @ cols.T, 9)
-        best = sims.argmax(axis=1)
-        return pd.DataFrame(
-            {
-                "doc_id": key[0],
-                "pos": left["pos"].to_numpy(),
-                "sim": sims[np.arange(len(left)), best],
-                "near_pos": right["pos"].to_numpy()[best],
-            }
-        )
+    def best(key, row, col, sims):
+        sims = np.round(sims, 9)
+        at = sims.argmax(axis=1)
+        near = {"pos": row.pos, "sim": sims[np.arange(len(at)), at], "near_pos": col.pos[at]}
+        return pd.DataFrame({"doc_id": key[0], **near})
 
-    keys = ["doc_id", "ti", "tj"]
-    outliers = _tiles(vectors.filter("label = -1"), "row", False).groupBy(*keys)
-    members = _tiles(vectors.filter("label <> -1"), "col", False).groupBy(*keys)
-    found = outliers.cogroup(members).applyInPandas(best_in_tile, "doc_id long, pos long, sim double, near_pos long")
+    places = two_sided_places(F.col("pos"), F.col("n"), F.col("side"))
+    found = map_tiles(rows, places, False, best, "doc_id long, pos long, sim double, near_pos long")
     nearest = F.max(F.struct(F.col("sim"), (-F.col("near_pos")).alias("neg")))
     return found.groupBy("doc_id", "pos").agg((-nearest["neg"]).alias("near_pos"))

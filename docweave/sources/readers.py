@@ -11,6 +11,21 @@ def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input out to all cores before heavy work per row.
+
+    An input with at least as many splits as cores, as any large one, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def load_texts(spark: SparkSession, directory: str, name: str, *cols: str) -> DataFrame:
+    """A stored table of texts, only the given columns, spread over the cores."""
+    df = load(spark, directory, name)
+    return spread(df.select(*cols) if cols else df)
+
+
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): UTF-8 where the bytes are valid UTF-8, Latin-1 otherwise."""
     raw = spark.read.format("binaryFile").load(path)

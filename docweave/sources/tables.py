@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from docweave.functions.keywords import keywords
 from docweave.functions.vectors import as_double
-from docweave.sources.readers import load
+from docweave.sources.readers import load, load_texts
 
 CHUNKS_PER_DOCUMENT = 4
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """One chunk per stored text, four to a document; some have no embedding yet, toxic ones are deleted."""
-    texts = load(spark, d, "documents")
+    texts = load_texts(spark, d, "documents", "doc_id", "text")
     vectors = load(spark, d, "embeddings").select(
         F.col("vec_id").alias("doc_id"), as_double(F.col("embedding")).alias("embedding"), "label"
     )

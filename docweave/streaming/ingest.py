@@ -24,14 +24,24 @@ def window_chunks(docs: DataFrame, size: int = 64, overlap: int = 16) -> DataFra
 
 
 def ingest_stream(
-    spark: SparkSession, source: str, target: str, checkpoint: str, size: int = 64, overlap: int = 16
+    spark: SparkSession,
+    source: str,
+    target: str,
+    checkpoint: str,
+    size: int = 64,
+    overlap: int = 16,
+    tasks: int | None = None,
 ) -> StreamingQuery:
-    """Chunk documents that arrive as parquet under ``source`` and append them to ``target``, each exactly once."""
+    """Chunk documents that arrive as parquet under ``source`` and append them to ``target``, each exactly once.
+
+    ``tasks`` deals the rows of a batch out, for sources that deliver few files with many documents.
+    """
     docs = (
         spark.readStream.schema(DOCUMENT_SCHEMA).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(source)
     )
+    dealt = docs.repartition(tasks) if tasks else docs
     return (
-        window_chunks(docs, size, overlap)
+        window_chunks(dealt, size, overlap)
         .writeStream.format("parquet")
         .option("path", target)
         .option("checkpointLocation", checkpoint)
