@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,50 +22,67 @@ def _same_text():
     return W.partitionBy("doc_id", F.xxhash64("sentence"), "sentence")
 
 
-def sentence_weights(sentences: DataFrame, *keep: str) -> DataFrame:
-    """(doc_id, pos, n, token, tok, w, *keep): L2-normalised TF-IDF weights, n sentences in the document.
-
-    idf is ln((1 + n) / (1 + df)) + 1 and tok numbers the tokens of a document.  A sentence without tokens keeps
-    one row with a NULL token, tok = -1 and w = 0.  ``keep`` names sentence columns that travel along.
-    """
-    per_doc = W.partitionBy("doc_id")
-    counted = sentences.repartition("doc_id").withColumn("n", F.count(F.lit(1)).over(per_doc))
-    return _weights(counted, *keep)
+def _counted(sentences: DataFrame, *keep: str) -> DataFrame:
+    """Sentences laid out by doc_id with n, the number of sentences of the document."""
+    laid_out = sentences.select("doc_id", "pos", "sentence", *keep).repartition("doc_id")
+    return laid_out.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("doc_id")))
 
 
-def _weights(counted: DataFrame, *keep: str) -> DataFrame:
-    """Weights of sentences that carry n and are laid out by doc_id."""
+def _term_counts(counted: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, pos, n, *keep, token, tf); a sentence without tokens keeps one row with a NULL token."""
     per_sentence = ["doc_id", "pos", "n", *keep]
-    tf = (
+    return (
         counted.select(*per_sentence, F.explode_outer(tokens(F.col("sentence"))).alias("token"))
         .groupBy(*per_sentence, "token")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    idf = F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1.0
+
+
+def _idf() -> Column:
+    """ln((1 + n) / (1 + df)) + 1, 0 without a token; needs n and token."""
+    df = F.count(F.lit(1)).over(W.partitionBy("doc_id", "token"))
+    idf = F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + df)) + 1.0
+    return F.when(F.col("token").isNull(), 0.0).otherwise(idf)
+
+
+def raw_weights(counted: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, pos, n, *keep, token, tok, w): TF-IDF before scaling; tok numbers the tokens of a document.
+
+    Document frequency and token number come from one sort by document and token.
+    """
     number = F.dense_rank().over(W.partitionBy("doc_id").orderBy("token"))
-    raw = (
-        tf.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("doc_id", "token")))
-        .withColumn("tok", F.when(F.col("token").isNull(), -1).otherwise(number))
-        .withColumn("w", F.when(F.col("token").isNull(), 0.0).otherwise(F.col("tf") * idf))
-    )
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc_id", "pos")))
-    return raw.withColumn("w", F.when(length > 0, F.col("w") / length).otherwise(0.0)).drop("tf", "df")
+    tf = _term_counts(counted, *keep).withColumn("idf", _idf()).withColumn("number", number)
+    tok = F.when(F.col("token").isNull(), -1).otherwise(F.col("number"))
+    return tf.select("doc_id", "pos", "n", *keep, "token", tok.alias("tok"), (F.col("tf") * F.col("idf")).alias("w"))
 
 
 def tfidf(sentences: DataFrame) -> DataFrame:
-    return sentence_weights(sentences).filter("token is not null").select("doc_id", "pos", "token", "w")
+    """(doc_id, pos, token, w): TF-IDF weights fitted per document, each sentence scaled to length 1."""
+    raw = raw_weights(_counted(sentences)).filter("token is not null")
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc_id", "pos")))
+    return raw.withColumn("w", F.col("w") / length).select("doc_id", "pos", "token", "w")
 
 
 def adjacent_similarity(sentences: DataFrame) -> DataFrame:
-    """(doc_id, pos, sim) of each sentence with the one before it, from position 1 on."""
-    weights = sentence_weights(sentences)
-    follows = W.partitionBy("doc_id", "token").orderBy("pos")
-    prev = weights.withColumn("prev_pos", F.lag("pos").over(follows)).withColumn("prev_w", F.lag("w").over(follows))
-    both = F.when((F.col("prev_pos") == F.col("pos") - 1) & F.col("token").isNotNull(), F.col("w") * F.col("prev_w"))
-    return (
-        prev.filter("pos > 0")
+    """(doc_id, pos, sim) of each sentence with the one before it, from position 1 on.
+
+    A token row meets its predecessor in the sort that also counts document frequencies; products and squares
+    are summed per sentence, and lengths divided out at the end.
+    """
+    by_token = W.partitionBy("doc_id", "token").orderBy("pos")
+    tf = _term_counts(_counted(sentences))
+    linked = tf.withColumn("prev_pos", F.lag("pos").over(by_token)).withColumn("prev_tf", F.lag("tf").over(by_token))
+    idf2 = F.pow("idf", F.lit(2.0))
+    product = F.when(F.col("prev_pos") == F.col("pos") - 1, F.col("tf") * F.col("prev_tf") * idf2).otherwise(0.0)
+    sums = (
+        linked.withColumn("idf", _idf())
         .groupBy("doc_id", "pos")
-        .agg(F.round(F.coalesce(F.sum(both), F.lit(0.0)), 9).alias("sim"))
+        .agg(F.sum(product).alias("dot"), F.sum(F.col("tf") * F.col("tf") * idf2).alias("squares"))
+    )
+    scale = F.sqrt(F.col("squares")) * F.sqrt(F.lag("squares").over(W.partitionBy("doc_id").orderBy("pos")))
+    sims = sums.withColumn("scale", scale).filter("pos > 0")
+    return sims.select(
+        "doc_id", "pos", F.when(F.col("scale") > 0, F.round(F.col("dot") / F.col("scale"), 9)).otherwise(0.0).alias("sim")
     )
 
 
@@ -84,15 +101,9 @@ def sparse_cosine(sentences: DataFrame, threshold: float) -> DataFrame:
     """
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
-    marked = sentences.repartition("doc_id").select(
-        "doc_id",
-        "pos",
-        "sentence",
-        F.count(F.lit(1)).over(W.partitionBy("doc_id")).alias("n"),
-        F.min("pos").over(_same_text()).alias("first"),
-        F.count(F.lit(1)).over(_same_text()).alias("copies"),
-    )
-    rows = _weights(marked, "first", "copies").filter("pos = first")
+    copies = F.count(F.lit(1)).over(_same_text()).alias("copies")
+    marked = _counted(sentences).select("*", F.min("pos").over(_same_text()).alias("first"), copies)
+    rows = raw_weights(marked, "first", "copies").filter("pos = first")
 
     def close(key, row, col, sims):
         sims = np.round(sims, 9)
@@ -119,7 +130,7 @@ def similarity_histogram(sentences: DataFrame) -> DataFrame:
 
     places = all_pairs_places(F.col("pos"), F.col("n"))
     counted = map_tiles(
-        sentence_weights(sentences), places, True, count, "doc_id long, sim double, pairs long"
+        raw_weights(_counted(sentences)), places, True, count, "doc_id long, sim double, pairs long"
     )
     return counted.groupBy("doc_id", "sim").agg(F.sum("pairs").alias("pairs"))
 
@@ -151,7 +162,7 @@ def similarity_profile(sentences: DataFrame) -> DataFrame:
 def nearest_member(labelled: DataFrame) -> DataFrame:
     """(doc_id, pos, near_pos): for each outlier (label -1) its most similar sentence with a label, lowest first."""
     side = F.when(F.col("label") == -1, 0).otherwise(1)
-    rows = sentence_weights(labelled.select("doc_id", "pos", "sentence", side.alias("side")), "side")
+    rows = raw_weights(_counted(labelled.withColumn("side", side), "side"), "side")
 
     def best(key, row, col, sims):
         sims = np.round(sims, 9)

@@ -1,6 +1,6 @@
 """Square tiles of a document's similarity matrix, worked through one after another inside tasks.
 
-Rows are token weights (doc_id, pos, tok, w).  They are sent to the tiles their sentence belongs to and sorted
+Rows are token weights (doc_id, pos, tok, w), not yet scaled.  They are sent to the tiles their sentence belongs to and sorted
 by tile; a task then reads its tiles as a stream and holds one at a time, so many small documents cost no
 per-group overhead and a large one spreads over as many tasks as it has tiles.
 """
@@ -47,7 +47,7 @@ def two_sided_places(pos: Column, n: Column, role: Column) -> Column:
 
 
 class Side(NamedTuple):
-    """Sentences on one side of a tile: positions, numbers of copies and dense vectors."""
+    """Sentences on one side of a tile: positions, numbers of copies and dense vectors of length 1."""
 
     pos: np.ndarray
     copies: np.ndarray
@@ -60,6 +60,8 @@ def _side(part: dict[str, np.ndarray], chosen: np.ndarray, tok: np.ndarray, n_to
     vectors = np.zeros((len(pos), max(n_tok, 1)))
     has = tok[chosen] >= 0
     vectors[row[has], tok[chosen][has]] = part["w"][chosen][has]
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    np.divide(vectors, length, out=vectors, where=length > 0)
     return Side(pos, part["copies"][chosen][first], vectors)
 
 
@@ -113,4 +115,4 @@ def map_tiles(rows: DataFrame, places: Column, symmetric: bool, reduce_tile: Cal
         if out:
             yield pd.concat(out, ignore_index=True)
 
-    return sent.repartition(*KEYS).sortWithinPartitions(*KEYS, "role", "pos").mapInPandas(run, schema)
+    return sent.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInPandas(run, schema)
