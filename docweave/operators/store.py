@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.operators.numbering import top_per_key
 
+SALTS = 64
 DEFAULT_SEPARATOR = "\n\n---\n\n"
 
 
@@ -170,12 +171,15 @@ def rollup_descriptions(documents: DataFrame, max_chars: int = 20_000, sep: str
     """(kb_id, text): descriptions of the live documents of a base joined by id, cut to ``max_chars``.
 
     Every description adds at least one character and a separator, so only so many of the first documents of a
-    base can show in the cut text; the rest is left out before anything is gathered.
+    base can show in the cut text; the rest is left out before anything is gathered.  A base is first cut in
+    ``SALTS`` parts, so that a large one is not sorted by one task.
     """
     live = documents.filter("not is_deleted").filter(F.coalesce("description", F.lit("")) != "")
     enough = max_chars // (len(sep) + 1) + 1
     short = live.select("kb_id", "document_id", F.substring("description", 1, max_chars).alias("description"))
-    first = top_per_key(short, ["kb_id"], ["document_id"], enough, "_n")
+    salted = short.withColumn("_salt", F.pmod(F.xxhash64("document_id"), F.lit(SALTS)))
+    part = top_per_key(salted, ["kb_id", "_salt"], ["document_id"], enough, "_n").drop("_n")
+    first = top_per_key(part, ["kb_id"], ["document_id"], enough, "_n")
     lists = first.groupBy("kb_id").agg(F.sort_array(F.collect_list(F.struct("document_id", "description"))).alias("items"))
     return lists.select("kb_id", F.substring(F.array_join("items.description", sep), 1, max_chars).alias("text"))
 

@@ -52,7 +52,11 @@ def ingest_stream(
 
 
 def dedupe_stream(log: DataFrame, ttl_seconds: int, key: str = "key", ts: str = "ts") -> DataFrame:
-    """First row per key; the key is held for the time to live, counted from that row."""
+    """First row per key.
+
+    A key is held for the time to live counted from that row, and until the watermark, which runs the same time
+    behind the newest row, has passed it; after that the key counts as new.
+    """
     return log.withWatermark(ts, f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark([key])
 
 
