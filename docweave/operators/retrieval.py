@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions.text import strip, words
 from docweave.operators.numbering import top_per_key
+from docweave.session import broadcast_if_small
 
 # Rows per side of one scoring tile.
 CHUNK_TILE = 16_384
@@ -36,10 +37,17 @@ def live_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return chunks.filter("not is_deleted").join(live, "document_id")
 
 
-def _in_tiles(df: DataFrame, id_col: str, tile: int) -> DataFrame:
-    """Spread the rows of each base over numbered tiles of about ``tile`` rows."""
-    sizes = df.groupBy("kb_id").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    return df.join(sizes, "kb_id").withColumn("tile", F.pmod(F.xxhash64(id_col), F.col("tiles")).cast("int"))
+def _tile_counts(df: DataFrame, tile: int, name: str) -> DataFrame:
+    """(kb_id, <name>): tiles of about ``tile`` rows needed for each base."""
+    return df.groupBy("kb_id").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(name))
+
+
+def _own_tile(id_col: str, tiles: str) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.col(tiles)).cast("int")
+
+
+def _every_tile(tiles: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(tiles) - 1))
 
 
 def _score_tile(k: int):
@@ -75,21 +83,20 @@ def vector_topk(queries: DataFrame, held: DataFrame, k: int) -> DataFrame:
     a vector come last, and only the first ``k`` of a base can matter.
     """
     with_vector = held.filter("embedding is not null").select("kb_id", "chunk_id", "embedding")
-    c = _in_tiles(with_vector, "chunk_id", CHUNK_TILE).withColumnRenamed("tiles", "c_tiles")
-    q = _in_tiles(queries.select("kb_id", "query_id", "vector"), "query_id", QUERY_TILE)
-    q_sizes = queries.groupBy("kb_id").agg(F.ceil(F.count(F.lit(1)) / QUERY_TILE).cast("int").alias("q_tiles"))
-    c_sizes = with_vector.groupBy("kb_id").agg(F.ceil(F.count(F.lit(1)) / CHUNK_TILE).cast("int").alias("c_tiles"))
-    c_rows = c.join(q_sizes, "kb_id").select(
+    counts = broadcast_if_small(
+        _tile_counts(with_vector, CHUNK_TILE, "c_tiles").join(_tile_counts(queries, QUERY_TILE, "q_tiles"), "kb_id")
+    )
+    c_rows = with_vector.join(counts, "kb_id").select(
         F.col("kb_id").alias("kb"),
-        F.col("tile").alias("ct"),
-        F.explode(F.sequence(F.lit(0), F.col("q_tiles") - 1)).alias("qt"),
+        _own_tile("chunk_id", "c_tiles").alias("ct"),
+        _every_tile("q_tiles").alias("qt"),
         F.col("chunk_id").alias("chunk_id"),
         F.col("embedding").alias("embedding"),
     )
-    q_rows = q.join(c_sizes, "kb_id").select(
+    q_rows = queries.join(counts, "kb_id").select(
         F.col("kb_id").alias("kb"),
-        F.explode(F.sequence(F.lit(0), F.col("c_tiles") - 1)).alias("ct"),
-        F.col("tile").alias("qt"),
+        _every_tile("c_tiles").alias("ct"),
+        _own_tile("query_id", "q_tiles").alias("qt"),
         F.col("query_id").alias("query_id"),
         F.col("vector").alias("vector"),
     )
@@ -136,11 +143,13 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, documents: DataFrame,
 
 def hybrid(semantic: DataFrame, keyword: DataFrame) -> DataFrame:
     """(query_id, chunk_id, similarity, place): semantic rows, then keyword rows with a new chunk."""
-    first = semantic.select("query_id", "chunk_id", "similarity", F.lit(0).alias("list"), "rank")
-    fresh = keyword.join(semantic.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    both = first.unionByName(fresh.select("query_id", "chunk_id", "similarity", F.lit(1).alias("list"), "rank"))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy("list", "rank"))
-    return both.withColumn("place", place).drop("list", "rank")
+    cols = ["query_id", "chunk_id"]
+    both = semantic.select(*cols, F.struct(F.lit(0).alias("list"), "rank", "similarity").alias("hit")).unionByName(
+        keyword.select(*cols, F.struct(F.lit(1).alias("list"), "rank", "similarity").alias("hit"))
+    )
+    once = both.groupBy(*cols).agg(F.min("hit").alias("hit"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("hit"))
+    return once.select(*cols, F.col("hit.similarity").alias("similarity"), place.alias("place"))
 
 
 def top_chunks(hits: DataFrame, k: int = 10) -> DataFrame:
@@ -181,18 +190,22 @@ def balance_plan(n: Column) -> tuple[Column, Column]:
 
 
 def balance_candidates(hits: DataFrame) -> DataFrame:
-    """Drop the least similar candidate of a query where the count asks for it; adds n (kept) and threads."""
+    """Drop the least similar candidate of a query where the count asks for it; adds n (kept) and threads.
+
+    The remaining candidates of such a query are placed by similarity.  Queries flagged in an optional ``skip``
+    column are left alone.
+    """
     per_query = W.partitionBy("query_id")
     counted = hits.withColumn("n", F.count(F.lit(1)).over(per_query)).withColumn(
         "by_sim", F.row_number().over(per_query.orderBy(F.desc("similarity"), "place"))
     )
     threads, dropped = balance_plan(F.col("n"))
+    if "skip" in hits.columns:
+        dropped = F.when(F.col("skip"), 0).otherwise(dropped)
     planned = counted.withColumn("threads", threads).withColumn("dropped", dropped)
     kept = planned.filter(F.col("by_sim") <= F.col("n") - F.col("dropped"))
     place = F.when(F.col("dropped") > 0, F.col("by_sim")).otherwise(F.col("place"))
-    return kept.select(
-        "query_id", "chunk_id", "similarity", place.alias("place"), (F.col("n") - F.col("dropped")).alias("n"), "threads"
-    )
+    return kept.withColumn("place", place).withColumn("n", F.col("n") - F.col("dropped")).drop("by_sim", "dropped")
 
 
 def batch_size(n: Column) -> Column:

@@ -44,11 +44,8 @@ def retrieve(
         return R.top_chunks(found, cfg.max_chunks).select("query_id", "chunk_id", "similarity", "rank")
     counted = found.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("query_id")))
     flagged = R.skip_rerank(counted.join(queries.select("query_id", "query_text"), "query_id"))
-    kept = flagged.filter("skip").withColumn("rerank_score", F.lit(None).cast("double"))
-    balanced = R.balance_candidates(flagged.filter("not skip").select("query_id", "chunk_id", "similarity", "place"))
-    scored = balanced.join(scores, ["query_id", "chunk_id"], "left")
-    cols = ["query_id", "chunk_id", "similarity", "place", "rerank_score"]
-    ranked = R.rerank(kept.select(*cols).unionByName(scored.select(*cols)), cfg.max_chunks)
+    scored = R.balance_candidates(flagged.drop("n", "query_text")).join(scores, ["query_id", "chunk_id"], "left")
+    ranked = R.rerank(scored.withColumn("rerank_score", F.when(~F.col("skip"), F.col("rerank_score"))), cfg.max_chunks)
     return ranked.select("query_id", "chunk_id", "similarity", "rank")
 
 

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# A table of keys and counts up to this many rows is sent to every executor (a few megabytes).
+BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +36,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Materialise a table of narrow rows and mark it for broadcast if it has few; otherwise it is joined as usual."""
+    held = checkpointed(df)
+    return F.broadcast(held) if held.limit(max_rows + 1).count() <= max_rows else held
