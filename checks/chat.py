@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks import sql as Q
 from checks.registry import registrar
+from checks.retrieval import TOP
 from docweave.functions import text as T
 from docweave.functions.keywords import keywords
 from docweave.operators import conversations as H
@@ -387,10 +388,11 @@ def _(spark, d):
     return G.retrieve_once(requests, run, F.col("key"))
 
 
-@check("q5_retrieve_once_search")
+@check("q5_retrieve_once_search", f"with {TOP} select query_id, chunk_id, round(similarity, 6) as similarity, rank from hits")
 def _(spark, d):
     queries = tables.queries(spark, d)
     held = tables.chunks(spark, d).withColumn("keywords", keywords(F.col("chunk_text")))
     documents = tables.documents(spark, d)
     key = G.query_key(F.col("query_text"), F.col("kb_id"), F.lit("default"))
-    return G.retrieve_once(queries, lambda lead: plan.retrieve(lead, held, documents), key)
+    found = G.retrieve_once(queries, lambda lead: plan.retrieve(lead, held, documents), key)
+    return found.withColumns({"similarity": F.round("similarity", 6), "rank": F.col("rank").cast("long")})

@@ -56,12 +56,69 @@ def merging(source, minimum=50, exempt="false"):
 merged as (select doc_id, target::bigint as chunk, string_agg(text, ' ' order by chunk) as text from numbered group by all)"""
 
 
-@check("c1_split_recursive")
+def split_sql(size):
+    """One CTE per separator; a path of piece numbers keeps the order."""
+    steps = ["level0 as (select doc_id, [0] as path, text as piece, true as is_open, true as start from documents where text <> '')"]
+    for i, sep in enumerate(folds.SEPARATORS):
+        mark = " || ".join("chr(10)" if ch == "\n" else f"'{ch}'" for ch in sep) or "''"
+        parts = "string_split(piece, '')" if sep == "" else f"string_split(replace(piece, {mark}, {Q.SENTINEL} || {mark}), {Q.SENTINEL})"
+        cut = "is_open" if sep == "" else f"is_open and contains(piece, {mark})"
+        steps.append(f"""level{i + 1} as (
+  select doc_id, list_append(path, i) as path, part as piece, length(part) >= {size} as is_open,
+         i = 1 or length(part) >= {size} or length(parts[i - 1]) >= {size} as start from (
+    select doc_id, path, parts, unnest(range(1, len(parts) + 1)) as i, unnest(parts) as part from (
+      select doc_id, path, list_filter({parts}, lambda x: x <> '') as parts from level{i} where {cut}))
+  union all select doc_id, list_append(path, 0), piece, is_open, start from level{i} where not ({cut}))""")
+    last = f"level{len(folds.SEPARATORS)}"
+    steps.append(f"""pieces as materialized (
+  select doc_id, row_number() over (partition by doc_id order by path) - 1 as chunk, piece, start from {last})""")
+    return ",\n".join(steps)
+
+
+@check("c1_split_recursive", f"with {split_sql(200)} select doc_id, chunk, piece as text from pieces")
 def _(spark, d):
     return C.split_recursive(docs(spark, d), 200)
 
 
-@check("c2_recursive_chunks")
+@check(
+    "c2_merge_splits",
+    f"""with recursive {split_sql(400)},
+    walk as (
+      select doc_id, chunk, 0 as run, length(piece) as total, piece from pieces where chunk = 0
+      union all
+      select p.doc_id, p.chunk, case when p.start or w.total + length(p.piece) > 400 then run + 1 else run end,
+             case when p.start or w.total + length(p.piece) > 400 then length(p.piece) else w.total + length(p.piece) end, p.piece
+      from walk w join pieces p on p.doc_id = w.doc_id and p.chunk = w.chunk + 1),
+    joined as (select doc_id, run, {Q.strip("string_agg(piece, '' order by chunk)")} as text from walk group by doc_id, run)
+    select doc_id, row_number() over (partition by doc_id order by run) - 1 as chunk, text from joined where text <> ''""",
+)
+def _(spark, d):
+    return C.recursive_chunks(docs(spark, d), 400, 0)
+
+
+def carried(cur, g):
+    return f"coalesce(list_sum(list_transform({cur}[{g} + 1:], lambda x: length(x))), 0)"
+
+
+@check(
+    "c2_recursive_chunks",
+    f"""with recursive {split_sql(400)},
+    walk as (
+      select doc_id, chunk, [piece] as cur, null::varchar as closed from pieces where chunk = 0
+      union all
+      select doc_id, chunk, case when start then [piece] when is_full then list_append(cur[gone + 1:], piece) else list_append(cur, piece) end,
+             case when start or is_full then array_to_string(cur, '') end
+      from (
+        select p.doc_id, p.chunk, p.piece, p.start, w.cur, {carried('w.cur', '0')} + length(p.piece) > 400 as is_full,
+               list_filter(range(len(w.cur) + 1), lambda g: {carried('w.cur', 'g')} <= 60
+                 and ({carried('w.cur', 'g')} + length(p.piece) <= 400 or {carried('w.cur', 'g')} = 0))[1] as gone
+        from walk w join pieces p on p.doc_id = w.doc_id and p.chunk = w.chunk + 1)),
+    made as (
+      select doc_id, chunk, {Q.strip('closed')} as text from walk where closed is not null
+      union all
+      select doc_id, chunk + 1, {Q.strip("array_to_string(cur, '')")} from walk qualify row_number() over (partition by doc_id order by chunk desc) = 1)
+    select doc_id, row_number() over (partition by doc_id order by chunk) - 1 as chunk, text from made where text <> ''""",
+)
 def _(spark, d):
     return C.recursive_chunks(docs(spark, d), 400, 60)
 

@@ -90,7 +90,16 @@ def _(spark, d):
     return listed(vecs(spark, d).withColumn("v", V.resize(F.col("v"), 96, "dct")))
 
 
-@check("e8_resize_linear")
+# The fixed-seed matrix of the operator, spelled out for SQL: one list per target component.
+GAUSSIAN = "[" + ", ".join("[" + ", ".join(repr(float(x)) for x in row) + "]" for row in V._gaussian_map(64, 96).T) + "]"
+
+
+@check(
+    "e8_resize_linear",
+    f"""with {VECS}, m as (select {GAUSSIAN}::double[][] as rows_),
+    raw as (select vec_id, v, list_transform(rows_, lambda r: list_dot_product(v, r)) as r from vecs join m on true),
+    grown as (select vec_id, list_transform(r, lambda x: x * {NORM.format('v')} / {NORM.format('r')}) as r from raw) {LISTED}""",
+)
 def _(spark, d):
     return listed(vecs(spark, d).withColumn("v", V.resize(F.col("v"), 96, "linear")))
 
@@ -100,6 +109,20 @@ def _(spark, d):
     return listed(Z.reduce_pca(vecs(spark, d), "v", 8), "reduced")
 
 
+@check(
+    "e10_projected_dots",
+    f"""with {VECS} select a.vec_id, round(list_dot_product(a.v, b.v), 6) + 0.0 as dot, round({NORM.format('a.v')}, 6) as size
+        from vecs a join vecs b on b.vec_id = a.vec_id + 1""",
+)
+def _(spark, d):
+    """Growing by an orthogonal projection keeps dot products and lengths."""
+    grown = vecs(spark, d).withColumn("v", V.project_orthogonal(F.col("v"), 128)).select("vec_id", "v")
+    nxt = grown.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
+    return grown.join(nxt, "vec_id").select(
+        "vec_id", (F.round(V.dot(F.col("v"), F.col("w")), 6) + 0.0).alias("dot"), F.round(V.norm(F.col("v")), 6).alias("size")
+    )
+
+
 @check("e10_project_orthogonal")
 def _(spark, d):
     return listed(vecs(spark, d).withColumn("v", V.project_orthogonal(F.col("v"), 128)))

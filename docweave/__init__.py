@@ -1 +1,8 @@
 """docweave: DataFrame-in, DataFrame-out preparation, search and evaluation of document collections on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
