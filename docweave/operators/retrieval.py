@@ -129,10 +129,11 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, documents: DataFrame,
     """(query_id, chunk_id, similarity = 0, rank): chunks sharing a keyword, lowest ids first.
 
     The first ``k`` chunks of a query are among the first ``k`` of each of its keywords, so postings are cut to
-    ``k`` per base and keyword before the join; a frequent keyword costs no more than a rare one.
+    ``k`` per base and keyword before the join; a frequent keyword costs no more than a rare one.  (The outer
+    explode keeps Spark from computing derived keywords a second time in a filter of its own.)
     """
-    asked = queries.select("query_id", "kb_id", F.explode("keywords").alias("keyword"))
-    held = live_chunks(chunks, documents).select("kb_id", "chunk_id", F.explode("keywords").alias("keyword"))
+    asked = queries.select("query_id", "kb_id", F.explode_outer("keywords").alias("keyword"))
+    held = live_chunks(chunks, documents).select("kb_id", "chunk_id", F.explode_outer("keywords").alias("keyword"))
     wanted = held.join(asked.select("kb_id", "keyword").distinct(), ["kb_id", "keyword"], "left_semi")
     postings = top_per_key(wanted, ["kb_id", "keyword"], ["chunk_id"], k, "_n").drop("_n")
     matched = asked.join(postings, ["kb_id", "keyword"]).select("query_id", "chunk_id").distinct()
@@ -255,7 +256,7 @@ def bm25(
     bases = lengths.groupBy("kb_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))
     asked = queries.select("query_id", "kb_id", F.explode(F.array_distinct(terms(F.col("query_text")))).alias("term"))
     tf = (
-        lengths.select("kb_id", "chunk_id", "dl", F.explode("terms").alias("term"))
+        lengths.select("kb_id", "chunk_id", "dl", F.explode_outer("terms").alias("term"))
         .join(asked.select("kb_id", "term").distinct(), ["kb_id", "term"], "left_semi")
         .groupBy("kb_id", "term", "chunk_id", "dl")
         .agg(F.count(F.lit(1)).alias("tf"))

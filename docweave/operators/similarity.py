@@ -22,10 +22,11 @@ def _same_text():
     return W.partitionBy("doc_id", F.xxhash64("sentence"), "sentence")
 
 
-def _counted(sentences: DataFrame, *keep: str) -> DataFrame:
+def _counted(sentences: DataFrame, *keep: str, laid_out: bool = False) -> DataFrame:
     """Sentences laid out by doc_id with n, the number of sentences of the document."""
-    laid_out = sentences.select("doc_id", "pos", "sentence", *keep).repartition("doc_id")
-    return laid_out.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("doc_id")))
+    rows = sentences.select("doc_id", "pos", "sentence", *keep)
+    rows = rows if laid_out else rows.repartition("doc_id")
+    return rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("doc_id")))
 
 
 def _term_counts(counted: DataFrame, *keep: str) -> DataFrame:
@@ -63,14 +64,15 @@ def tfidf(sentences: DataFrame) -> DataFrame:
     return raw.withColumn("w", F.col("w") / length).select("doc_id", "pos", "token", "w")
 
 
-def adjacent_similarity(sentences: DataFrame) -> DataFrame:
+def adjacent_similarity(sentences: DataFrame, laid_out: bool = False) -> DataFrame:
     """(doc_id, pos, sim) of each sentence with the one before it, from position 1 on.
 
     A token row meets its predecessor in the sort that also counts document frequencies; products and squares
-    are summed per sentence, and lengths divided out at the end.
+    are summed per sentence, and lengths divided out at the end.  ``laid_out`` says that the rows are already
+    partitioned by doc_id, which saves an exchange.
     """
     by_token = W.partitionBy("doc_id", "token").orderBy("pos")
-    tf = _term_counts(_counted(sentences))
+    tf = _term_counts(_counted(sentences, laid_out=laid_out))
     linked = tf.withColumn("prev_pos", F.lag("pos").over(by_token)).withColumn("prev_tf", F.lag("tf").over(by_token))
     idf2 = F.pow("idf", F.lit(2.0))
     product = F.when(F.col("prev_pos") == F.col("pos") - 1, F.col("tf") * F.col("prev_tf") * idf2).otherwise(0.0)

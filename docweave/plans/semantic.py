@@ -39,14 +39,16 @@ def _with_keywords(chunks: DataFrame) -> DataFrame:
 def sequential_chunks(df: DataFrame, cfg: ChunkingConfig) -> DataFrame:
     """Neighbouring sentences stay together while they are similar enough.
 
-    Documents are exchanged once by doc_id; the similarities, the grouping and the folds all use that layout.
+    The sentence arrays are made once and exchanged once by doc_id; the similarities, the grouping and the folds
+    all use that layout.
     """
-    docs = df.select("doc_id", "text").repartition("doc_id").select(
-        "doc_id", prepared_sentences(F.col("text"), cfg.min_sentence_length).alias("sentences")
-    )
-    rows = docs.select("doc_id", F.posexplode("sentences").alias("pos", "sentence"))
+    prepared = prepared_sentences(F.col("text"), cfg.min_sentence_length).alias("sentences")
+    docs = df.filter("doc_id is not null").select("doc_id", prepared).repartition("doc_id")
+    # The outer form keeps Spark from testing the array (and making it once more) before the exchange, so that
+    # both uses of the exchange stay the same and it runs once.
+    rows = docs.select("doc_id", F.posexplode_outer("sentences").alias("pos", "sentence")).filter("pos is not null")
     cuts = (
-        adjacent_similarity(rows)
+        adjacent_similarity(rows, laid_out=True)
         .filter(F.col("sim") < cfg.threshold)
         .groupBy("doc_id")
         .agg(F.sort_array(F.collect_list("pos")).alias("cuts"))
