@@ -388,11 +388,11 @@ def _(spark, d):
     return G.retrieve_once(requests, run, F.col("key"))
 
 
-@check("q5_retrieve_once_search", f"with {TOP} select query_id, chunk_id, round(similarity, 6) as similarity, rank from hits")
+@check("q5_retrieve_once_search", f"with {TOP} select query_id, chunk_id, round(similarity + 1e-12, 6) as similarity, rank from hits")
 def _(spark, d):
     queries = tables.queries(spark, d)
     held = tables.chunks(spark, d).withColumn("keywords", keywords(F.col("chunk_text")))
     documents = tables.documents(spark, d)
     key = G.query_key(F.col("query_text"), F.col("kb_id"), F.lit("default"))
     found = G.retrieve_once(queries, lambda lead: plan.retrieve(lead, held, documents), key)
-    return found.withColumns({"similarity": F.round("similarity", 6), "rank": F.col("rank").cast("long")})
+    return found.withColumns({"similarity": F.round(F.col("similarity") + 1e-12, 6), "rank": F.col("rank").cast("long")})

@@ -51,11 +51,12 @@ TOP = f"""{HYBRID},
 hits as (select query_id, chunk_id, similarity, row_number() over (partition by query_id order by similarity desc, place) as rank
          from hybrid qualify rank <= 10)"""
 
-COLS = "query_id, chunk_id, round(similarity, 6) as similarity"
+# The nudge makes values that end in a 5 at the cut round the same way in both engines.
+COLS = "query_id, chunk_id, round(similarity + 1e-12, 6) as similarity"
 
 
 def shown(df):
-    out = df.withColumn("similarity", F.round("similarity", 6))
+    out = df.withColumn("similarity", F.round(F.col("similarity") + 1e-12, 6))
     for c in ("rank", "place", "n", "threads", "batch"):
         if c in out.columns:
             out = out.withColumn(c, F.col(c).cast("long"))
