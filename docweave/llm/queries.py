@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
+from docweave.llm.bpe import encode_and_decode
 from docweave.llm.fingerprints import fingerprint_documents
+from docweave.llm.html import extract_pages
+from docweave.llm.kdtree import exact_top_k
+from docweave.llm.packing import pack_documents
+from docweave.llm.token_files import read_token_shards, write_token_shards
+from docweave.session import scratch_path
 from docweave.sources.readers import load
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
 QUERIES, ORACLES = {}, {}
 
 
@@ -23,3 +32,30 @@ def query(name, sql=None):
 @query("op1_document_fingerprints")
 def _(spark, d):
     return fingerprint_documents(load(spark, d, "documents"))
+
+
+@query("op4_exact_top_k")
+def _(spark, d):
+    return exact_top_k(load(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op5_bpe_round_trip")
+def _(spark, d):
+    return encode_and_decode(load(spark, d, "documents"), WORD_BPE)
+
+
+@query("op6_token_shards")
+def _(spark, d):
+    target = scratch_path(spark, "token-shards")
+    write_token_shards(load(spark, d, "documents"), target, WORD_BPE)
+    return read_token_shards(spark, target)
+
+
+@query("op7_html_main_text")
+def _(spark, d):
+    return extract_pages(load(spark, d, "pages"))
+
+
+@query("op8_best_fit_packing")
+def _(spark, d):
+    return pack_documents(load(spark, d, "documents"))
