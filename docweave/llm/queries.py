@@ -9,7 +9,11 @@ from docweave.llm.bpe import encode_and_decode
 from docweave.llm.fingerprints import fingerprint_documents
 from docweave.llm.html import extract_pages
 from docweave.llm.kdtree import exact_top_k
+from docweave.llm.lines import dedupe_lines
+from docweave.llm.lm import score_documents
+from docweave.llm.near import near_duplicates
 from docweave.llm.packing import pack_documents
+from docweave.llm.quality import grade_documents
 from docweave.llm.token_files import read_token_shards, write_token_shards
 from docweave.session import scratch_path
 from docweave.sources.readers import load
@@ -59,3 +63,23 @@ def _(spark, d):
 @query("op8_best_fit_packing")
 def _(spark, d):
     return pack_documents(load(spark, d, "documents"))
+
+
+@query("op2_line_dedup")
+def _(spark, d):
+    return dedupe_lines(load(spark, d, "documents"))
+
+
+@query("op3_quality_grades")
+def _(spark, d):
+    return grade_documents(load(spark, d, "documents"), load(spark, d, "labels"))
+
+
+@query("op9_minhash_near_dedup")
+def _(spark, d):
+    return near_duplicates(load(spark, d, "documents"), k=4)
+
+
+@query("op10_lm_scores")
+def _(spark, d):
+    return score_documents(load(spark, d, "documents"))
