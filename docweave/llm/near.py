@@ -13,11 +13,16 @@ from docweave.llm.common import release_shuffles
 from docweave.llm.components import components
 from docweave.session import checkpointed
 
-COORDINATES = 70
+# Documents meet under the first coordinates; pairs are then told apart by all of them.
+POSTED = 70
+COORDINATES = 280
 # Seven coordinates' low bytes fill a long without its top byte, so sums of them can't overflow.
 PER_LONG = 7
-# Of 70 coordinates of two documents with Jaccard 0.8, 56 agree on average; fewer than 38 do about once in a million.
+# Of 70 coordinates of two documents with Jaccard 0.8, 56 agree on average, of 280 there are 224; fewer than 38, or than
+# 189, agree about once in a million.
 MATCHES = 38
+ALIKE = 189
+HUB_ROUNDS = 2
 LONG_WORD = 1024
 SEGMENT = 1 << 14
 SETS = "doc_id long, n_shingles long, set_key binary, keys array<long>, packed array<long>"
@@ -115,7 +120,7 @@ def sketch(documents: DataFrame, k: int) -> DataFrame:
                 values = coordinates(hashes)
                 counts.append(len(hashes))
                 digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
-                keys.append((np.arange(len(values)) << 32) | values)
+                keys.append((np.arange(POSTED) << 32) | values[:POSTED])
                 packed.append(((values & 255).reshape(-1, PER_LONG) << shifts).sum(axis=1))
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary())]
             for x in (keys, packed):
@@ -161,9 +166,10 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     Documents are linked if their sets of k-word shingles have a Jaccard similarity of percent / 100 or more; a component
     is named by its smallest doc_id, which alone is kept.  Equal sets are joined first by digest.  Of each other set,
     70 MinHash coordinates are posted; links have 38 in common, so a set without 38 that another has as well is left out,
-    and of the rest, rarest first, all but 37 are posted (one of them must be shared).  Every set is first confirmed
-    against the most alike of the lists' hubs.  Sets that this leaves in different components meet in a join on the lists,
-    each pair under its first shared coordinate.  So copies of one text don't meet in all pairs.
+    and of the rest, rarest first, all but 37 are posted (one of them must be shared).  In rounds every set is confirmed
+    against the most alike of the hubs of its lists.  Lists whose sets are then all in one component are passed over; in
+    the others sets of different components meet, each pair under its first shared coordinate, if 189 of 280 coordinates
+    agree.  So copies of one text don't meet in all pairs.
     Null, empty and blank texts have no set and no links; a null doc_id neither, and no component.  Rows with one doc_id
     count as one document.  Other columns are not read.
     """
@@ -180,7 +186,8 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     shared = posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     lists = posted.join(shared, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("keys"))
     prefix = F.transform(F.slice("keys", F.lit(1), F.size("keys") - (MATCHES - 1)), lambda x: x["key"])
-    able = lists.where(F.size("keys") >= MATCHES).select("rep", prefix.alias("prefix"))
+    typical = F.aggregate("keys", F.lit(0).cast("long"), lambda total, x: total + x["c"])
+    able = lists.where(F.size("keys") >= MATCHES).select("rep", prefix.alias("prefix"), typical.alias("typical"))
     able = checkpointed(able.join(reps.select("rep", "n", "packed"), "rep").dropDuplicates(["rep"]))
     release_shuffles(spark)
 
@@ -196,31 +203,43 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
 
     def alike(a: str, b: str) -> Column:
         sizes = F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent
-        return sizes & (matching(F.col(f"{a}.packed"), F.col(f"{b}.packed")) >= MATCHES)
-
-    entries = able.select("rep", "n", "packed", F.explode("prefix").alias("key"))
-    hub = F.min(F.struct(F.xxhash64("rep", "key").alias("o"), "rep", "n", "packed")).alias("hub")
-    hubs = entries.groupBy("key").agg(hub, F.count("*").alias("c")).where("c > 1")
-    met = entries.alias("e").join(hubs.select("key", "hub.rep", "hub.n", "hub.packed").alias("h"), "key")
-    met = met.where((F.col("e.rep") != F.col("h.rep")) & alike("e", "h"))
-    likest = F.max(F.struct(matching(F.col("e.packed"), F.col("h.packed")).alias("m"), (-F.col("h.rep")).alias("o")))
-    best = met.groupBy(F.col("e.rep").alias("a")).agg(likest.alias("best")).select("a", (-F.col("best.o")).alias("b"))
-    first = checkpointed(confirmed(best, sets, percent))
-    found = checkpointed(components(first))
-    release_shuffles(spark)
-
-    labelled = able.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    listed = labelled.select(
-        "rep", "n", "packed", F.coalesce("component", "rep").alias("label"), "prefix", F.posexplode("prefix").alias("at", "key")
-    ).withColumn("earlier", F.slice("prefix", F.lit(1), F.col("at"))).drop("prefix", "at")
+        return sizes & (matching(F.col(f"{a}.packed"), F.col(f"{b}.packed")) >= ALIKE)
+
+    def open_lists(found, *carried):
+        """Entries of the lists whose documents aren't all in one component, with their labels."""
+        known = able if found is None else able.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        label = F.col("rep") if found is None else F.coalesce("component", "rep")
+        known = known.withColumn("label", label)
+        thin = known.select("label", F.explode("prefix").alias("key"))
+        several = thin.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        entries = known.select("rep", "label", F.posexplode("prefix").alias("at", "key")).join(several, "key", "left_semi")
+        return entries.join(able.select("rep", "n", "packed", *carried), "rep")
+
+    links, found = None, None
+    for turn in range(HUB_ROUNDS):
+        # The first hub of a list is its most typical document, the next ones are any.
+        order = -F.col("typical") if turn == 0 else F.xxhash64("rep", "key", F.lit(turn))
+        entries = open_lists(found, "typical")
+        hub = F.min(F.struct(order.alias("o"), "rep", "label", "n", "packed")).alias("hub")
+        hubs = entries.groupBy("key").agg(hub).select("key", "hub.*")
+        met = entries.alias("e").join(hubs.alias("h"), "key").where((F.col("e.label") != F.col("h.label")) & alike("e", "h"))
+        likest = F.max(F.struct(matching(F.col("e.packed"), F.col("h.packed")).alias("m"), (-F.col("h.rep")).alias("o")))
+        best = met.groupBy(F.col("e.rep").alias("a")).agg(likest.alias("best")).select("a", (-F.col("best.o")).alias("b"))
+        new = checkpointed(confirmed(best, sets, percent))
+        if turn and new.isEmpty():
+            break
+        links = new if links is None else links.union(new)
+        found = checkpointed(components(links))
+        release_shuffles(spark)
+
+    listed = open_lists(found, "prefix").withColumn("earlier", F.slice("prefix", F.lit(1), F.col("at"))).drop("prefix", "at")
     a, b = listed.alias("a"), listed.alias("b")
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.label") != F.col("b.label"))
-    new = ~F.arrays_overlap("a.earlier", "b.earlier")
-    rest = a.join(b, apart & alike("a", "b") & new).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-    second = checkpointed(confirmed(rest, sets, percent))
-    if not second.isEmpty():
-        found = components(first.union(second))
-    found = checkpointed(found)
+    first = ~F.arrays_overlap("a.earlier", "b.earlier")
+    rest = a.join(b, apart & alike("a", "b") & first).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+    last = checkpointed(confirmed(rest, sets, percent))
+    if not last.isEmpty():
+        found = checkpointed(components(links.union(last)))
     release_shuffles(spark)
 
     named = reps.select("set_key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
