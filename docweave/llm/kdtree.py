@@ -15,6 +15,7 @@ from docweave.session import checkpointed
 SHARD_ROWS = 1024
 LEAF_ROWS = 256
 BLOCK_QUERIES = 256
+RUN_SHARDS = 16
 # Sums up to this size are exact in doubles, and so may go through a matrix product of doubles.
 EXACT = 2**53
 INDEX = "shard long, n int, width int, ids binary, points binary, lows binary, highs binary, spans binary, least binary"
@@ -63,16 +64,18 @@ class Tree:
                 todo += [(start, start + half, node, 0), (start + half, end, node, 1)]
         return cls(ids[order], points[order], np.array(lows), np.array(highs), np.array(spans, np.int64), np.array(least, np.int64))
 
-    def search(self, queries: np.ndarray, query_ids, k: int, kth, kth_id):
-        """Yield (row of the query, ids, scores): its best k here that can still beat the k-th hit known so far.
+    def search(self, queries: np.ndarray, query_ids, k: int, kth, kth_id, kept: list):
+        """Add to ``kept``, a heap of hits for each query, those here that can still beat its k-th hit known so far.
 
         Every node's bound is the largest product that its box allows.  A query opens nodes by falling bound and stops at
         the first that its k-th hit beats; hits are ordered by score, equal scores by smaller id.
         """
         bounds = product(np.maximum(queries, 0), self.highs) + product(np.minimum(queries, 0), self.lows)
         for row, own in enumerate(query_ids):
-            q, best = queries[row : row + 1], []  # heap of (score, -id), the worst on top
+            q, best = queries[row : row + 1], kept[row]  # heap of (score, -id), the worst on top
             limit = (int(kth[row]), -int(kth_id[row]))
+            if len(best) == k:
+                limit = max(limit, best[0])
             heap = [(-int(bounds[row, 0]), int(self.least[0]), 0)]
             while heap:
                 bound, first, node = heapq.heappop(heap)
@@ -96,7 +99,6 @@ class Tree:
                         heapq.heapreplace(best, hit)
                     if len(best) == k and best[0] > limit:
                         limit = best[0]
-            yield row, [-i for _, i in best], [s for s, _ in best]
 
 
 NO_LIMIT = np.iinfo(np.int64).min
@@ -163,14 +165,13 @@ def exact_top_k(
             arrays["least"],
         )
 
-    def hits(tree, ids, points, kth, kth_id):
-        found = list(tree.search(points, ids, k, kth, kth_id))
-        counts = [len(x[1]) for x in found]
+    def hits(ids, kept):
+        counts = [len(x) for x in kept]
         return pd.DataFrame(
             {
                 "query_id": np.repeat(np.asarray(ids, np.int64), counts),
-                "vec_id": np.array([i for x in found for i in x[1]], np.int64),
-                "score": np.array([s for x in found for s in x[2]], np.int64),
+                "vec_id": np.array([-i for x in kept for _, i in x], np.int64),
+                "score": np.array([s for x in kept for s, _ in x], np.int64),
             }
         )
 
@@ -178,8 +179,9 @@ def exact_top_k(
         if not len(asked) or not len(stored):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         ids = asked.vec_id.to_numpy(np.int64)
-        none = np.full(len(ids), NO_LIMIT)
-        return hits(tree_of(stored.iloc[0]), ids, _matrix(list(asked.v)), none, np.zeros(len(ids), np.int64))
+        none, kept = np.full(len(ids), NO_LIMIT), [[] for _ in ids]
+        tree_of(stored.iloc[0]).search(_matrix(list(asked.v)), ids, k, none, np.zeros(len(ids), np.int64), kept)
+        return hits(ids, kept)
 
     home = checkpointed(queries.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(at_home, HITS))
 
@@ -207,22 +209,32 @@ def exact_top_k(
     packed = asked.groupBy("block").applyInPandas(pack, BLOCKS)
     sent = packed.select(
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"),
-        F.struct("n", "width", "ids", "homes", "points", "kth", "kth_id").alias("q"),
+        F.struct("block", "n", "width", "ids", "homes", "points", "kth", "kth_id").alias("q"),
     )
     tiles = sent.join(index.withColumnRenamed("n", "rows").withColumnRenamed("width", "dims"), "shard")
-    flat = tiles.select(
-        "shard", F.col("rows").alias("n"), F.col("dims").alias("width"), "ids", "points", "lows", "highs", "spans", "least",
+    # A block goes through a run of shards in one task, which hands its k-th hits from each to the next.
+    run = (F.col("shard") / RUN_SHARDS).cast("long")
+    runs = tiles.withColumn("run", run).repartition("run", "q.block").sortWithinPartitions("run", "q.block", "shard")
+    flat = runs.select(
+        "run", F.col("q.block").alias("block"), "shard", F.col("rows").alias("n"), F.col("dims").alias("width"), "ids", "points", "lows", "highs", "spans", "least",
         *[F.col(f"q.{c}").alias(f"q_{c}") for c in ("n", "width", "ids", "homes", "points", "kth", "kth_id")],
     )
 
     def elsewhere(frames):
+        at, ids, kept = None, [], []
         for frame in frames:
             for row in frame.itertuples():
-                away = np.frombuffer(row.q_homes, "<i8") != row.shard
-                ids = np.frombuffer(row.q_ids, "<i8")[away]
+                if at != (row.run, row.block):
+                    if len(ids):
+                        yield hits(ids, kept)
+                    at, ids = (row.run, row.block), np.frombuffer(row.q_ids, "<i8")
+                    kept = [[] for _ in ids]
+                away = np.flatnonzero(np.frombuffer(row.q_homes, "<i8") != row.shard)
                 points = np.frombuffer(row.q_points, "<i8").reshape(row.q_n, row.q_width)[away]
                 kth, kth_id = (np.frombuffer(x, "<i8")[away] for x in (row.q_kth, row.q_kth_id))
-                yield hits(tree_of(row), ids, points, kth, kth_id)
+                tree_of(row).search(points, ids[away], k, kth, kth_id, [kept[i] for i in away])
+        if len(ids):
+            yield hits(ids, kept)
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = home.union(flat.mapInPandas(elsewhere, HITS)).withColumn("rank", F.row_number().over(best))
