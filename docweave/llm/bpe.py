@@ -13,8 +13,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Distinct words that a task keeps the ids of; beyond that it starts anew.
-KNOWN_WORDS = 300_000
+from docweave.llm.common import worker_memory
+
+# Distinct words that a Python worker keeps the ids of; beyond that it starts anew.
+KNOWN_WORDS = 1_000_000
 # Control characters that Python's split() takes for white space and Unicode doesn't.
 CONTROLS = "\x1c\x1d\x1e\x1f"
 
@@ -53,7 +55,7 @@ class Bpe:
         by_id = {i: s for s, i in [*self.vocab.items(), *self.special.items()]}
         self.strings = [by_id.get(i, "") for i in range(max(by_id) + 1)]
         self.letters = byte_letters()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = worker_memory("bpe-" + hashlib.sha256(content.encode()).hexdigest())
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Merge neighbours in order of rank, leftmost first: a queue over a doubly linked list of symbols.

@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import json
 import math
+import sys
+import types
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +63,9 @@ class Ranges:
             return F.lit(True)
         chunks = long_array(self.bounds)
         return F.coalesce(value == F.get(chunks, number), F.lit(False))
+
+
+def worker_memory(name: str) -> dict:
+    """A dict that a Python worker keeps from one task to the next; only for what may be lost at any time."""
+    module = sys.modules.setdefault("docweave_worker_memory", types.ModuleType("docweave_worker_memory"))
+    return vars(module).setdefault(name, {})

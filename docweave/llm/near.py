@@ -23,6 +23,7 @@ PER_LONG = 7
 MATCHES = 38
 ALIKE = 189
 HUB_ROUNDS = 2
+BLOCK_DOCUMENTS = 256
 LONG_WORD = 1024
 SEGMENT = 1 << 14
 SETS = "doc_id long, n_shingles long, set_key binary, keys array<long>, packed array<long>"
@@ -160,6 +161,29 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def confirmed_in_tiles(pairs: DataFrame, sets: DataFrame, blocks: int, percent: int) -> DataFrame:
+    """As ``confirmed``, for many pairs among few documents: ids are dealt to blocks, and a pair is settled in the tile of
+    its two blocks.  A set goes once to each tile that needs it, not once to each pair."""
+
+    def tile(column):
+        return F.pmod(F.xxhash64(column, F.lit(9)), F.lit(blocks)).cast("int")
+
+    dealt = checkpointed(pairs.select("a", "b", tile("a").alias("x"), tile("b").alias("y")))
+    needed = dealt.select("x", "y", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sent = needed.join(sets, "doc_id")
+
+    def settle(asked, held):
+        found = {i: np.frombuffer(h, np.uint64) for i, h in zip(held.doc_id, held.hashes, strict=True)}
+        keep = []
+        for a, b in zip(asked.a, asked.b, strict=True):
+            m, n = len(found[a]), len(found[b])
+            both = len(np.intersect1d(found[a], found[b], assume_unique=True))
+            keep.append(100 * both >= percent * (m + n - both))
+        return asked.loc[keep, ["a", "b"]]
+
+    return dealt.groupBy("x", "y").cogroup(sent.groupBy("x", "y")).applyInPandas(settle, "a long, b long")
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document.
 
@@ -237,7 +261,8 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.label") != F.col("b.label"))
     first = ~F.arrays_overlap("a.earlier", "b.earlier")
     rest = a.join(b, apart & alike("a", "b") & first).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-    last = checkpointed(confirmed(rest, sets, percent))
+    blocks = -(-able.count() // BLOCK_DOCUMENTS) or 1
+    last = checkpointed(confirmed_in_tiles(rest, sets, blocks, percent))
     if not last.isEmpty():
         found = checkpointed(components(links.union(last)))
     release_shuffles(spark)

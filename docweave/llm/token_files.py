@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.llm.bpe import KNOWN_WORDS, read_tokenizer, words_of
-from docweave.llm.common import shuffle_partitions
+from docweave.llm.common import shuffle_partitions, worker_memory
 
 MAGIC = b"DWT1"
 # Ids in one shard, unless a single document has more.
@@ -131,14 +132,14 @@ class Shard:
 def word_encoder(content: str):
     """Ids of whole texts as little-endian 32-bit integers by the tokenizers library, which is asked once for each word.
 
-    Its pattern never matches across white space, so words can be encoded one by one; a task keeps the latest.
+    Its pattern never matches across white space, so words can be encoded one by one; a worker keeps the latest.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(content)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    known: dict[str, bytes] = {}
+    known: dict[str, bytes] = worker_memory("tokenizers-" + hashlib.sha256(content.encode()).hexdigest())
 
     def encode(texts: list[str]) -> list[bytes]:
         if len(known) >= KNOWN_WORDS:
