@@ -15,13 +15,14 @@ from docweave.session import checkpointed
 
 # Documents meet under the first coordinates; pairs are then told apart by all of them.
 POSTED = 70
-COORDINATES = 280
+COORDINATES = 140
 # Seven coordinates' low bytes fill a long without its top byte, so sums of them can't overflow.
 PER_LONG = 7
-# Of 70 coordinates of two documents with Jaccard 0.8, 56 agree on average, of 280 there are 224; fewer than 38, or than
-# 189, agree about once in a million.
+# Of 70 coordinates of two documents with Jaccard 0.8, 56 agree on average, of 140 there are 112; fewer than 38, or than
+# 87, agree about once in a million.
 MATCHES = 38
-ALIKE = 189
+ALIKE = 87
+PACKED = [f"p{i}" for i in range(COORDINATES // PER_LONG)]
 HUB_ROUNDS = 2
 BLOCK_DOCUMENTS = 256
 LONG_WORD = 1024
@@ -133,15 +134,14 @@ def sketch(documents: DataFrame, k: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SETS)
 
 
-def matching(a: Column, b: Column) -> Column:
-    """Number of coordinates whose low bytes agree: bytes that are zero in the exclusive or."""
+def matching(a: str, b: str) -> Column:
+    """Number of coordinates of two aliases' rows whose low bytes agree: bytes that are zero in the exclusive or."""
     low = F.lit(0x7F7F7F7F7F7F7F)
-    total = F.lit(0)
-    for i in range(COORDINATES // PER_LONG):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        filled = (x.bitwiseAND(low) + low).bitwiseOR(x).bitwiseOR(low)
-        total = total + (F.lit(PER_LONG * 8) - F.bit_count(filled))
-    return total
+    equal = F.lit(PER_LONG * 8 * len(PACKED))
+    for p in PACKED:
+        x = F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))
+        equal = equal - F.bit_count((x.bitwiseAND(low) + low).bitwiseOR(x).bitwiseOR(low))
+    return equal
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -169,7 +169,7 @@ def confirmed_in_tiles(pairs: DataFrame, sets: DataFrame, blocks: int, percent:
         return F.pmod(F.xxhash64(column, F.lit(9)), F.lit(blocks)).cast("int")
 
     dealt = checkpointed(pairs.select("a", "b", tile("a").alias("x"), tile("b").alias("y")))
-    needed = dealt.select("x", "y", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    needed = dealt.select(F.col("x").alias("u"), F.col("y").alias("v"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sent = needed.join(sets, "doc_id")
 
     def settle(asked, held):
@@ -181,7 +181,7 @@ def confirmed_in_tiles(pairs: DataFrame, sets: DataFrame, blocks: int, percent:
             keep.append(100 * both >= percent * (m + n - both))
         return asked.loc[keep, ["a", "b"]]
 
-    return dealt.groupBy("x", "y").cogroup(sent.groupBy("x", "y")).applyInPandas(settle, "a long, b long")
+    return dealt.groupBy("x", "y").cogroup(sent.groupBy("u", "v")).applyInPandas(settle, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -192,7 +192,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     70 MinHash coordinates are posted; links have 38 in common, so a set without 38 that another has as well is left out,
     and of the rest, rarest first, all but 37 are posted (one of them must be shared).  In rounds every set is confirmed
     against the most alike of the hubs of its lists.  Lists whose sets are then all in one component are passed over; in
-    the others sets of different components meet, each pair under its first shared coordinate, if 189 of 280 coordinates
+    the others sets of different components meet, each pair under its first shared coordinate, if 87 of 140 coordinates
     agree.  So copies of one text don't meet in all pairs.
     Null, empty and blank texts have no set and no links; a null doc_id neither, and no component.  Rows with one doc_id
     count as one document.  Other columns are not read.
@@ -212,7 +212,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     prefix = F.transform(F.slice("keys", F.lit(1), F.size("keys") - (MATCHES - 1)), lambda x: x["key"])
     typical = F.aggregate("keys", F.lit(0).cast("long"), lambda total, x: total + x["c"])
     able = lists.where(F.size("keys") >= MATCHES).select("rep", prefix.alias("prefix"), typical.alias("typical"))
-    able = checkpointed(able.join(reps.select("rep", "n", "packed"), "rep").dropDuplicates(["rep"]))
+    able = checkpointed(able.join(reps.select("rep", "n", *[F.get("packed", F.lit(i)).alias(p) for i, p in enumerate(PACKED)]), "rep").dropDuplicates(["rep"]))
     release_shuffles(spark)
 
     def hash_texts(batches):
@@ -227,7 +227,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
 
     def alike(a: str, b: str) -> Column:
         sizes = F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent
-        return sizes & (matching(F.col(f"{a}.packed"), F.col(f"{b}.packed")) >= ALIKE)
+        return sizes & (matching(a, b) >= ALIKE)
 
     def open_lists(found, *carried):
         """Entries of the lists whose documents aren't all in one component, with their labels."""
@@ -237,17 +237,17 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
         thin = known.select("label", F.explode("prefix").alias("key"))
         several = thin.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
         entries = known.select("rep", "label", F.posexplode("prefix").alias("at", "key")).join(several, "key", "left_semi")
-        return entries.join(able.select("rep", "n", "packed", *carried), "rep")
+        return entries.join(able.select("rep", "n", *PACKED, *carried), "rep")
 
     links, found = None, None
     for turn in range(HUB_ROUNDS):
         # The first hub of a list is its most typical document, the next ones are any.
         order = -F.col("typical") if turn == 0 else F.xxhash64("rep", "key", F.lit(turn))
         entries = open_lists(found, "typical")
-        hub = F.min(F.struct(order.alias("o"), "rep", "label", "n", "packed")).alias("hub")
+        hub = F.min(F.struct(order.alias("o"), "rep", "label", "n", *PACKED)).alias("hub")
         hubs = entries.groupBy("key").agg(hub).select("key", "hub.*")
         met = entries.alias("e").join(hubs.alias("h"), "key").where((F.col("e.label") != F.col("h.label")) & alike("e", "h"))
-        likest = F.max(F.struct(matching(F.col("e.packed"), F.col("h.packed")).alias("m"), (-F.col("h.rep")).alias("o")))
+        likest = F.max(F.struct(matching("e", "h").alias("m"), (-F.col("h.rep")).alias("o")))
         best = met.groupBy(F.col("e.rep").alias("a")).agg(likest.alias("best")).select("a", (-F.col("best.o")).alias("b"))
         new = checkpointed(confirmed(best, sets, percent))
         if turn and new.isEmpty():
