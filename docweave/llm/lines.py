@@ -104,7 +104,6 @@ def _earlier(a: str, b: str) -> Column:
 
 def _similar(documents: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The later lines (doc_id, line_no) of the pairs whose whole token sets are similar enough."""
-    pairs = checkpointed(pairs)
     places = pairs.select("doc_id", "line_no").union(pairs.select("other_id", "other_no")).distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     asked = texts.join(places.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -114,7 +113,43 @@ def _similar(documents: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(sets, ["doc_id", "line_no"]).join(other, ["other_id", "other_no"])
     common = F.size(F.array_intersect("tokens", "others"))
     union = F.size("tokens") + F.size("others") - common
-    return both.where(common * 100 >= union * percent).select("doc_id", "line_no").distinct()
+    return checkpointed(both.where(common * 100 >= union * percent).select("doc_id", "line_no").distinct())
+
+
+PAIR = ("a.doc_id", "a.line_no", "b.doc_id as other_id", "b.line_no as other_no")
+BITS = [f"b{i}" for i in range(MAP_LONGS)]
+
+
+def _copies(cards: DataFrame, sets: DataFrame) -> DataFrame:
+    """Places of the lines whose set of words another line had first."""
+    several = sets.where("copies > 1").select("key", "key2", F.col("line.doc_id").alias("first_id"), F.col("line.line_no").alias("first_no"))
+    places = cards.select("key", "key2", F.col("line.doc_id").alias("doc_id"), F.col("line.line_no").alias("line_no"))
+    later = (F.col("doc_id") != F.col("first_id")) | (F.col("line_no") != F.col("first_no"))
+    return places.join(several, ["key", "key2"]).where(later).select("doc_id", "line_no")
+
+
+def _meetings(lines: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a line and the first line at one of its meeting points."""
+    met = lines.select("doc_id", "line_no", "n", *BITS, F.posexplode("meeting").alias("turn", "token"))
+    first = F.min(F.struct("doc_id", "line_no", "n", *BITS)).alias("f")
+    hubs = met.groupBy("turn", "token").agg(first, F.count("*").alias("c")).where("c > 1").select("turn", "token", "f.*")
+    tried = met.alias("a").join(hubs.alias("b"), ["turn", "token"]).where(_earlier("a", "b") & _enough("a", "b", percent))
+    return tried.selectExpr(*PAIR).distinct()
+
+
+def _overlaps(lines: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a line not found yet and an earlier one that share a token of their prefixes and pass the filters."""
+    flagged = lines.join(near.withColumn("found", F.lit(1)), ["doc_id", "line_no"], "left")
+    found = F.coalesce("found", F.lit(0)).alias("found")
+    posted = flagged.select("doc_id", "line_no", "n", *BITS, found, F.posexplode("prefix").alias("at", "token"))
+    a, b = posted.alias("a"), posted.alias("b")
+    # The tokens before the shared one are unlike unless shared as well, so this one and the rest bound the overlap.
+    left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) + F.least("a.at", "b.at")
+    position = left * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
+    # Both sides are one table; the condition on the later line names both, so that they share one exchange.
+    open_ = F.col("a.found") * F.col("b.n") == 0
+    match = (F.col("a.token") == F.col("b.token")) & open_ & _earlier("a", "b") & position & _enough("a", "b", percent)
+    return a.join(b, match).selectExpr(*PAIR).distinct()
 
 
 def repeated_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -130,37 +165,15 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     usable = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     # Short lines go after the checkpoint: before it, the condition would make the tokens a second time.
     cards = checkpointed(line_cards(usable, rarity_classes(usable), percent)).where(F.col("line.n") >= MIN_TOKENS)
-    release_shuffles(spark)
     sets = checkpointed(cards.groupBy("key", "key2").agg(F.min("line").alias("line"), F.count("*").alias("copies")))
     release_shuffles(spark)
-    several = sets.where("copies > 1").select("key", "key2", F.col("line.doc_id").alias("first_id"), F.col("line.line_no").alias("first_no"))
-    places = cards.select("key", "key2", F.col("line.doc_id").alias("doc_id"), F.col("line.line_no").alias("line_no"))
-    copies = places.join(several, ["key", "key2"]).where((F.col("doc_id") != F.col("first_id")) | (F.col("line_no") != F.col("first_no")))
-    copies = checkpointed(copies.select("doc_id", "line_no"))
-
+    copies = checkpointed(_copies(cards, sets))
+    # What is left in a variable keeps its files: the cards have served.
+    del cards
     lines = sets.select("line.*")
-    bits = [f"b{i}" for i in range(MAP_LONGS)]
-    met = lines.select("doc_id", "line_no", "n", *bits, F.posexplode("meeting").alias("turn", "token"))
-    first = F.min(F.struct("doc_id", "line_no", "n", *bits)).alias("f")
-    hubs = met.groupBy("turn", "token").agg(first, F.count("*").alias("c")).where("c > 1").select("turn", "token", "f.*")
-    tried = met.alias("a").join(hubs.alias("b"), ["turn", "token"]).where(_earlier("a", "b") & _enough("a", "b", percent))
-    tried = tried.selectExpr("a.doc_id", "a.line_no", "b.doc_id as other_id", "b.line_no as other_no").distinct()
-    near = checkpointed(_similar(usable, tried, percent))
+    near = _similar(usable, checkpointed(_meetings(lines, percent)), percent)
     release_shuffles(spark)
-
-    flagged = lines.join(near.withColumn("found", F.lit(1)), ["doc_id", "line_no"], "left")
-    posted = flagged.select(
-        "doc_id", "line_no", "n", *bits, F.coalesce("found", F.lit(0)).alias("found"), F.posexplode("prefix").alias("at", "token")
-    )
-    a, b = posted.alias("a"), posted.alias("b")
-    # The tokens before the shared one are unlike unless shared as well, so this one and the rest bound the overlap.
-    left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) + F.least("a.at", "b.at")
-    position = left * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
-    # Both sides are one table; the condition on the later line names both, so that they share one exchange.
-    open_ = F.col("a.found") * F.col("b.n") == 0
-    match = (F.col("a.token") == F.col("b.token")) & open_ & _earlier("a", "b") & position & _enough("a", "b", percent)
-    rest = a.join(b, match).selectExpr("a.doc_id", "a.line_no", "b.doc_id as other_id", "b.line_no as other_no").distinct()
-    far = checkpointed(_similar(usable, rest, percent))
+    far = _similar(usable, checkpointed(_overlaps(lines, near, percent)), percent)
     release_shuffles(spark)
     return copies.union(near).union(far)
 
