@@ -146,8 +146,9 @@ def _overlaps(lines: DataFrame, near: DataFrame, percent: int) -> DataFrame:
     # The tokens before the shared one are unlike unless shared as well, so this one and the rest bound the overlap.
     left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) + F.least("a.at", "b.at")
     position = left * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
-    # Both sides are one table; the condition on the later line names both, so that they share one exchange.
-    open_ = F.col("a.found") * F.col("b.n") == 0
+    # Only lines that are not found yet are looked up.  The condition names the flags of both sides, as then both read the
+    # same columns and share one exchange.
+    open_ = F.col("a.found") <= F.least(F.col("b.found"), F.lit(0))
     match = (F.col("a.token") == F.col("b.token")) & open_ & _earlier("a", "b") & position & _enough("a", "b", percent)
     return a.join(b, match).selectExpr(*PAIR).distinct()
 
