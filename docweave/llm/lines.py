@@ -171,10 +171,15 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     copies = checkpointed(_copies(cards, sets))
     # What is left in a variable keeps its files: the cards have served.
     del cards
+    release_shuffles(spark)
     lines = sets.select("line.*")
-    near = _similar(usable, checkpointed(_meetings(lines, percent)), percent)
+    pairs = checkpointed(_meetings(lines, percent))
+    release_shuffles(spark)
+    near = _similar(usable, pairs, percent)
+    release_shuffles(spark)
+    pairs = checkpointed(_overlaps(lines, near, percent))
     release_shuffles(spark)
-    far = _similar(usable, checkpointed(_overlaps(lines, near, percent)), percent)
+    far = _similar(usable, pairs, percent)
     release_shuffles(spark)
     return copies.union(near).union(far)
 
