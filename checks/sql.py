@@ -1,7 +1,7 @@
 """SQL fragments shared by the oracle queries (DuckDB dialect)."""
 
 from docweave.functions.keywords import VIETNAMESE
-from docweave.functions.text import CLEAN_DROP, CUT, MARKER, NOT_WORD_OR_SPACE, WHITESPACE, WORD_TOKEN, WS
+from docweave.functions.text import CLEAN_DROP, CUT, NOT_WORD_OR_SPACE, WHITESPACE, WORD_TOKEN, WS
 
 
 def text_literal(s: str) -> str:
@@ -13,7 +13,10 @@ STOP = "(" + ", ".join(text_literal(w) for w in VIETNAMESE) + ")"
 SENTINEL = f"chr({ord(CUT)})"
 WS_RE = WS
 DROP_RE = text_literal(CLEAN_DROP)
-MARK_RE = text_literal(MARKER)
+# Letters of either case, in this dialect's own way: its (?i) folds all letters.
+BLANK = r"[\t-\r\x1c-\x20\x{85}\p{Z}]*"
+HEADINGS = "điều|chương|mục|phần|phụ lục|article|section|part|appendix"
+MARK_RE = text_literal(rf"(?i)^{BLANK}({HEADINGS})?{BLANK}([0-9]+\.)+([0-9]+)?{BLANK}\.?{BLANK}$")
 NORM_RE = text_literal(NOT_WORD_OR_SPACE)
 TOKEN_RE = text_literal(WORD_TOKEN)
 

@@ -47,7 +47,10 @@ def event_stream(spark, d):
 
 @check(
     "w2_dedupe_stream",
-    "select user_id || ':' || event_type as key, count(*) > 0 as kept from events group by all",
+    """with recursive e as (select user_id || ':' || event_type as key, ts from events where ts is not null),
+    kept(key, ts) as (select key, min(ts) from e group by key
+      union all select e.key, min(e.ts) from kept k join e on e.key = k.key and e.ts > k.ts + interval 1800 second group by e.key)
+    select key, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts from kept""",
 )
 def _(spark, d):
     log = event_stream(spark, d).select(F.concat(F.col("user_id").cast("string"), F.lit(":"), "event_type").alias("key"), "ts")
@@ -61,8 +64,7 @@ def _(spark, d):
         .start()
         .awaitTermination()
     )
-    # Everything arrives in one batch here, so a key comes out once.
-    return spark.read.parquet(target).groupBy("key").agg((F.count(F.lit(1)) == 1).alias("kept"))
+    return spark.read.parquet(target).select("key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
 @check(

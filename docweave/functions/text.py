@@ -22,8 +22,8 @@ CLEAN_DROP = (
     r"\.,;?!\-\(\)\[\]\{\}:\"'/@#$%^&*+=_<>`~|]"
 )
 MARKER = (
-    r"(?i)^[\t-\r\x1c-\x20\x{85}\p{Z}]*"
-    r"([ĐđD]iều|Chương|Mục|Phần|Phụ lục|Article|Section|Part|Appendix)?"
+    r"(?iu)^[\t-\r\x1c-\x20\x{85}\p{Z}]*"
+    r"(Điều|Chương|Mục|Phần|Phụ lục|Article|Section|Part|Appendix)?"
     r"[\t-\r\x1c-\x20\x{85}\p{Z}]*([0-9]+\.)+([0-9]+)?"
     r"[\t-\r\x1c-\x20\x{85}\p{Z}]*\.?[\t-\r\x1c-\x20\x{85}\p{Z}]*$"
 )

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.functions.text import words
 from docweave.functions import keywords as K
 from docweave.functions.vectors import GROW
 from docweave.operators.clusters import CLUSTERING, OUTLIERS, by_name
@@ -66,4 +67,4 @@ def outlier_method(name: str) -> Callable[[DataFrame], DataFrame]:
 
 def word_length(col: Column) -> Column:
     """Length in words, for splitters that count tokens."""
-    return F.size(F.filter(F.split(col, r"\s+"), lambda w: w != ""))
+    return F.size(words(col))

@@ -100,8 +100,11 @@ def resolve_config(requests: DataFrame, configs: DataFrame, any_config: bool = F
 
 
 def update_config(configs: DataFrame, changes: DataFrame, fields: list[str]) -> DataFrame:
-    """Only the fields that are given (not NULL) in ``changes`` (id, fields ...) change."""
-    given = changes.select("id", *[F.col(f).alias(f"_{f}") for f in fields])
+    """Only the fields that are given (not NULL) in ``changes`` (id, fields ...) change.
+
+    Of several rows with one id the greatest value of each field is taken, so no stored row is multiplied.
+    """
+    given = changes.groupBy("id").agg(*[F.max(f).alias(f"_{f}") for f in fields])
     joined = configs.join(given, "id", "left")
     return joined.withColumns({f: F.coalesce(f"_{f}", f) for f in fields}).drop(*[f"_{f}" for f in fields])
 

@@ -285,9 +285,12 @@ def naive_hybrid(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def coerce_limit(col: Column, default: int = 10) -> Column:
-    """Whole-number text as a number, anything else the default."""
+    """Whole-number text as a number, a number without its fraction, anything else the default."""
     text = strip(col.cast("string"))
-    return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("long")).otherwise(F.lit(default).cast("long"))
+    is_number = F.typeof(col).rlike("^(tinyint|smallint|int|bigint|float|double|decimal)")
+    whole = F.when(is_number, col.try_cast("double").try_cast("long"))
+    whole = whole.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("long"))
+    return F.coalesce(whole, F.lit(default).cast("long"))
 
 
 def with_fallback(queries: DataFrame, hits: DataFrame, answer: str = NO_ANSWER) -> DataFrame:

@@ -39,9 +39,14 @@ def insert_chunks(chunks: DataFrame, documents: DataFrame, new: DataFrame) -> tu
     return chunks.unionByName(new, allowMissingColumns=True), docs
 
 
+def _one_each(changes: DataFrame, key: str) -> DataFrame:
+    """One row a key, as an update changes a stored row once: the greatest of the values given for it."""
+    return changes.groupBy(key).agg(*[F.max(c).alias(c) for c in changes.columns if c != key])
+
+
 def update_text(chunks: DataFrame, changes: DataFrame, now: str | None = None) -> DataFrame:
     """New text (chunk_id, new_text) for chunks that are not deleted."""
-    joined = chunks.join(changes.select("chunk_id", "new_text"), "chunk_id", "left")
+    joined = chunks.join(_one_each(changes.select("chunk_id", "new_text"), "chunk_id"), "chunk_id", "left")
     cond = F.col("new_text").isNotNull() & ~F.col("is_deleted")
     return _set(joined, cond, {"chunk_text": F.col("new_text"), "updated_at": _stamp(now)}).drop("new_text")
 
@@ -89,7 +94,7 @@ def pending_chunks(chunks: DataFrame, document_id=None, ids: DataFrame | None =
 
 def fill_embeddings(chunks: DataFrame, new: DataFrame) -> DataFrame:
     """Embeddings (chunk_id, embedding) go in only where there is none; sets is_done."""
-    given = new.select("chunk_id", F.col("embedding").alias("_new"))
+    given = _one_each(new.select("chunk_id", F.col("embedding").alias("_new")), "chunk_id")
     filled = chunks.join(given, "chunk_id", "left").withColumn("embedding", F.coalesce("embedding", "_new")).drop("_new")
     return filled.withColumn("is_done", F.col("embedding").isNotNull())
 
@@ -147,7 +152,7 @@ def mark_embedded(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def upsert_config(configs: DataFrame, new: DataFrame, now: str | None = None) -> DataFrame:
     """(user_id, config, created_at, updated_at) after inserting or replacing (user_id, config)."""
-    given = new.select("user_id", F.col("config").alias("_config"))
+    given = _one_each(new.select("user_id", F.col("config").alias("_config")), "user_id")
     joined = configs.join(given, "user_id", "full")
     changed = F.col("_config").isNotNull()
     return joined.select(
@@ -186,6 +191,6 @@ def rollup_descriptions(documents: DataFrame, max_chars: int = 20_000, sep: str
 
 def set_descriptions(table: DataFrame, new: DataFrame, key: str, now: str | None = None) -> DataFrame:
     """Descriptions (key, description) where given, with the time of the change."""
-    joined = table.join(new.select(key, F.col("description").alias("_new")), key, "left")
+    joined = table.join(_one_each(new.select(key, F.col("description").alias("_new")), key), key, "left")
     cond = F.col("_new").isNotNull()
     return _set(joined, cond, {"description": F.col("_new"), "updated_at": _stamp(now)}).drop("_new")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docweave.functions import folds
 from docweave.functions.keywords import keywords
@@ -52,12 +55,38 @@ def ingest_stream(
 
 
 def dedupe_stream(log: DataFrame, ttl_seconds: int, key: str = "key", ts: str = "ts") -> DataFrame:
-    """First row per key.
+    """(key, ts) of the rows that find no live entry: the first of a key, and each that is more than ``ttl_seconds``
+    later than the last one kept.
 
-    A key is held for the time to live counted from that row, and until the watermark, which runs the same time
-    behind the newest row, has passed it; after that the key counts as new.
+    Rows of a batch are taken in order of time, so the result does not depend on how rows in order fall into batches.
+    The state of a key is the time of its last kept row; it goes once the watermark has passed that row's time to live.
     """
-    return log.withWatermark(ts, f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark([key])
+    live = ttl_seconds * 1_000_000
+
+    def walk(name, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames))
+        last, kept = state.get[0] if state.exists else None, []
+        for at in np.sort(rows["ts"].to_numpy("datetime64[us]")):
+            micros = int(at.astype(np.int64))
+            if last is None or micros - last > live:
+                kept.append(at)
+                last = micros
+        state.update((last,))
+        ends = (last + live) // 1000
+        if ends > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(ends)
+        else:
+            state.remove()
+        if kept:
+            yield pd.DataFrame({"key": name[0], "ts": np.array(kept)})
+
+    rows = log.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts")).where("ts is not null")
+    groups = rows.withWatermark("ts", f"{ttl_seconds} seconds").groupBy("key")
+    timeout = GroupStateTimeout.EventTimeTimeout
+    return groups.applyInPandasWithState(walk, "key string, ts timestamp", "last long", "append", timeout)
 
 
 def conversation_stream(messages: DataFrame, late: str = "1 hour") -> DataFrame:

@@ -82,6 +82,8 @@ def test_rerank_puts_missing_scores_last(spark):
 def test_limits(spark):
     df = spark.createDataFrame([("5",), (" 7 ",), ("3.7",), ("x",), (None,), ("-2",)], "t string")
     assert [r["x"] for r in df.select(R.coerce_limit(F.col("t")).alias("x")).collect()] == [5, 7, 10, 10, 10, -2]
+    numbers = spark.createDataFrame([(5.0,), (3.7,), (None,), (float("nan"),)], "t double")
+    assert [r["x"] for r in numbers.select(R.coerce_limit(F.col("t")).alias("x")).collect()] == [5, 3, 10, 10]
 
 
 def test_constant_lists_fuse_to_zero(spark):

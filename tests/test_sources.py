@@ -63,6 +63,17 @@ def test_keys_come_back_after_their_time(spark, tmp_path):
     assert got == ["10:00", "11:30", "12:00"]
 
 
+def test_keys_come_back_within_one_batch(spark, tmp_path):
+    source, target, offsets = (str(tmp_path / n) for n in ("in", "out", "off"))
+    hours = ("12:05", "10:00", "12:00", "10:10", "10:30", "10:31")
+    rows = " union all ".join(f"select 'a' as key, timestamp '2024-01-01 {h}:00' as ts" for h in hours)
+    spark.sql(rows).write.parquet(source)
+    once = ingest.dedupe_stream(spark.readStream.schema("key string, ts timestamp").parquet(source), 1800)
+    once.writeStream.format("parquet").option("path", target).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
+    got = sorted(r["t"] for r in spark.read.parquet(target).select(F.date_format("ts", "HH:mm").alias("t")).collect())
+    assert got == ["10:00", "10:31", "12:00"]
+
+
 def test_running_counts_keep_the_newest_batch(spark, tmp_path):
     source, target, offsets = (str(tmp_path / n) for n in ("in", "out", "off"))
     schema = "conv_id long, ts timestamp, role string"

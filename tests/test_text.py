@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from docweave.functions import keywords as K
 from docweave.functions import text as T
 from docweave.hooks import keyword_method
-from docweave.operators.sentences import prepared
+from docweave.operators.sentences import filter_markers, prepared
 
 
 def one(spark, expr, **cols):
@@ -81,3 +81,10 @@ def test_unknown_keyword_method_is_the_built_in_one(spark):
 
 def test_keyword_reply_drops_header_and_blanks(spark):
     assert one(spark, K.parse_keyword_lines(F.col("t")), t="T\u1eeb kh\u00f3a:\n a b \n\n c") == ["a b", "c"]
+
+
+def test_headings_of_either_case(spark):
+    rows = ["CHƯƠNG 1.", "MỤC 2.1", "PHẦN 3.", "PHỤ LỤC 1.", "ĐIỀU 4.", "điều 4.", "Diều 4.", "Section 2.", "1.2."]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "pos int, sentence string")
+    kept = [r.sentence for r in filter_markers(df).collect()]
+    assert kept == ["Diều 4."]
