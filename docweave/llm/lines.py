@@ -15,6 +15,7 @@ TOKEN = (1 << TOKEN_BITS) - 1
 # Tokens are counted in so many slots by hash; a slot's count is never less than its tokens' own.
 SLOT_BITS = 20
 MAP_LONGS = 3
+JOIN_BLOCKS = 4
 # Constants that turn the order of token hashes about; a line's least tokens in these orders are its meeting points.
 TURNS = (0x0123456789ABCDEF & TOKEN, 0x0F1E2D3C4B5A6978 & TOKEN, 0x1A2B3C4D5E6F7081 & TOKEN)
 
@@ -137,11 +138,15 @@ def _meetings(lines: DataFrame, percent: int) -> DataFrame:
     return tried.selectExpr(*PAIR).distinct()
 
 
-def _overlaps(lines: DataFrame, near: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a line not found yet and an earlier one that share a token of their prefixes and pass the filters."""
+def _overlaps(lines: DataFrame, near: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs of a line not found yet and an earlier one that share a token of their prefixes and pass the filters.
+
+    Only tokens of one block by their hash are taken, so the postings of all never lie on disk at once.
+    """
     flagged = lines.join(near.withColumn("found", F.lit(1)), ["doc_id", "line_no"], "left")
     found = F.coalesce("found", F.lit(0)).alias("found")
     posted = flagged.select("doc_id", "line_no", "n", *BITS, found, F.posexplode("prefix").alias("at", "token"))
+    posted = posted.where(F.pmod(F.col("token"), F.lit(JOIN_BLOCKS)) == block)
     a, b = posted.alias("a"), posted.alias("b")
     # The tokens before the shared one are unlike unless shared as well, so this one and the rest bound the overlap.
     left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) + F.least("a.at", "b.at")
@@ -177,9 +182,12 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     release_shuffles(spark)
     near = _similar(usable, pairs, percent)
     release_shuffles(spark)
-    pairs = checkpointed(_overlaps(lines, near, percent))
-    release_shuffles(spark)
-    far = _similar(usable, pairs, percent)
+    pairs = None
+    for block in range(JOIN_BLOCKS):
+        found = checkpointed(_overlaps(lines, near, percent, block))
+        pairs = found if pairs is None else pairs.union(found)
+        release_shuffles(spark)
+    far = _similar(usable, checkpointed(pairs.distinct()), percent)
     release_shuffles(spark)
     return copies.union(near).union(far)
 
