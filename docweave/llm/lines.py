@@ -187,8 +187,11 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         found = checkpointed(_overlaps(lines, near, percent, block))
         pairs = found if pairs is None else pairs.union(found)
         release_shuffles(spark)
-    far = _similar(usable, checkpointed(pairs.distinct()), percent)
+    pairs = checkpointed(pairs.distinct())
+    # The cards of the distinct lines have served as well.
+    del sets, lines, found
     release_shuffles(spark)
+    far = _similar(usable, pairs, percent)
     return copies.union(near).union(far)
 
 
@@ -199,6 +202,8 @@ def without_repeated_lines(documents: DataFrame, percent: int = PERCENT) -> Data
     stay alike; which lines go is decided as if each row's lines were the document's.
     """
     gone = repeated_lines(documents, percent).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
+    # All steps' tables but the lists of lines have served before the texts are joined.
+    release_shuffles(documents.sparkSession)
     joined = documents.join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left")
     lines = F.split("text", "\n")
 
