@@ -23,6 +23,11 @@ PER_LONG = 7
 MATCHES = 38
 ALIKE = 87
 PACKED = [f"p{i}" for i in range(COORDINATES // PER_LONG)]
+# Parities of how many shingles fall in each slot.  Slots of unlike parity are never more than the shingles that only one
+# of two sets has, so they bound the similarity from above, closely for sets up to about twice as large.
+PARITY_LONGS = 10
+PARITIES = [f"o{i}" for i in range(PARITY_LONGS)]
+SKETCH = PACKED + PARITIES
 HUB_ROUNDS = 2
 BLOCK_DOCUMENTS = 256
 LONG_WORD = 1024
@@ -109,8 +114,15 @@ class Coordinates:
         return (least >> np.uint64(32)).astype(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each slot whether an odd number of the hashes falls in it, packed in longs."""
+    slots = PARITY_LONGS * 64
+    odd = np.bincount((hashes % np.uint64(slots)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketch(documents: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, keys, packed): each document's set by its digest and its coordinates."""
+    """(doc_id, n_shingles, set_key, keys, packed): each document's set by its digest, its coordinates and parities."""
 
     def run(batches):
         region, coordinates = RegionHash(), Coordinates()
@@ -123,7 +135,8 @@ def sketch(documents: DataFrame, k: int) -> DataFrame:
                 counts.append(len(hashes))
                 digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
                 keys.append((np.arange(POSTED) << 32) | values[:POSTED])
-                packed.append(((values & 255).reshape(-1, PER_LONG) << shifts).sum(axis=1))
+                low = ((values & 255).reshape(-1, PER_LONG) << shifts).sum(axis=1)
+                packed.append(np.concatenate([low, parities(hashes)]))
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary())]
             for x in (keys, packed):
                 flat = np.concatenate(x) if x else np.zeros(0, np.int64)
@@ -144,6 +157,11 @@ def matching(a: str, b: str) -> Column:
     return equal
 
 
+def unlike(a: str, b: str) -> Column:
+    """Number of slots whose parities differ between two aliases' rows."""
+    return sum((F.bit_count(F.col(f"{a}.{o}").bitwiseXOR(F.col(f"{b}.{o}"))) for o in PARITIES), F.lit(0))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets have 100 * intersection >= percent * union."""
 
@@ -212,7 +230,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     prefix = F.transform(F.slice("keys", F.lit(1), F.size("keys") - (MATCHES - 1)), lambda x: x["key"])
     typical = F.aggregate("keys", F.lit(0).cast("long"), lambda total, x: total + x["c"])
     able = lists.where(F.size("keys") >= MATCHES).select("rep", prefix.alias("prefix"), typical.alias("typical"))
-    able = checkpointed(able.join(reps.select("rep", "n", *[F.get("packed", F.lit(i)).alias(p) for i, p in enumerate(PACKED)]), "rep").dropDuplicates(["rep"]))
+    able = checkpointed(able.join(reps.select("rep", "n", *[F.get("packed", F.lit(i)).alias(p) for i, p in enumerate(SKETCH)]), "rep").dropDuplicates(["rep"]))
     release_shuffles(spark)
 
     def hash_texts(batches):
@@ -227,7 +245,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
 
     def alike(a: str, b: str) -> Column:
         sizes = F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent
-        return sizes & (matching(a, b) >= ALIKE)
+        # Jaccard >= percent / 100 if the shingles in one set alone are few: (100 - percent) / (100 + percent) of both sizes.
+        few = unlike(a, b) * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent)
+        return sizes & few & (matching(a, b) >= ALIKE)
 
     def open_lists(found, *carried):
         """Entries of the lists whose documents aren't all in one component, with their labels."""
@@ -237,14 +257,14 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
         thin = known.select("label", F.explode("prefix").alias("key"))
         several = thin.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
         entries = known.select("rep", "label", F.posexplode("prefix").alias("at", "key")).join(several, "key", "left_semi")
-        return entries.join(able.select("rep", "n", *PACKED, *carried), "rep")
+        return entries.join(able.select("rep", "n", *SKETCH, *carried), "rep")
 
     links, found = None, None
     for turn in range(HUB_ROUNDS):
         # The first hub of a list is its most typical document, the next ones are any.
         order = -F.col("typical") if turn == 0 else F.xxhash64("rep", "key", F.lit(turn))
         entries = open_lists(found, "typical")
-        hub = F.min(F.struct(order.alias("o"), "rep", "label", "n", *PACKED)).alias("hub")
+        hub = F.min(F.struct(order.alias("o"), "rep", "label", "n", *SKETCH)).alias("hub")
         hubs = entries.groupBy("key").agg(hub).select("key", "hub.*")
         met = entries.alias("e").join(hubs.alias("h"), "key").where((F.col("e.label") != F.col("h.label")) & alike("e", "h"))
         likest = F.max(F.struct(matching("e", "h").alias("m"), (-F.col("h.rep")).alias("o")))
