@@ -20,7 +20,7 @@ from docweave.llm.html import blocks_of, extract_pages, features, labelled_block
 from docweave.llm.kdtree import exact_top_k
 from docweave.llm.lines import dedupe_lines, without_repeated_lines
 from docweave.llm.lm import score_documents
-from docweave.llm.near import RegionHash, near_duplicates, shingle_hashes, words
+from docweave.llm.near import RegionHash, near_duplicates, parities, shingle_hashes, words
 from docweave.llm.packing import best_fit, pack_documents
 from docweave.llm.quality import OrdinalModel, grade_documents, grader, train_quality
 from docweave.llm.token_files import EliasFano, Shard, read_token_shards, write_shard, write_token_shards
@@ -252,6 +252,31 @@ def test_near_duplicates(spark, docs):
     assert {r.doc_id: tuple(r)[1:] for r in got} == linked(rows, 4)
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """A family whose members' similarities lie on both sides of the threshold."""
+    draw = np.random.default_rng(3)
+    rows = []
+    for i in range(160):
+        text = [f"v{j}" for j in range(150)]
+        for at in draw.choice(150, draw.integers(0, 7), replace=False):
+            text[at] = f"y{i}-{at}"
+        rows.append((i, " ".join(text)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    want = linked(rows, 4)
+    assert {r.doc_id: tuple(r)[1:] for r in got} == want
+    assert 10 < len({top for _, top, _ in want.values()}) < 150
+
+
+@pytest.mark.parametrize("size", [0, 1, 20, 300, 5000])
+def test_parities_never_differ_more_than_sets(size):
+    draw = np.random.default_rng(size)
+    for own in (0, 1, 7, 200):
+        both, one, other = (draw.integers(0, 1 << 63, n).astype(np.uint64) for n in (size, own, own // 2))
+        x, y = parities(np.concatenate([both, one])), parities(np.concatenate([both, other]))
+        differ = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+        assert differ <= own + own // 2 and (differ + own + own // 2) % 2 == 0
+
+
 def test_shingles_stand_alike_anywhere():
     region = RegionHash()
     text = words(" ".join(f"W{i}" for i in range(40_000)) + " " + "z" * 5000)
