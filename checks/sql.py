@@ -1,7 +1,7 @@
 """SQL fragments shared by the oracle queries (DuckDB dialect)."""
 
 from docweave.functions.keywords import VIETNAMESE
-from docweave.functions.text import CLEAN_DROP, CUT, NOT_WORD_OR_SPACE, WHITESPACE, WORD_TOKEN, WS
+from docweave.functions.text import CLEAN_DROP, NOT_WORD_OR_SPACE, WHITESPACE, WORD_TOKEN, WS
 
 
 def text_literal(s: str) -> str:
@@ -10,7 +10,8 @@ def text_literal(s: str) -> str:
 
 WS_CHARS = "(" + " || ".join(f"chr({ord(c)})" for c in WHITESPACE) + ")"
 STOP = "(" + ", ".join(text_literal(w) for w in VIETNAMESE) + ")"
-SENTINEL = f"chr({ord(CUT)})"
+# Marks cut points on this side; the tables hold no such character.
+SENTINEL = "chr(57344)"
 WS_RE = WS
 DROP_RE = text_literal(CLEAN_DROP)
 # Letters of either case, in this dialect's own way: its (?i) folds all letters.

@@ -6,13 +6,14 @@ building run as array expressions: no shuffle, and no group larger than the row
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docweave.functions.common import append, empty, let
-from docweave.functions.text import CUT, strip, words
+from docweave.functions.text import strip, words
 
 STRINGS = "array<string>"
 
@@ -40,7 +41,9 @@ def split_recursive(
         return F.struct(p.alias("piece"), is_open.alias("open"), start.alias("start"))
 
     def cut(p: Column, sep: str) -> Column:
-        parts = F.split(p, "") if sep == "" else F.split(F.replace(p, F.lit(sep), F.lit(CUT + sep)), CUT)
+        parts = F.split(p, re.escape(sep))
+        if sep != "":
+            parts = F.transform(parts, lambda x, i: F.when(i > 0, F.concat(F.lit(sep), x)).otherwise(x))
 
         def mark(ps):
             def one(x, i):

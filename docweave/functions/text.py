@@ -28,9 +28,6 @@ MARKER = (
     r"[\t-\r\x1c-\x20\x{85}\p{Z}]*\.?[\t-\r\x1c-\x20\x{85}\p{Z}]*$"
 )
 
-# A private-use character marks cut points; a text that contains it is cut there too.
-CUT = "\ue000"
-
 # Entities replaced after the tags are gone, in this order.
 ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')]
 
@@ -51,7 +48,7 @@ def tokens(col: Column) -> Column:
 
 def raw_sentences(col: Column) -> Column:
     """Cut after a full stop, exclamation or question mark that is followed by whitespace."""
-    return F.split(F.regexp_replace(col, "([.!?])" + WS + "+", "$1" + CUT), CUT)
+    return F.split(col, "(?<=[.!?])" + WS + "+")
 
 
 def clean_text(col: Column) -> Column:

@@ -37,6 +37,11 @@ def test_short_text_is_still_cut_at_the_first_separator(spark):
     assert texts(C.split_recursive(rows(spark, ["a.b"]), 100)) == ["a", ".b"]
 
 
+def test_split_keeps_private_use_characters_and_runs_of_separators(spark):
+    assert texts(C.split_recursive(rows(spark, ["a\ue000b\n\n\nc.*d\n\n"]), 8)) == ["a\ue000b", "\n\n\nc.*d", "\n\n"]
+    assert texts(C.split_recursive(rows(spark, ["ab.*cd.*ef"]), 5, [".*"])) == ["ab", ".*cd", ".*ef"]
+
+
 def test_merge_packs_up_to_the_size(spark):
     assert texts(C.recursive_chunks(rows(spark, ["one two three four five"]), 10, 0)) == ["one two", "three", "four five"]
 

@@ -19,6 +19,10 @@ def test_cut_needs_whitespace_behind_the_mark(spark):
     assert one(spark, T.raw_sentences(F.col("t")), t="Pi is 3.14. Yes!  No?x") == ["Pi is 3.14.", "Yes!", "No?x"]
 
 
+def test_cut_keeps_private_use_characters(spark):
+    assert one(spark, T.raw_sentences(F.col("t")), t="a\ue000b. \ue000. . c! ") == ["a\ue000b.", "\ue000.", ".", "c!", ""]
+
+
 def test_length_is_tested_on_raw_text_and_strictly(spark):
     rows = prepared(spark.createDataFrame([(1, "abcd. abcd.x \u2603\u2603\u2603\u2603\u2603.")], "doc_id long, text string"))
     assert [r["sentence"] for r in rows.orderBy("pos").collect()] == ["abcd.", "abcd.x ."]
