@@ -113,15 +113,16 @@ PARTS = " or ".join(f"contains(q, '{g}')" for g in R.GREETING_PARTS)
 
 @check(
     "r6_skip_rerank",
-    f"""with c as (select conv_id, turn, string_split(text, ' ')[1] as query_text, conv_id % 7 + 2 as n from conversations),
+    f"""with c as (select conv_id, turn, unnest([text, string_split(text, ' ')[1]]) as query_text,
+                  unnest(['message', 'first word']) as part, conv_id % 7 + 2 as n from conversations),
     l as (select *, {Q.strip('lower(query_text)')} as q from c)
-    select conv_id, turn, n <= 3 or q in {GREET} or (length(q) <= 10 and ({PARTS})) or length({Q.strip('query_text')}) < 5 as skip from l""",
+    select conv_id, turn, part, n <= 3 or q in {GREET} or (length(q) <= 10 and ({PARTS})) or length({Q.strip('query_text')}) < 5 as skip from l""",
 )
 def _(spark, d):
-    asked = load(spark, d, "conversations").select(
-        "conv_id", "turn", F.split("text", " ")[0].alias("query_text"), (F.col("conv_id") % 7 + 2).alias("n")
-    )
-    return R.skip_rerank(asked).select("conv_id", "turn", "skip")
+    asked = F.create_map(F.lit("message"), F.col("text"), F.lit("first word"), F.split("text", " ")[0])
+    turns = load(spark, d, "conversations")
+    queries = turns.select("conv_id", "turn", F.explode(asked).alias("part", "query_text"), (F.col("conv_id") % 7 + 2).alias("n"))
+    return R.skip_rerank(queries).select("conv_id", "turn", "part", "skip")
 
 
 BALANCED = f"""{HYBRID},

@@ -24,11 +24,10 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", "lang", "source", "n_chars")
 
 
-@check("s2_read_text_files", "select text as line from documents where position(chr(10) in text) = 0 and position(chr(13) in text) = 0")
+@check("s2_read_text_files", "select line from (select unnest(string_split(text, chr(10))) as line from documents) where line <> ''")
 def _(spark, d):
     path = scratch_path(spark, "texts")
-    one_line = docs(spark, d).filter(~F.col("text").rlike("[\n\r]"))
-    one_line.select("text").write.text(path)
+    docs(spark, d).select("text").write.text(path)
     files = readers.read_text_files(spark, path)
     return files.select(F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
 
