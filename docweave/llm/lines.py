@@ -9,6 +9,7 @@ from docweave.llm.common import let, release_shuffles
 from docweave.session import checkpointed
 
 PERCENT = 80
+# Lines of fewer distinct words are left alone unless the caller asks for shorter ones as well.
 MIN_TOKENS = 5
 TOKEN_BITS = 57
 TOKEN = (1 << TOKEN_BITS) - 1
@@ -49,6 +50,11 @@ def _prefix_size(n: Column, percent: int) -> Column:
     return n - F.floor((n * percent + 99) / 100).cast("int") + 1
 
 
+def _may_differ(n: Column, percent: int) -> Column:
+    """Whether a set of n tokens can resemble any set but its equal: with one token more it must still be similar."""
+    return n * 100 >= (n + 1) * percent
+
+
 def line_cards(documents: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """A row for each line: its place, size, bitmaps, prefix and meeting points as a struct, and keys of its set of words."""
     tokens = _lines(documents).select("doc_id", "line_no", _tokens(F.col("line")).alias("tokens"))
@@ -73,6 +79,8 @@ def line_cards(documents: DataFrame, classes: DataFrame, percent: int) -> DataFr
         return F.array_min(F.transform("ranked", lambda h: h.bitwiseAND(F.lit(TOKEN)).bitwiseXOR(F.lit(turn))))
 
     n = F.size("ranked")
+    # Only equal sets resemble the shortest ones, and those meet by their digests.
+    size = F.when(_may_differ(n, percent), _prefix_size(n, percent)).otherwise(0)
     return lines.select(
         F.xxhash64("ranked").alias("key"),
         F.xxhash64(F.lit(1), F.col("ranked")).alias("key2"),
@@ -81,8 +89,8 @@ def line_cards(documents: DataFrame, classes: DataFrame, percent: int) -> DataFr
             "line_no",
             n.alias("n"),
             *[bitmap(i).alias(f"b{i}") for i in range(MAP_LONGS)],
-            F.slice("ranked", F.lit(1), _prefix_size(n, percent)).alias("prefix"),
-            F.array(*[meeting(t) for t in TURNS]).alias("meeting"),
+            F.slice("ranked", F.lit(1), size).alias("prefix"),
+            F.when(_may_differ(n, percent), F.array(*[meeting(t) for t in TURNS])).alias("meeting"),
         ).alias("line"),
     )
 
@@ -158,11 +166,11 @@ def _overlaps(lines: DataFrame, near: DataFrame, percent: int, block: int) -> Da
     return a.join(b, match).selectExpr(*PAIR).distinct()
 
 
-def repeated_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+def repeated_lines(documents: DataFrame, percent: int = PERCENT, least: int = MIN_TOKENS) -> DataFrame:
     """(doc_id, line_no) of the lines that an earlier line resembles: Jaccard of word sets of percent / 100 or more.
 
-    Lines of fewer than five distinct words are never listed.  Earlier is by doc_id, then line number from 0.  Lines of one
-    word set are joined first by digests.  The others' tokens are ordered by rarity; lines meet on tokens of their prefixes
+    Lines of fewer than ``least`` distinct words are never listed; with 1 these are the blank lines alone.  Earlier is by
+    doc_id, then line number from 0.  Lines of one word set are joined first by digests.  The others' tokens are ordered by rarity; lines meet on tokens of their prefixes
     under the length, position and bitmap filters, and what remains is compared whole.  Before that join each line is
     compared with the first line of its meeting points, and lines found there only serve as earlier ones: so families of
     thousands of variants don't meet in all pairs.
@@ -170,14 +178,14 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = documents.sparkSession
     usable = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     # Short lines go after the checkpoint: before it, the condition would make the tokens a second time.
-    cards = checkpointed(line_cards(usable, rarity_classes(usable), percent)).where(F.col("line.n") >= MIN_TOKENS)
+    cards = checkpointed(line_cards(usable, rarity_classes(usable), percent)).where(F.col("line.n") >= max(1, least))
     sets = checkpointed(cards.groupBy("key", "key2").agg(F.min("line").alias("line"), F.count("*").alias("copies")))
     release_shuffles(spark)
     copies = checkpointed(_copies(cards, sets))
     # What is left in a variable keeps its files: the cards have served.
     del cards
     release_shuffles(spark)
-    lines = sets.select("line.*")
+    lines = sets.select("line.*").where(_may_differ(F.col("n"), percent))
     pairs = checkpointed(_meetings(lines, percent))
     release_shuffles(spark)
     near = _similar(usable, pairs, percent)
@@ -195,13 +203,13 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     return copies.union(near).union(far)
 
 
-def without_repeated_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+def without_repeated_lines(documents: DataFrame, percent: int = PERCENT, least: int = MIN_TOKENS) -> DataFrame:
     """The documents with their columns, their texts without repeated lines, and counts `_lines` and `_removed`.
 
     A null text stays null and a null doc_id keeps its text.  Rows with one doc_id lose the same lines, so repeated rows
     stay alike; which lines go is decided as if each row's lines were the document's.
     """
-    gone = repeated_lines(documents, percent).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
+    gone = repeated_lines(documents, percent, least).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
     # All steps' tables but the lists of lines have served before the texts are joined.
     release_shuffles(documents.sparkSession)
     joined = documents.join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left")
@@ -217,9 +225,9 @@ def without_repeated_lines(documents: DataFrame, percent: int = PERCENT) -> Data
     return counted.withColumn("text", text).drop("_gone", "_id")
 
 
-def dedupe_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+def dedupe_lines(documents: DataFrame, percent: int = PERCENT, least: int = MIN_TOKENS) -> DataFrame:
     """(doc_id, n_lines, n_removed, text) of every document; a null text has no lines."""
-    done = without_repeated_lines(documents.select("doc_id", "text"), percent)
+    done = without_repeated_lines(documents.select("doc_id", "text"), percent, least)
     return done.select(
         "doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_removed").cast("long").alias("n_removed"), "text"
     )

@@ -67,7 +67,7 @@ def _(spark, d):
 
 @query("op2_line_dedup")
 def _(spark, d):
-    return dedupe_lines(load(spark, d, "documents"))
+    return dedupe_lines(load(spark, d, "documents"), least=1)
 
 
 @query("op3_quality_grades")
