@@ -33,12 +33,14 @@ FRAME_ROLES = frozenset("navigation banner contentinfo complementary search form
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<hidden>" + "|".join(HIDDEN) + r")\b[^>]*>.*?(?:</(?P=hidden)\s*>|\Z)"
+    r"|<(?P<empty>svg|math)(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
+    r"|<(?P<hidden>" + "|".join(HIDDEN) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=hidden)\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+# One attribute with its value; names are only looked for after the attribute before has ended.
+ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 
 FEATURES = ("in_frame", "in_article", "in_body", "heading", "words", "links", "words_before", "links_before", "words_after", "links_after")
 
@@ -46,7 +48,7 @@ FEATURES = ("in_frame", "in_article", "in_body", "heading", "words", "links", "w
 def _marks(tag: str, rest: str) -> tuple[bool, bool, bool, bool]:
     """(frame, article, body, hidden) of an element by its name, class, id and role."""
     frame, article, body, hidden = tag in FRAME_TAGS, tag in ("article", "main"), False, False
-    if "=" in rest or "hidden" in rest:
+    if "=" in rest or "hidden" in rest.lower():
         for name, value in ATTRIBUTE.findall(rest):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
@@ -57,7 +59,7 @@ def _marks(tag: str, rest: str) -> tuple[bool, bool, bool, bool]:
             elif name == "role":
                 frame = frame or value in FRAME_ROLES
                 article = article or value in ("article", "main")
-            else:
+            elif name in ("hidden", "aria-hidden"):
                 hidden = hidden or (name == "hidden" and value != "false") or value == "true"
     return frame, article, body, hidden
 
@@ -94,8 +96,8 @@ def blocks_of(page: str) -> list[dict]:
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
-            if m["hidden"]:
-                add(" ") if m["hidden"].lower() not in ("script", "style", "title") else None
+            if m["hidden"] or m["empty"]:
+                add(" ") if (m["hidden"] or m["empty"]).lower() not in ("script", "style", "title") else None
             continue
         if tag == "br":
             add(" ")
