@@ -9,53 +9,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docweave.operators.components import components as linked_components
 from docweave.operators.similarity import distinct_sentences, nearest_member, sparse_cosine
 from docweave.session import checkpointed
 
-MAX_ROUNDS = 60
-
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc_id, pos, root): connected components, root = lowest position in the component.
 
-    Each round takes the lowest root among the neighbours and then follows that root's own root, so long chains
-    fold up in few rounds.  Rounds end when no root changes.
+    Sentences are linked as (doc_id, pos); the star steps go on until nothing moves, and their rounds grow with the
+    logarithm of the component's size, also along chains.
     """
-    both = edges.select("doc_id", "a", "b").unionByName(
-        edges.select("doc_id", F.col("b").alias("a"), F.col("a").alias("b"))
-    )
-    both = checkpointed(both)
-    touched = both.select("doc_id", F.col("a").alias("pos")).distinct()
-    roots = _settle(checkpointed(touched.withColumn("root", F.col("pos"))), both)
+    ends = [F.struct("doc_id", F.col(c).alias("pos")).alias(c) for c in ("a", "b")]
+    found = linked_components(edges.select(*ends))
+    roots = found.select("node.doc_id", "node.pos", F.col("component.pos").alias("root"))
     joined = nodes.select("doc_id", "pos").join(roots, ["doc_id", "pos"], "left")
     return joined.withColumn("root", F.coalesce("root", "pos"))
 
 
-def _settle(roots: DataFrame, both: DataFrame) -> DataFrame:
-    """Rounds over the sentences that have an edge."""
-    if roots.isEmpty():
-        return roots
-    for _ in range(MAX_ROUNDS):
-        offered = (
-            both.join(roots.withColumnRenamed("pos", "a"), ["doc_id", "a"])
-            .groupBy("doc_id", F.col("b").alias("pos"))
-            .agg(F.min("root").alias("offer"))
-        )
-        lower = roots.join(offered, ["doc_id", "pos"], "left").select(
-            "doc_id", "pos", F.col("root").alias("old"), F.least("root", "offer").alias("root")
-        )
-        of_root = lower.select("doc_id", F.col("pos").alias("root"), F.col("root").alias("up"))
-        nxt = checkpointed(
-            lower.join(of_root, ["doc_id", "root"]).select(
-                "doc_id", "pos", F.least("root", "up").alias("root"), (F.least("root", "up") < F.col("old")).alias("moved")
-            )
-        )
-        roots = nxt.select("doc_id", "pos", "root")
-        if nxt.filter("moved").isEmpty():
-            return roots
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-
-
 def _label_copies(sentences: DataFrame, labels: DataFrame) -> DataFrame:
     """Give every copy of a sentence the label of its first occurrence; (doc_id, pos, sentence, label)."""
     firsts = labels.withColumnRenamed("pos", "first")
