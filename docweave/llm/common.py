@@ -11,6 +11,8 @@ import types
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.session import scratch_path
+
 
 def let(value: Column, body) -> Column:
     """Name a value inside a column expression, so that it is computed once a row."""
@@ -26,6 +28,13 @@ def long_array(values) -> Column:
     return F.from_json(F.lit(json.dumps([int(v) for v in values])), "array<bigint>")
 
 
+def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write a table to the shared folder and read it again: computed once, and no lineage behind it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps: it acts when the driver's garbage goes."""
     gc.collect()

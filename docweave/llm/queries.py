@@ -5,16 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from docweave.llm import oracles
 from docweave.llm.bpe import encode_and_decode
 from docweave.llm.fingerprints import fingerprint_documents
 from docweave.llm.html import extract_pages
 from docweave.llm.kdtree import exact_top_k
 from docweave.llm.lines import dedupe_lines
 from docweave.llm.lm import score_documents
+from docweave.llm.merkle import document_manifest
 from docweave.llm.near import near_duplicates
 from docweave.llm.packing import pack_documents
+from docweave.llm.phrases import mine_phrases
 from docweave.llm.quality import grade_documents
 from docweave.llm.token_files import read_token_shards, write_token_shards
+from docweave.llm.url_filters import host_of, judge_urls
 from docweave.session import scratch_path
 from docweave.sources.readers import load
 
@@ -83,3 +87,25 @@ def _(spark, d):
 @query("op10_lm_scores")
 def _(spark, d):
     return score_documents(load(spark, d, "documents"))
+
+
+@query("op11_merkle_manifest", oracles.MERKLE)
+def _(spark, d):
+    return document_manifest(load(spark, d, "documents"))
+
+
+# Rules (verdict, host, path) of the query, and the names of the hosts whose URLs make up its list.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+LISTED_HOSTS = "ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm"
+
+
+@query("op12_url_filters", oracles.URLS)
+def _(spark, d):
+    pages = load(spark, d, "pages")
+    listed = pages.where(host_of(F.col("url")).rlike(rf"(^|\.)({LISTED_HOSTS})\.")).select("url")
+    return judge_urls(pages, listed, URL_RULES)
+
+
+@query("op13_phrase_mining", oracles.PHRASES)
+def _(spark, d):
+    return mine_phrases(load(spark, d, "documents"))
