@@ -63,26 +63,22 @@ select page_id, host, path, rule, coalesce(v, case when l.canonical is not null
 from named left join fitting using (page_id) left join listing l on l.canonical = named.canonical"""
 
 PHRASES = r"""with texts as (
-  select row_number() over () as rid, doc_id, coalesce(lang, 'und') as lang,
-         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
-split as (select rid, doc_id, lang, regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]') as ps from texts),
-pieces as (select rid, doc_id, lang, unnest(range(len(ps))) as piece, unnest(list_transform(ps, lambda p: regexp_extract_all(p, '[^ \t]+'))) as ws from split),
-placed as materialized (
-  select doc_id, lang, ws, coalesce(sum(len(ws)) over (partition by rid order by piece rows between unbounded preceding and 1 preceding), 0)::bigint as before
-  from pieces),
+  select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+pieces as (select lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as piece from texts),
+placed as materialized (select lang, regexp_extract_all(piece, '[^ \t]+') as ws from pieces),
 totals as (select lang, sum(len(ws))::bigint as n from placed group by lang),
-spans as (select doc_id, lang, ws, before, k, unnest(range(len(ws) - k + 1)) as i from placed, range(1, 6) t(k) where len(ws) >= k),
+spans as (select lang, ws, k, unnest(range(len(ws) - k + 1)) as i from placed, range(1, 6) t(k) where len(ws) >= k),
 grams as materialized (
-  select lang, k, array_to_string(ws[i + 1 : i + k], ' ') as phrase, count(*) as f, min({'d': doc_id, 'p': before + i}) as first
+  select lang, k, array_to_string(ws[i + 1 : i + k], ' ') as phrase, count(*) as f
   from spans group by all having count(*) >= 100),
-cuts as (select lang, phrase, f as a, n, first, string_split(phrase, ' ') as ws, unnest(range(1, k)) as cut from grams join totals using (lang) where k > 1),
+cuts as (select lang, phrase, f as a, n, string_split(phrase, ' ') as ws, unnest(range(1, k)) as cut from grams join totals using (lang) where k > 1),
 halves as (select *, array_to_string(ws[1 : cut], ' ') as one, array_to_string(ws[cut + 1 :], ' ') as rest from cuts),
 rated as (
-  select h.lang, h.phrase, a, n, h.first, cut, l.f as l, r.f as r, ((1000::hugeint * a * n) // (l.f::hugeint * r.f))::bigint as score
+  select h.lang, h.phrase, a, n, cut, l.f as l, r.f as r, ((1000::hugeint * a * n) // (l.f::hugeint * r.f))::bigint as score
   from halves h join grams l on l.lang = h.lang and l.phrase = one join grams r on r.lang = h.lang and r.phrase = rest),
 lowest as (select * from rated qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
 kept as (
   select * from lowest x where not exists (
     select 1 from grams g where g.lang = x.lang and g.phrase <> x.phrase and g.f >= x.a and contains(' ' || g.phrase || ' ', ' ' || x.phrase || ' ')))
-select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score,
-       first.d as first_doc_id, first.p as first_word from kept qualify rank <= 2000"""
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+       from kept qualify rank <= 2000"""

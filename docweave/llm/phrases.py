@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -22,16 +23,16 @@ MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", PIECE * 10 + b" ")
 WORD_END = re.compile(rb"[\t-\r .,;:!?]")
 # Bytes of text that are cut to words at a time, and words whose windows are hashed at a time.
 TEXT_SLICE = 1 << 23
-WINDOW_SLICE = 1 << 22
+WINDOW_SLICE = 1 << 21
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 # A sieve holds 32 bits for each frequent phrase, 16 MB at the most; a larger set only makes it pass more windows.
 SIEVE_LEAST, SIEVE_MOST = 12, 27
 SIEVE_HASHES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
-ID_SCHEMA = "doc_id long, ids binary, id long, lang string, word string, n long"
+ID_SCHEMA = "ids binary, id long, lang string, word string, n long"
 ARROW_IDS = pa.schema(
-    [("doc_id", pa.int64()), ("ids", pa.binary()), ("id", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]
+    [("ids", pa.binary()), ("id", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]
 )
 
 
@@ -70,12 +71,12 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in ARROW_IDS], schema=ARROW_IDS)
 
 
-def _documents_to_ids(seed: int):
-    """Arrow batches (doc_id, lang, text) to rows (doc_id, ids) of documents and rows (id, lang, word, n) of words."""
+def _texts_to_ids(seed: int):
+    """Arrow batches (lang, text) to rows of the ids of each text and rows (id, lang, word, n) of words."""
 
-    def groups(batch: pa.RecordBatch) -> Iterator[tuple[str, list[tuple[int, bytes]]]]:
+    def groups(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
         langs = batch.column("lang").to_pylist()
-        doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())
+        texts = batch.column("text").cast(pa.binary())
         for lang in dict.fromkeys(langs):
             held, size = [], 0
             for i in (i for i, x in enumerate(langs) if x == lang):
@@ -83,25 +84,24 @@ def _documents_to_ids(seed: int):
                 if size and size + len(text) > TEXT_SLICE:
                     yield lang, held
                     held, size = [], 0
-                held.append((doc_ids[i], text))
+                held.append(text)
                 size += len(text)
             yield lang, held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, held in groups(batch):
-                parts = cut_long(held[0][1]) if len(held) == 1 else [t for _, t in held]
                 if len(held) == 1:
-                    made = [to_ids([p], lang.encode(), seed) for p in parts]
+                    made = [to_ids([part], lang.encode(), seed) for part in cut_long(held[0])]
                     # The end of a part that is not the last is no end of a piece.
                     whole = np.concatenate([*(ids[:-1] for ids, _, _ in made), np.zeros(1, np.uint64)])
                     rows, counted = [whole], [words for _, _, words in made]
                 else:
-                    ids, ends, words = to_ids(parts, lang.encode(), seed)
+                    ids, ends, words = to_ids(held, lang.encode(), seed)
                     rows, counted = np.split(ids, ends[:-1]), [words]
-                kept = [(doc, x) for (doc, _), x in zip(held, rows, strict=True) if x.any()]
+                kept = [x.tobytes() for x in rows if x.any()]
                 if kept:
-                    yield _batch(doc_id=pa.array([d for d, _ in kept], pa.int64()), ids=pa.array([x.tobytes() for _, x in kept], pa.binary()))
+                    yield _batch(ids=pa.array(kept, pa.binary()))
                 for words in counted:
                     if words:
                         own = _signed([i for i, _ in words.values()])
@@ -112,8 +112,53 @@ def _documents_to_ids(seed: int):
     return run
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class Windows:
+    """Rabin-Karp fingerprints of all windows of a run of word ids, from prefix polynomials in wrapping 64-bit numbers."""
+
+    POWERS, INVERSES = _powers(BASE, WINDOW_SLICE + LONGEST), _powers(BASE_INVERSE, WINDOW_SLICE + LONGEST)
+
+    def __init__(self, ids: np.ndarray):
+        self.ids = ids
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * self.POWERS[: len(ids)], dtype=np.uint64)])
+        self.breaks = np.concatenate([np.zeros(1, np.int32), np.cumsum(ids == 0, dtype=np.int32)])
+
+    def prints(self, k: int) -> np.ndarray:
+        """The fingerprint of the k words from each start that leaves as many."""
+        n = max(0, len(self.ids) - k + 1)
+        return (self.sums[k : k + n] - self.sums[:n]) * self.INVERSES[:n]
+
+    def whole(self, k: int) -> np.ndarray:
+        """Whether the k words from each such start hold no end of a piece."""
+        n = max(0, len(self.ids) - k + 1)
+        return self.breaks[k : k + n] == self.breaks[:n]
+
+
+def slices(ids: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """(ids, own): stretches with the words that the windows of their last starts need; the first `own` starts are theirs."""
+    for start in range(0, len(ids), WINDOW_SLICE):
+        yield ids[start : start + WINDOW_SLICE + LONGEST - 1], min(WINDOW_SLICE, len(ids) - start)
+
+
+def verified_groups(prints: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first, count) of each distinct row of ids.  Rows are grouped by fingerprint and each is compared with
+    the first of its group; those that differ under one fingerprint are told apart by the ids themselves."""
+    _, first, group, n = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
+    other = np.flatnonzero((rows != rows[first[group]]).any(axis=1))
+    if not len(other):
+        return first, n
+    n = n - np.bincount(group[other], minlength=len(n))
+    _, again, m = np.unique(rows[other], axis=0, return_index=True, return_counts=True)
+    return np.concatenate([first, other[again]]), np.concatenate([n, m])
+
+
 class Sieve:
-    """A bounded bit table of the frequent fingerprints of one length; it may pass others, never stops one of them."""
+    """A bounded bit table of the fingerprints of frequent phrases; it may pass others, never stops one of them."""
 
     def __init__(self, table: np.ndarray, bits: int):
         self.table, self.bits = table, bits
@@ -129,151 +174,86 @@ class Sieve:
         return out
 
     @classmethod
-    def of(cls, prints: DataFrame, column: str) -> Sieve:
-        """Built in the tasks from a column of fingerprints; only the words of the bit table come to the driver."""
-        bits = int(np.clip(np.ceil(np.log2(32 * max(1, prints.count()))), SIEVE_LEAST, SIEVE_MOST))
+    def of(cls, phrases: DataFrame, columns: list[str]) -> Sieve:
+        """Built in the tasks from the phrases' ids; only the words of the bit table come to the driver."""
+        bits = int(np.clip(np.ceil(np.log2(32 * max(1, phrases.count()))), SIEVE_LEAST, SIEVE_MOST))
 
         def marks(batches):
             for batch in batches:
-                at = np.unique(np.concatenate(cls._places(batch.column(0).to_numpy().view(np.uint64), bits)))
+                ids = np.stack([c.to_numpy().view(np.uint64) for c in batch.columns], axis=1)
+                prints = (ids * Windows.POWERS[: len(columns)]).sum(axis=1, dtype=np.uint64)
+                at = np.unique(np.concatenate(cls._places(prints, bits)))
                 word, first = np.unique(at >> np.uint64(6), return_index=True)
                 if len(at):
                     held = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
                     yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(held.view(np.int64))], ["word", "held"])
 
-        found = prints.select(column).mapInArrow(marks, "word long, held long").groupBy("word").agg(F.bit_or("held").alias("held")).toArrow()
+        marked = phrases.select(*columns).mapInArrow(marks, "word long, held long")
+        found = marked.groupBy("word").agg(F.bit_or("held").alias("held")).toArrow()
         table = np.zeros(1 << (bits - 6), np.uint64)
         table[found.column("word").to_numpy()] = found.column("held").to_numpy().view(np.uint64)
         return cls(table, bits)
 
 
-def flat_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a binary column behind each other, without a copy, and where each row starts."""
+def flat_ids(column: pa.Array) -> np.ndarray:
+    """All ids of a binary column behind each other, without a copy."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    return data.view(np.uint64), (offsets[:-1] - offsets[0]) // 8
-
-
-class Windows:
-    """Rabin-Karp fingerprints of all windows of a run of word ids, from prefix polynomials in wrapping 64-bit numbers."""
-
-    def __init__(self, ids: np.ndarray):
-        self.ids = ids
-        power, inverse = np.full(len(ids), BASE), np.full(len(ids), BASE_INVERSE)
-        power[:1], inverse[:1] = 1, 1
-        self.inverse = np.cumprod(inverse, dtype=np.uint64)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * np.cumprod(power, dtype=np.uint64), dtype=np.uint64)])
-        self.breaks = np.concatenate([np.zeros(1, np.int64), np.cumsum(ids == 0)])
-
-    def of(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(fingerprints, whether the window holds no end of a piece) for each start that leaves k words."""
-        n = max(0, len(self.ids) - k + 1)
-        prints = (self.sums[k : k + n] - self.sums[:n]) * self.inverse[:n]
-        return prints, self.breaks[k : k + n] == self.breaks[:n]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(np.uint64)
 
 
-def _slices(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
-    """(start, ids, own): stretches with the words that windows of their last starts need; `own` starts are theirs."""
-    for start in range(0, len(ids), WINDOW_SLICE):
-        yield start, ids[start : start + WINDOW_SLICE + LONGEST - 1], min(WINDOW_SLICE, len(ids) - start)
+def _columns(k: int) -> list[str]:
+    return [f"w{i}" for i in range(k)]
 
 
 def _count_windows(k: int, sieve):
-    """Arrow batches of ids to (fp, n): the k-word windows of which both shorter ones pass the sieve, summed per stretch."""
+    """Arrow batches of ids to (w0 .. , n): the k-word windows of which both shorter ones pass the sieve, counted per stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, ids, own in _slices(flat_ids(batch.column("ids"))[0]):
+            for ids, own in slices(flat_ids(batch.column("ids"))):
                 windows = Windows(ids)
-                shorter, whole = windows.of(k - 1)
-                whole[whole] = sieve.value.passes(shorter[whole])
-                prints, valid = windows.of(k)
-                chosen = valid & whole[:-1] & whole[1:] if len(prints) else valid
-                found, n = np.unique(prints[:own][chosen[:own]], return_counts=True)
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["fp", "n"])
-
-    return run
-
-
-PHRASE_SCHEMA = "words array<long>, n long, doc_id long, place long"
-
-
-def verified_groups(prints: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first occurrence, count) of each distinct row of ids, grouped by fingerprint; rows under one fingerprint that differ
-    from its first are told apart by the ids themselves."""
-    _, first, group, n = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
-    other = np.flatnonzero((rows != rows[first[group]]).any(axis=1))
-    if not len(other):
-        return first, n
-    n = n - np.bincount(group[other], minlength=len(n))
-    _, again, m = np.unique(rows[other], axis=0, return_index=True, return_counts=True)
-    return np.concatenate([first, other[again]]), np.concatenate([n, m])
-
-
-def _find_phrases(sieves):
-    """Arrow batches (doc_id, ids) to (words, n, doc_id, place): the windows that pass the sieve of their length, counted per
-    stretch, with the lowest document and place of an occurrence."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, starts = flat_ids(batch.column("ids"))
-            docs = batch.column("doc_id").fill_null(np.iinfo(np.int64).max).to_numpy()
-            so_far = np.concatenate([np.zeros(1, np.int64), np.cumsum(flat != 0)])
-            for start, ids, own in _slices(flat):
-                windows = Windows(ids)
-                for k, sieve in sieves.value.items():
-                    prints, valid = windows.of(k)
-                    at = np.flatnonzero(valid[:own])
-                    at = at[sieve.passes(prints[at])]
-                    row = np.searchsorted(starts, at + start, side="right") - 1
-                    order = np.argsort(docs[row], kind="stable")
-                    at, row = at[order], row[order]
-                    found = np.lib.stride_tricks.sliding_window_view(ids, k)[at] if len(at) else np.zeros((0, k), np.uint64)
-                    first, n = verified_groups(prints[at], found)
-                    if len(first):
-                        words = pa.ListArray.from_arrays(pa.array(np.arange(0, k * len(first) + 1, k, dtype=np.int32)), _signed(found[first].ravel()))
-                        place = so_far[at[first] + start] - so_far[starts[row[first]]]
-                        held = docs[row[first]]
-                        owner = pa.array(held, mask=held == np.iinfo(np.int64).max)
-                        yield pa.RecordBatch.from_arrays([words, pa.array(n.astype(np.int64)), owner, pa.array(place)], ["words", "n", "doc_id", "place"])
+                shorter = windows.whole(k - 1)
+                shorter[shorter] = sieve.value.passes(windows.prints(k - 1)[shorter])
+                at = np.flatnonzero(windows.whole(k)[:own] & (shorter[:-1] & shorter[1:])[:own])
+                if len(at):
+                    rows = np.lib.stride_tricks.sliding_window_view(ids, k)[at]
+                    first, n = verified_groups(windows.prints(k)[at], rows)
+                    words = [_signed(rows[first, i]) for i in range(k)]
+                    yield pa.RecordBatch.from_arrays([*words, pa.array(n.astype(np.int64))], [*_columns(k), "n"])
 
     return run
 
 
-def frequent_phrases(documents: DataFrame, least: int = 100, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(phrases, words, totals) of (doc_id, lang, text): phrases (words array of ids, a, first) and words (id, lang, word, n)
-    that occur at least `least` times in a language, and totals (lang, n) of all words.
+def frequent_phrases(documents: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(phrases, words, totals) of a table with lang and text: phrases of 2 to 5 words (words array of ids, a) and words
+    (id, lang, word, n) that occur at least `least` times in a language, and totals (lang, n) of all words.
 
-    Texts are cut once; each document becomes a row of word ids, and words are counted by their text, so that an id stands
-    for one word (should two words share one, all begins again with other ids).  Length by length, every window gets a
-    fingerprint from prefix polynomials; those whose two shorter windows can be frequent are counted by fingerprint, first
-    in the task, then over a shuffle.  The frequent fingerprints become a bit table of bounded size for the next length.
-    In the end the windows that pass their length's table are grouped by their words themselves, with a pointer to the first
-    occurrence, so a collision of fingerprints can't add to a count.
+    Texts are cut once; each becomes a row of word ids, and words are counted by their text, so that an id stands for one
+    word of one language (should two share one, all begins again with other ids).  Length by length, every window gets a
+    fingerprint from prefix polynomials.  Windows of which both shorter ones can be frequent, by a bit table of bounded size,
+    are grouped by fingerprint in the task and checked against the words at the group's first occurrence; the shuffle sums
+    what that occurrence points to, the words' ids, so that no collision of fingerprints can add to a count.
     """
     spark = documents.sparkSession
-    texts = documents.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")
-    )
+    texts = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     for seed in count():
-        held = stored(texts.mapInArrow(_documents_to_ids(seed), ID_SCHEMA), "phrase-ids")
+        held = stored(texts.mapInArrow(_texts_to_ids(seed), ID_SCHEMA), "phrase-ids")
         words = stored(held.where("id is not null").groupBy("id", "lang", "word").agg(F.sum("n").alias("n")), "phrase-words")
         if words.groupBy("id").count().where("count > 1").isEmpty():
             break
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = words.where(F.col("n") >= least)
-    rows = held.where("ids is not null")
-    sieve, sieves = Sieve.of(frequent, "id"), {}
+    rows = held.where("id is null").select("ids")
+    shorter, phrases = Sieve.of(frequent, ["id"]), []
     for k in range(2, LONGEST + 1):
-        shared = spark.sparkContext.broadcast(sieve)
-        counted = rows.select("ids").mapInArrow(_count_windows(k, shared), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
-        sieve = sieves[k] = Sieve.of(stored(counted.where(F.col("n") >= least).select("fp"), f"phrase-prints-{k}"), "fp")
-    every = spark.sparkContext.broadcast(sieves)
-    found = rows.select("doc_id", "ids").mapInArrow(_find_phrases(every), PHRASE_SCHEMA)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("first")
-    phrases = found.groupBy("words").agg(F.sum("n").alias("a"), first).where(F.col("a") >= least)
-    return stored(phrases, "phrases"), frequent, totals
+        sieve = spark.sparkContext.broadcast(shorter)
+        schema = ", ".join(f"{c} long" for c in [*_columns(k), "n"])
+        counted = rows.mapInArrow(_count_windows(k, sieve), schema).groupBy(*_columns(k)).agg(F.sum("n").alias("a"))
+        level = stored(counted.where(F.col("a") >= least), f"phrases-{k}")
+        phrases.append(level.select(F.array(*_columns(k)).alias("words"), "a"))
+        if k < LONGEST:
+            shorter = Sieve.of(level, _columns(k))
+    return reduce(DataFrame.union, phrases), frequent, totals
 
 
 def _cut_scores(phrases: DataFrame, words: DataFrame, totals: DataFrame) -> DataFrame:
@@ -288,7 +268,7 @@ def _cut_scores(phrases: DataFrame, words: DataFrame, totals: DataFrame) -> Data
     halves = halves.join(known.select(F.col("part").alias("_right"), F.col("f").alias("r")), "_right")
     score = F.expr("(cast(1000 * a as decimal(18,0)) * cast(n as decimal(19,0))) div (cast(l as decimal(18,0)) * cast(r as decimal(19,0)))")
     cut = F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut")
-    return halves.groupBy("lang", "words", "a", "n", "first").agg(cut)
+    return halves.groupBy("lang", "words", "a", "n").agg(cut)
 
 
 def _without_contained(scored: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -302,8 +282,7 @@ def _without_contained(scored: DataFrame, phrases: DataFrame) -> DataFrame:
 
 
 def mine_phrases(documents: DataFrame, least: int = 100, top: int = 2000) -> DataFrame:
-    """Each language's `top` phrases of 2 to 5 words by score, then a, then text: lang, rank, phrase, a, l, r, n, score, and
-    the first occurrence by document and word (first_doc_id, first_word).
+    """Each language's `top` phrases of 2 to 5 words by score, then a, then text: lang, rank, phrase, a, l, r, n, score.
 
     a counts the phrase, n all words of the language, l and r the parts of the cut with the lowest
     score floor(1000 a n / (l r)); of equal ones that with the shortest first part counts.  A phrase goes if a longer
@@ -321,6 +300,5 @@ def mine_phrases(documents: DataFrame, least: int = 100, top: int = 2000) -> Dat
     order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
     ranked = named.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
     return ranked.select(
-        "lang", "rank", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"),
-        F.col("first.doc_id").alias("first_doc_id"), F.col("first.place").alias("first_word"),
+        "lang", "rank", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score")
     )
