@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import stored
+from docweave.llm.common import stored, worker_memory
 
 LONGEST = 5
 # Bytes that are in no UTF-8 text stand for the end of a piece and of a document.
@@ -112,26 +112,28 @@ def _texts_to_ids(seed: int):
     return run
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+def powers(base: np.uint64) -> np.ndarray:
+    """base^0, base^1, .. for the longest stretch; a worker makes them once."""
+    held = worker_memory("phrase-powers")
+    if int(base) not in held:
+        out = np.full(WINDOW_SLICE + LONGEST, base)
+        out[0] = 1
+        held[int(base)] = np.cumprod(out, dtype=np.uint64)
+    return held[int(base)]
 
 
 class Windows:
     """Rabin-Karp fingerprints of all windows of a run of word ids, from prefix polynomials in wrapping 64-bit numbers."""
 
-    POWERS, INVERSES = _powers(BASE, WINDOW_SLICE + LONGEST), _powers(BASE_INVERSE, WINDOW_SLICE + LONGEST)
-
     def __init__(self, ids: np.ndarray):
         self.ids = ids
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * self.POWERS[: len(ids)], dtype=np.uint64)])
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * powers(BASE)[: len(ids)], dtype=np.uint64)])
         self.breaks = np.concatenate([np.zeros(1, np.int32), np.cumsum(ids == 0, dtype=np.int32)])
 
     def prints(self, k: int) -> np.ndarray:
         """The fingerprint of the k words from each start that leaves as many."""
         n = max(0, len(self.ids) - k + 1)
-        return (self.sums[k : k + n] - self.sums[:n]) * self.INVERSES[:n]
+        return (self.sums[k : k + n] - self.sums[:n]) * powers(BASE_INVERSE)[:n]
 
     def whole(self, k: int) -> np.ndarray:
         """Whether the k words from each such start hold no end of a piece."""
@@ -181,7 +183,7 @@ class Sieve:
         def marks(batches):
             for batch in batches:
                 ids = np.stack([c.to_numpy().view(np.uint64) for c in batch.columns], axis=1)
-                prints = (ids * Windows.POWERS[: len(columns)]).sum(axis=1, dtype=np.uint64)
+                prints = (ids * powers(BASE)[: len(columns)]).sum(axis=1, dtype=np.uint64)
                 at = np.unique(np.concatenate(cls._places(prints, bits)))
                 word, first = np.unique(at >> np.uint64(6), return_index=True)
                 if len(at):
