@@ -23,7 +23,9 @@ MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", PIECE * 10 + b" ")
 WORD_END = re.compile(rb"[\t-\r .,;:!?]")
 # Bytes of text that are cut to words at a time, and words whose windows are hashed at a time.
 TEXT_SLICE = 1 << 23
-WINDOW_SLICE = 1 << 21
+WINDOW_SLICE = 1 << 20
+# Windows that a task holds before it sums them.
+HELD_WINDOWS = 3 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 # A sieve holds 32 bits for each frequent phrase, 16 MB at the most; a larger set only makes it pass more windows.
@@ -207,21 +209,35 @@ def _columns(k: int) -> list[str]:
     return [f"w{i}" for i in range(k)]
 
 
+def _summed(prints: list[np.ndarray], rows: list[np.ndarray]) -> pa.RecordBatch:
+    """The distinct rows of ids with their counts, by first word, as neighbours with equal columns take less room."""
+    held = np.concatenate(rows)
+    first, n = verified_groups(np.concatenate(prints), held)
+    order = np.argsort(held[first, 0], kind="stable")
+    distinct = held[first[order]]
+    words = [_signed(distinct[:, i]) for i in range(held.shape[1])]
+    return pa.RecordBatch.from_arrays([*words, pa.array(n[order].astype(np.int64))], [*_columns(held.shape[1]), "n"])
+
+
 def _count_windows(k: int, sieve):
-    """Arrow batches of ids to (w0 .. , n): the k-word windows of which both shorter ones pass the sieve, counted per stretch."""
+    """Arrow batches of ids to (w0 .. , n): the k-word windows of which both shorter ones pass the sieve, summed in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints, rows, size = [], [], 0
         for batch in batches:
             for ids, own in slices(flat_ids(batch.column("ids"))):
                 windows = Windows(ids)
                 shorter = windows.whole(k - 1)
                 shorter[shorter] = sieve.value.passes(windows.prints(k - 1)[shorter])
                 at = np.flatnonzero(windows.whole(k)[:own] & (shorter[:-1] & shorter[1:])[:own])
-                if len(at):
-                    rows = np.lib.stride_tricks.sliding_window_view(ids, k)[at]
-                    first, n = verified_groups(windows.prints(k)[at], rows)
-                    words = [_signed(rows[first, i]) for i in range(k)]
-                    yield pa.RecordBatch.from_arrays([*words, pa.array(n.astype(np.int64))], [*_columns(k), "n"])
+                prints.append(windows.prints(k)[at])
+                rows.append(np.lib.stride_tricks.sliding_window_view(ids, k)[at] if len(at) else np.zeros((0, k), np.uint64))
+                size += len(at)
+                if size >= HELD_WINDOWS:
+                    yield _summed(prints, rows)
+                    prints, rows, size = [], [], 0
+        if size:
+            yield _summed(prints, rows)
 
     return run
 
