@@ -10,7 +10,6 @@ from docweave.session import checkpointed
 
 PERCENT = 80
 # Lines of fewer distinct words are left alone unless the caller asks for shorter ones as well.
-MIN_TOKENS = 5
 TOKEN_BITS = 57
 TOKEN = (1 << TOKEN_BITS) - 1
 # Tokens are counted in so many slots by hash; a slot's count is never less than its tokens' own.
@@ -166,19 +165,19 @@ def _overlaps(lines: DataFrame, near: DataFrame, percent: int, block: int) -> Da
     return a.join(b, match).selectExpr(*PAIR).distinct()
 
 
-def repeated_lines(documents: DataFrame, percent: int = PERCENT, least: int = MIN_TOKENS) -> DataFrame:
+def repeated_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, line_no) of the lines that an earlier line resembles: Jaccard of word sets of percent / 100 or more.
 
-    Lines of fewer than ``least`` distinct words are never listed; with 1 these are the blank lines alone.  Earlier is by
-    doc_id, then line number from 0.  Lines of one word set are joined first by digests.  The others' tokens are ordered by rarity; lines meet on tokens of their prefixes
-    under the length, position and bitmap filters, and what remains is compared whole.  Before that join each line is
+    Only blank lines are never listed.  Earlier is by doc_id, then line number from 0.  Lines of one word set are joined
+    first by digests.  The others' tokens are ordered by rarity; lines meet on tokens of their prefixes under the length,
+    position and bitmap filters, and what remains is compared whole.  Before that join each line is
     compared with the first line of its meeting points, and lines found there only serve as earlier ones: so families of
     thousands of variants don't meet in all pairs.
     """
     spark = documents.sparkSession
     usable = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    # Short lines go after the checkpoint: before it, the condition would make the tokens a second time.
-    cards = checkpointed(line_cards(usable, rarity_classes(usable), percent)).where(F.col("line.n") >= max(1, least))
+    # Blank lines go after the checkpoint: before it, the condition would make the tokens a second time.
+    cards = checkpointed(line_cards(usable, rarity_classes(usable), percent)).where(F.col("line.n") >= 1)
     sets = checkpointed(cards.groupBy("key", "key2").agg(F.min("line").alias("line"), F.count("*").alias("copies")))
     release_shuffles(spark)
     copies = checkpointed(_copies(cards, sets))
@@ -203,31 +202,40 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, least: int = MI
     return copies.union(near).union(far)
 
 
-def without_repeated_lines(documents: DataFrame, percent: int = PERCENT, least: int = MIN_TOKENS) -> DataFrame:
-    """The documents with their columns, their texts without repeated lines, and counts `_lines` and `_removed`.
+def rests(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(row, text, n_lines, n_removed): each document as a struct, its text without repeated lines, and counts.
 
     A null text stays null and a null doc_id keeps its text.  Rows with one doc_id lose the same lines, so repeated rows
-    stay alike; which lines go is decided as if each row's lines were the document's.
+    stay alike; which lines go is decided as if each row's lines were the document's.  Of equal lines the first by doc_id
+    and line number stays.  Columns of any name are carried in the struct; an empty table gives an empty result.
     """
-    gone = repeated_lines(documents, percent, least).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
+    gone = repeated_lines(documents, percent).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     # All steps' tables but the lists of lines have served before the texts are joined.
     release_shuffles(documents.sparkSession)
-    joined = documents.join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left")
-    lines = F.split("text", "\n")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    joined = rows.join(gone, F.col("row.doc_id").cast("long") == F.col("doc_id"), "left")
+    own = F.col("row.text").cast("string")
+    lines = F.split(own, "\n")
 
     def rest(all_lines):
         places = F.sequence(F.lit(0), F.size(all_lines) - 1)
-        return F.array_join(F.transform(F.array_except(places, "_gone"), lambda i: F.get(all_lines, i)), "\n")
+        return F.array_join(F.transform(F.array_except(places, "gone"), lambda i: F.get(all_lines, i)), "\n")
 
-    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(let(lines, rest))
-    counted = joined.withColumn("_lines", F.coalesce(F.size(lines), F.lit(0)))
-    counted = counted.withColumn("_removed", F.coalesce(F.size("_gone"), F.lit(0)))
-    return counted.withColumn("text", text).drop("_gone", "_id")
+    text = F.when(F.col("gone").isNull() | own.isNull(), own).otherwise(let(lines, rest))
+    n_lines, n_removed = F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size("gone"), F.lit(0))
+    return joined.select("row", text.alias("text"), n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))
 
 
-def dedupe_lines(documents: DataFrame, percent: int = PERCENT, least: int = MIN_TOKENS) -> DataFrame:
+def with_columns(done: DataFrame, columns: list[str], **changed) -> DataFrame:
+    """The documents' own columns again, those named in `changed` with their new values."""
+    return done.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])
+
+
+def without_repeated_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The documents with their columns, their texts without the lines that resemble an earlier one."""
+    return with_columns(rests(documents, percent), documents.columns, text=F.col("text"))
+
+
+def dedupe_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_lines, n_removed, text) of every document; a null text has no lines."""
-    done = without_repeated_lines(documents.select("doc_id", "text"), percent, least)
-    return done.select(
-        "doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_removed").cast("long").alias("n_removed"), "text"
-    )
+    return rests(documents.select("doc_id", "text"), percent).select("row.doc_id", "n_lines", "n_removed", "text")
