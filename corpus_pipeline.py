@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.lines import without_repeated_lines
+from docweave.llm.lines import rests, with_columns
 from docweave.llm.near import near_duplicates
 from docweave.llm.packing import pack_documents
 from docweave.llm.quality import keep_good
@@ -20,11 +20,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without lines that resemble an earlier one; a document that is left without any word goes."""
-    done = without_repeated_lines(docs)
-    emptied = (F.col("_removed") > 0) & ~F.col("text").rlike(r"\S")
+    done = rests(docs)
+    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"\S")
     kept = done.where(~F.coalesce(emptied, F.lit(False)))
-    count = F.when(F.col("_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", count).select(*docs.columns)
+    count = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    return with_columns(kept, docs.columns, text=F.col("text"), n_chars=count)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
