@@ -1,6 +1,6 @@
 """Clusters of the sentences of a document, and what to do with sentences outside any cluster.
 
-Tables hold (doc_id, pos, sentence) and labels are integers, -1 for outliers.
+Tables hold (doc_id, pos, sentence) and maybe vector, and labels are integers, -1 for outliers.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docweave.operators.components import components as linked_components
-from docweave.operators.similarity import distinct_sentences, nearest_member, sparse_cosine
+from docweave.operators.similarity import close_forest, distinct_rows, distinct_sentences, nearest_member, neighbours
 from docweave.session import checkpointed
 
 
@@ -28,14 +28,14 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _label_copies(sentences: DataFrame, labels: DataFrame) -> DataFrame:
-    """Give every copy of a sentence the label of its first occurrence; (doc_id, pos, sentence, label)."""
+    """Give every copy of a sentence the label of its first occurrence; the sentences' columns and label."""
     firsts = labels.withColumnRenamed("pos", "first")
     return (
         distinct_sentences(sentences)
         .join(firsts, ["doc_id", "first"])
         .select("doc_id", "pos", "label")
         .join(sentences, ["doc_id", "pos"])
-        .select("doc_id", "pos", "sentence", "label")
+        .select(*sentences.columns, "label")
     )
 
 
@@ -46,8 +46,10 @@ def _numbered_by_root(roots: DataFrame) -> DataFrame:
 
 def cluster_threshold(sentences: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Clusters = connected components of the sentences at least ``threshold`` similar."""
-    firsts = distinct_sentences(sentences).filter("pos = first").select("doc_id", "pos")
-    roots = components(firsts, sparse_cosine(sentences, threshold))
+    if threshold <= 0:
+        raise ValueError("the threshold must be positive")
+    rows = checkpointed(distinct_rows(sentences))
+    roots = components(rows.select("doc_id", "pos").distinct(), close_forest(rows, threshold))
     return _label_copies(sentences, _numbered_by_root(roots).select("doc_id", "pos", "label"))
 
 
@@ -61,21 +63,19 @@ def cluster_density(
     """
     samples = min_samples if min_samples else max(1, min_cluster_size // 2)
     epsilon = 1 - threshold
-    close = checkpointed(sparse_cosine(sentences, 1 - epsilon * epsilon / 2))
-    firsts = distinct_sentences(sentences).filter("pos = first").select("doc_id", "pos", "copies")
-    per_side = close.select("doc_id", F.col("a").alias("pos"), F.col("copies_b").alias("near")).unionByName(
-        close.select("doc_id", F.col("b").alias("pos"), F.col("copies_a").alias("near"))
-    )
-    others = per_side.groupBy("doc_id", "pos").agg(F.sum("near").alias("near"))
+    close = 1 - epsilon * epsilon / 2
+    if close <= 0:
+        raise ValueError("the threshold must leave a positive similarity")
+    rows = checkpointed(distinct_rows(sentences))
+    firsts = rows.select("doc_id", "pos", "copies").distinct()
+    near = neighbours(rows, close)
     dense = checkpointed(
-        firsts.join(others, ["doc_id", "pos"], "left")
+        firsts.join(near, ["doc_id", "pos"], "left")
         .filter(F.coalesce("near", F.lit(0)) + F.col("copies") - 1 >= samples)
         .select("doc_id", "pos", "copies")
     )
-    inside = close.join(dense.select("doc_id", F.col("pos").alias("a")), ["doc_id", "a"], "left_semi").join(
-        dense.select("doc_id", F.col("pos").alias("b")), ["doc_id", "b"], "left_semi"
-    )
-    roots = components(dense, inside).join(dense, ["doc_id", "pos"])
+    links = close_forest(rows.join(dense.select("doc_id", "pos"), ["doc_id", "pos"], "left_semi"), close)
+    roots = components(dense, links).join(dense, ["doc_id", "pos"])
     sized = roots.withColumn("size", F.sum("copies").over(W.partitionBy("doc_id", "root")))
     labels = _numbered_by_root(sized.filter(F.col("size") >= min_cluster_size)).select("doc_id", "pos", "label")
     everyone = firsts.select("doc_id", "pos").join(labels, ["doc_id", "pos"], "left")

@@ -1,5 +1,8 @@
 """TF-IDF vectors of sentences, fitted per document, and similarities inside a document.
 
+Sentences that come with a column ``vector`` (dense, say from a caller's model) are compared by it instead; a missing, zero
+or not finite vector is unlike everything, similarity 0.  doc_id is of any type that can be ordered.
+
 Everything is keyed by doc_id and shares one exchange on it.  Quadratic work (similar pairs, the whole matrix,
 nearest sentence) runs in square tiles of a document, which spread over tasks and give back only what was
 asked for; it never turns into rows for all pairs.
@@ -8,23 +11,27 @@ asked for; it never turns into rows for all pairs.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docweave.functions.text import tokens
-from docweave.operators.tiles import all_pairs_places, map_tiles, two_sided_places
+from docweave.functions.vectors import as_double, cosine
+from docweave.operators.tiles import all_pairs_places, map_tiles, spanning_pairs, two_sided_places
+
+
+def _vector(sentences: DataFrame) -> list[str]:
+    return ["vector"] if "vector" in sentences.columns else []
 
 
-def _same_text():
-    """Sentences of a document that read the same; the hash makes most comparisons of the sort cheap."""
-    return W.partitionBy("doc_id", F.xxhash64("sentence"), "sentence")
+def _same_text(sentences: DataFrame):
+    """Sentences of a document that read the same (and have one vector); the hash makes most comparisons of the sort cheap."""
+    return W.partitionBy("doc_id", F.xxhash64("sentence"), "sentence", *_vector(sentences))
 
 
 def _counted(sentences: DataFrame, *keep: str, laid_out: bool = False) -> DataFrame:
     """Sentences laid out by doc_id with n, the number of sentences of the document."""
-    rows = sentences.select("doc_id", "pos", "sentence", *keep)
+    rows = sentences.select("doc_id", "pos", "sentence", *_vector(sentences), *keep)
     rows = rows if laid_out else rows.repartition("doc_id")
     return rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("doc_id")))
 
@@ -57,6 +64,13 @@ def raw_weights(counted: DataFrame, *keep: str) -> DataFrame:
     return tf.select("doc_id", "pos", "n", *keep, "token", tok.alias("tok"), (F.col("tf") * F.col("idf")).alias("w"))
 
 
+def compared(counted: DataFrame, *keep: str) -> DataFrame:
+    """The rows that tiles are made of: dense vectors where there are any, TF-IDF weights otherwise."""
+    if _vector(counted):
+        return counted.select("doc_id", "pos", "n", *keep, as_double(F.col("vector")).alias("vector"))
+    return raw_weights(counted, *keep)
+
+
 def tfidf(sentences: DataFrame) -> DataFrame:
     """(doc_id, pos, token, w): TF-IDF weights fitted per document, each sentence scaled to length 1."""
     raw = raw_weights(_counted(sentences)).filter("token is not null")
@@ -71,6 +85,11 @@ def adjacent_similarity(sentences: DataFrame, laid_out: bool = False) -> DataFra
     are summed per sentence, and lengths divided out at the end.  ``laid_out`` says that the rows are already
     partitioned by doc_id, which saves an exchange.
     """
+    if _vector(sentences):
+        before = F.lag("vector").over(W.partitionBy("doc_id").orderBy("pos"))
+        rows = sentences.select("doc_id", "pos", as_double(F.col("vector")).alias("v"), as_double(before).alias("before"))
+        sim = F.nanvl(F.coalesce(cosine(F.col("before"), F.col("v")), F.lit(0.0)), F.lit(0.0))
+        return rows.filter("pos > 0").select("doc_id", "pos", F.round(sim, 9).alias("sim"))
     by_token = W.partitionBy("doc_id", "token").orderBy("pos")
     tf = _term_counts(_counted(sentences, laid_out=laid_out))
     linked = tf.withColumn("prev_pos", F.lag("pos").over(by_token)).withColumn("prev_tf", F.lag("tf").over(by_token))
@@ -90,11 +109,24 @@ def adjacent_similarity(sentences: DataFrame, laid_out: bool = False) -> DataFra
 
 def distinct_sentences(sentences: DataFrame) -> DataFrame:
     """(doc_id, pos, first, copies): every sentence with the first position that reads the same."""
+    same = _same_text(sentences)
     return sentences.repartition("doc_id").select(
-        "doc_id", "pos", F.min("pos").over(_same_text()).alias("first"), F.count(F.lit(1)).over(_same_text()).alias("copies")
+        "doc_id", "pos", F.min("pos").over(same).alias("first"), F.count(F.lit(1)).over(same).alias("copies")
     )
 
 
+def distinct_rows(sentences: DataFrame) -> DataFrame:
+    """What tiles compare (``compared``) of the first of the sentences that read the same, with their number of copies."""
+    same = _same_text(sentences)
+    copies = F.count(F.lit(1)).over(same).alias("copies")
+    marked = _counted(sentences).select("*", F.min("pos").over(same).alias("first"), copies)
+    return compared(marked, "first", "copies").filter("pos = first")
+
+
+def _map_pairs(rows: DataFrame, reduce_tile, schema: str) -> DataFrame:
+    return map_tiles(rows, all_pairs_places(F.col("pos"), F.col("n")), True, reduce_tile, schema)
+
+
 def sparse_cosine(sentences: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, a, b, sim, copies_a, copies_b) for distinct sentences a < b of a document, sim >= threshold > 0.
 
@@ -103,18 +135,44 @@ def sparse_cosine(sentences: DataFrame, threshold: float) -> DataFrame:
     """
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
-    copies = F.count(F.lit(1)).over(_same_text()).alias("copies")
-    marked = _counted(sentences).select("*", F.min("pos").over(_same_text()).alias("first"), copies)
-    rows = raw_weights(marked, "first", "copies").filter("pos = first")
 
-    def close(key, row, col, sims):
+    def close(row, col, sims):
         sims = np.round(sims, 9)
         i, j = np.nonzero((sims >= threshold) & (row.pos[:, None] < col.pos[None, :]))
-        found = {"a": row.pos[i], "b": col.pos[j], "sim": sims[i, j]}
-        return pd.DataFrame({"doc_id": key[0], **found, "copies_a": row.copies[i], "copies_b": col.copies[j]})
+        return {"a": row.pos[i], "b": col.pos[j], "sim": sims[i, j], "copies_a": row.copies[i], "copies_b": col.copies[j]}
+
+    return _map_pairs(distinct_rows(sentences), close, "a long, b long, sim double, copies_a long, copies_b long")
+
 
-    places = all_pairs_places(F.col("pos"), F.col("n"))
-    return map_tiles(rows, places, True, close, "doc_id long, a long, b long, sim double, copies_a long, copies_b long")
+def _close(row, col, sims, threshold):
+    return (np.round(sims, 9) >= threshold) & (row.pos[:, None] != col.pos[None, :])
+
+
+def close_forest(rows: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, a, b): links that connect the same sentences as all pairs of at least that similarity.
+
+    Each tile gives back a spanning forest of its pairs, so at most 1,023 rows for 512 by 512 sentences.
+    """
+
+    def forest(row, col, sims):
+        i, j = spanning_pairs(_close(row, col, sims, threshold))
+        return {"a": row.pos[i], "b": col.pos[j]}
+
+    return _map_pairs(rows, forest, "a long, b long")
+
+
+def neighbours(rows: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, pos, near): how many other sentences, copies included, are at least that similar to each; a tile gives back
+    one row for each of its sentences that has any."""
+
+    def count(row, col, sims):
+        close = _close(row, col, sims, threshold)
+        own, near = row.pos, close @ col.copies
+        if row is not col:
+            own, near = np.concatenate([own, col.pos]), np.concatenate([near, row.copies @ close])
+        return {"pos": own[near > 0], "near": near[near > 0]}
+
+    return _map_pairs(rows, count, "pos long, near long").groupBy("doc_id", "pos").agg(F.sum("near").alias("near"))
 
 
 def pairwise_similarity(sentences: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -124,16 +182,12 @@ def pairwise_similarity(sentences: DataFrame, threshold: float = 0.3) -> DataFra
 def similarity_histogram(sentences: DataFrame) -> DataFrame:
     """(doc_id, sim, pairs): how often each similarity (6 places) below 0.999 occurs in the whole matrix."""
 
-    def count(key, row, col, sims):
+    def count(row, col, sims):
         values, pairs = np.unique(np.round(sims, 6), return_counts=True)
         keep = values < 0.999
-        both = 1 if key[1] == key[2] else 2
-        return pd.DataFrame({"doc_id": key[0], "sim": values[keep] + 0.0, "pairs": pairs[keep] * both})
+        return {"sim": values[keep] + 0.0, "pairs": pairs[keep] * (1 if row is col else 2)}
 
-    places = all_pairs_places(F.col("pos"), F.col("n"))
-    counted = map_tiles(
-        raw_weights(_counted(sentences)), places, True, count, "doc_id long, sim double, pairs long"
-    )
+    counted = _map_pairs(compared(_counted(sentences)), count, "sim double, pairs long")
     return counted.groupBy("doc_id", "sim").agg(F.sum("pairs").alias("pairs"))
 
 
@@ -164,15 +218,14 @@ def similarity_profile(sentences: DataFrame) -> DataFrame:
 def nearest_member(labelled: DataFrame) -> DataFrame:
     """(doc_id, pos, near_pos): for each outlier (label -1) its most similar sentence with a label, lowest first."""
     side = F.when(F.col("label") == -1, 0).otherwise(1)
-    rows = raw_weights(_counted(labelled.withColumn("side", side), "side"), "side")
+    rows = compared(_counted(labelled.withColumn("side", side), "side"), "side")
 
-    def best(key, row, col, sims):
+    def best(row, col, sims):
         sims = np.round(sims, 9)
         at = sims.argmax(axis=1)
-        near = {"pos": row.pos, "sim": sims[np.arange(len(at)), at], "near_pos": col.pos[at]}
-        return pd.DataFrame({"doc_id": key[0], **near})
+        return {"pos": row.pos, "sim": sims[np.arange(len(at)), at], "near_pos": col.pos[at]}
 
     places = two_sided_places(F.col("pos"), F.col("n"), F.col("side"))
-    found = map_tiles(rows, places, False, best, "doc_id long, pos long, sim double, near_pos long")
+    found = map_tiles(rows, places, False, best, "pos long, sim double, near_pos long")
     nearest = F.max(F.struct(F.col("sim"), (-F.col("near_pos")).alias("neg")))
     return found.groupBy("doc_id", "pos").agg((-nearest["neg"]).alias("near_pos"))

@@ -1,8 +1,9 @@
 """Square tiles of a document's similarity matrix, worked through one after another inside tasks.
 
-Rows are token weights (doc_id, pos, tok, w), not yet scaled.  They are sent to the tiles their sentence belongs to and sorted
-by tile; a task then reads its tiles as a stream and holds one at a time, so many small documents cost no
-per-group overhead and a large one spreads over as many tasks as it has tiles.
+Rows are token weights (doc_id, pos, tok, w), not yet scaled, or dense vectors (doc_id, pos, vector), one a sentence.  They
+are sent to the tiles their sentence belongs to and sorted by tile; a task then reads its tiles as a stream and holds one at
+a time, so many small documents cost no per-group overhead and a large one spreads over as many tasks as it has tiles.
+doc_id is of any type that can be ordered.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 # Sentences per side of a tile.
 TILE = 512
 KEYS = ["doc_id", "ti", "tj"]
-COLUMNS = ["role", "pos", "tok", "w", "copies"]
+SPARSE, DENSE = ["tok", "w"], ["vector"]
 
 
 def _place(role: Column, block: Column, other: Column) -> Column:
@@ -54,31 +55,70 @@ class Side(NamedTuple):
     vectors: np.ndarray
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1; a zero row, or one that is not finite, is zero and so unlike everything."""
+    vectors[~np.isfinite(vectors).all(axis=1)] = 0.0
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, length, out=vectors, where=length > 0)
+
+
 def _side(part: dict[str, np.ndarray], chosen: np.ndarray, tok: np.ndarray, n_tok: int) -> Side:
     """``tok`` is already numbered from 0, with -1 for no token."""
     pos, first, row = np.unique(part["pos"][chosen], return_index=True, return_inverse=True)
     vectors = np.zeros((len(pos), max(n_tok, 1)))
     has = tok[chosen] >= 0
     vectors[row[has], tok[chosen][has]] = part["w"][chosen][has]
-    length = np.linalg.norm(vectors, axis=1, keepdims=True)
-    np.divide(vectors, length, out=vectors, where=length > 0)
-    return Side(pos, part["copies"][chosen][first], vectors)
+    return Side(pos, part["copies"][chosen][first], _unit(vectors))
+
+
+def _dense_side(part: dict[str, np.ndarray], chosen: np.ndarray, width: int) -> Side:
+    """A missing vector counts as zero, a shorter one as filled up with zeros."""
+    order = np.flatnonzero(chosen)[np.argsort(part["pos"][chosen], kind="stable")]
+    vectors = np.zeros((len(order), max(width, 1)))
+    for at, v in zip(range(len(order)), part["vector"][order]):
+        if v is not None:
+            vectors[at, : len(v)] = v
+    return Side(part["pos"][order], part["copies"][order], _unit(vectors))
 
 
 def _two_sides(part: dict[str, np.ndarray], diagonal: bool) -> tuple[Side, Side]:
     """Both sides of a tile; on the diagonal they are the same."""
+    left = part["role"] == 0
+    if "vector" in part:
+        width = max((len(v) for v in part["vector"] if v is not None), default=0)
+        row = _dense_side(part, left, width)
+        return row, row if diagonal else _dense_side(part, ~left, width)
     names, tok = np.unique(part["tok"], return_inverse=True)
     tok = tok - int(len(names) > 0 and names[0] < 0)
-    left = part["role"] == 0
     row = _side(part, left, tok, len(names))
     return row, row if diagonal else _side(part, ~left, tok, len(names))
 
 
-def _tiles(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
+def spanning_pairs(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of pairs that connect the same rows and columns as all pairs of a tile that are close; a forest, so
+    fewer of them than rows and columns together."""
+    open_row, open_col = close.any(axis=1), np.ones(close.shape[1], bool)
+    found = []
+    for start in np.flatnonzero(open_row):
+        if not open_row[start]:
+            continue
+        open_row[start] = False
+        waiting = [(True, start)]
+        while waiting:
+            is_row, at = waiting.pop()
+            new = np.flatnonzero(close[at] & open_col if is_row else close[:, at] & open_row)
+            (open_col if is_row else open_row)[new] = False
+            found += [(at, x) if is_row else (x, at) for x in new]
+            waiting += [(not is_row, x) for x in new]
+    pairs = np.array(found, int).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _tiles(batches: Iterator[pd.DataFrame], held: list[str]) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
     """Cut a sorted stream of batches where the tile changes."""
     rest = None
     for batch in batches:
-        cols = {c: batch[c].to_numpy() for c in KEYS + COLUMNS}
+        cols = {c: batch[c].to_numpy() for c in KEYS + held}
         if rest is not None:
             cols = {c: np.concatenate([rest[c], cols[c]]) for c in cols}
         change = np.zeros(len(cols["pos"]), bool)
@@ -86,33 +126,39 @@ def _tiles(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, dict[str, n
             change[1:] |= cols[c][1:] != cols[c][:-1]
         starts = np.concatenate([[0], np.flatnonzero(change)])
         for a, b in zip(starts[:-1], starts[1:]):
-            yield tuple(cols[k][a] for k in KEYS), {c: cols[c][a:b] for c in COLUMNS}
+            yield tuple(cols[k][a] for k in KEYS), {c: cols[c][a:b] for c in held}
         rest = {c: v[starts[-1] :] for c, v in cols.items()}
     if rest is not None and len(rest["pos"]):
-        yield tuple(rest[k][0] for k in KEYS), {c: rest[c] for c in COLUMNS}
+        yield tuple(rest[k][0] for k in KEYS), {c: rest[c] for c in held}
 
 
 def map_tiles(rows: DataFrame, places: Column, symmetric: bool, reduce_tile: Callable, schema: str) -> DataFrame:
-    """Run ``reduce_tile(key, row, col, sims) -> DataFrame`` on every tile that has both sides.
+    """Run ``reduce_tile(row, col, sims) -> dict of columns`` on every tile that has both sides; doc_id comes before them.
 
-    ``rows`` holds (doc_id, pos, tok, w), whatever ``places`` needs, and maybe the number of copies.
+    ``rows`` holds (doc_id, pos, tok, w) or (doc_id, pos, vector), whatever ``places`` needs, and maybe the number of copies.
     """
     copies = F.col("copies") if "copies" in rows.columns else F.lit(1).cast("long").alias("copies")
-    sent = rows.select("doc_id", "pos", "tok", "w", copies, F.explode(places).alias("at")).select(
-        "doc_id", F.col("at.ti").alias("ti"), F.col("at.tj").alias("tj"), F.col("at.role").alias("role"), "pos", "tok", "w", "copies"
+    values = DENSE if "vector" in rows.columns else SPARSE
+    held = ["role", "pos", *values, "copies"]
+    numbered = rows.withColumn("pos", F.col("pos").cast("long"))
+    sent = numbered.select("doc_id", "pos", *values, copies, F.explode(places).alias("at")).select(
+        "doc_id", F.col("at.ti").alias("ti"), F.col("at.tj").alias("tj"), F.col("at.role").alias("role"), "pos", *values, "copies"
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, held = [], 0
-        for key, part in _tiles(batches):
+        out, size = [], 0
+        for key, part in _tiles(batches, held):
             row, col = _two_sides(part, symmetric and key[1] == key[2])
             if len(row.pos) and len(col.pos):
-                out.append(reduce_tile(key, row, col, row.vectors @ col.vectors.T))
-                held += len(out[-1])
-            if held > 50_000:
+                made = pd.DataFrame(reduce_tile(row, col, row.vectors @ col.vectors.T))
+                made.insert(0, "doc_id", key[0])
+                out.append(made)
+                size += len(made)
+            if size > 50_000:
                 yield pd.concat(out, ignore_index=True)
-                out, held = [], 0
+                out, size = [], 0
         if out:
             yield pd.concat(out, ignore_index=True)
 
-    return sent.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInPandas(run, schema)
+    doc_id = rows.schema["doc_id"].dataType.simpleString()
+    return sent.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInPandas(run, f"doc_id {doc_id}, {schema}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -36,7 +37,14 @@ def _with_keywords(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("keywords", keywords(F.col("text")))
 
 
-def sequential_chunks(df: DataFrame, cfg: ChunkingConfig) -> DataFrame:
+Embed = Callable[[DataFrame], DataFrame]
+
+
+def _as_is(rows: DataFrame) -> DataFrame:
+    return rows
+
+
+def sequential_chunks(df: DataFrame, cfg: ChunkingConfig, embed: Embed = _as_is) -> DataFrame:
     """Neighbouring sentences stay together while they are similar enough.
 
     The sentence arrays are made once and exchanged once by doc_id; the similarities, the grouping and the folds
@@ -48,7 +56,7 @@ def sequential_chunks(df: DataFrame, cfg: ChunkingConfig) -> DataFrame:
     # both uses of the exchange stay the same and it runs once.
     rows = docs.select("doc_id", F.posexplode_outer("sentences").alias("pos", "sentence")).filter("pos is not null")
     cuts = (
-        adjacent_similarity(rows, laid_out=True)
+        adjacent_similarity(embed(rows), laid_out=True)
         .filter(F.col("sim") < cfg.threshold)
         .groupBy("doc_id")
         .agg(F.sort_array(F.collect_list("pos")).alias("cuts"))
@@ -77,12 +85,12 @@ def sequential_chunks(df: DataFrame, cfg: ChunkingConfig) -> DataFrame:
     )
 
 
-def clustered_chunks(df: DataFrame, cfg: ChunkingConfig) -> DataFrame:
+def clustered_chunks(df: DataFrame, cfg: ChunkingConfig, embed: Embed = _as_is) -> DataFrame:
     """Sentences are clustered, outliers placed, and runs of one cluster packed to chunks."""
     rows = df.select(
         "doc_id", F.posexplode(prepared_sentences(F.col("text"), cfg.min_sentence_length)).alias("pos", "sentence")
     )
-    rows = checkpointed(rows)  # read by every step of the clustering below
+    rows = checkpointed(embed(rows))  # read by every step of the clustering below
     method = clusters.by_name(clusters.CLUSTERING, cfg.clustering_method)
     if cfg.clustering_method == "density":
         labelled = method(rows, cfg.threshold, cfg.min_cluster_size)
@@ -100,7 +108,11 @@ def clustered_chunks(df: DataFrame, cfg: ChunkingConfig) -> DataFrame:
     )
 
 
-def semantic_chunks(df: DataFrame, cfg: ChunkingConfig = ChunkingConfig()) -> DataFrame:
-    """(doc_id, chunk, text, keywords) of a document table."""
+def semantic_chunks(df: DataFrame, cfg: ChunkingConfig = ChunkingConfig(), embed: Embed = _as_is) -> DataFrame:
+    """(doc_id, chunk, text, keywords) of a document table.
+
+    Sentences are compared by TF-IDF, or by the column `vector` that `embed` adds to their rows (doc_id, pos, sentence), as
+    `hooks.embed` does with a caller's model.
+    """
     build = clustered_chunks if cfg.use_clustering else sequential_chunks
-    return _with_keywords(build(df, cfg))
+    return _with_keywords(build(df, cfg, embed))
