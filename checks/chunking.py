@@ -446,11 +446,15 @@ def _(spark, d):
     return made.withColumn("keywords", F.array_join("keywords", "|"))
 
 
-CLUSTERED = f"""{DENSITY}, {NEAREST.format(src='clustered')},
+def clustered_sql(clusters, nearest):
+    return f"""{clusters}, {nearest.format(src='clustered')},
 ordered as materialized (select doc_id, pos, sentence, label from placed), {packing(2000, 'ordered')}, {merging('chunks', 50)},
 {Q.keyword_rows("(select doc_id * 1000000 + chunk as chunk_key, text from merged)", 'chunk_key', 'text')}"""
 
 
+CLUSTERED = clustered_sql(DENSITY, NEAREST)
+
+
 @check(
     "c23_semantic_chunks_clustered",
     f"""with recursive {CLUSTERED} select doc_id, chunk, text, coalesce(keywords, '') as keywords
@@ -472,3 +476,114 @@ def _(spark, d):
 )
 def _(spark, d):
     return M.sparse_cosine(sentences(spark, d), 0.6).withColumn("sim", six_places("sim"))
+
+
+# Ids of another type: the same rows under texts.
+def text_ids(df):
+    return df.withColumn("doc_id", F.md5(F.col("doc_id").cast("string")))
+
+
+@check(
+    "c7_pairwise_text_ids",
+    f"with {pairs_sql(0.3)} select md5(doc_id::varchar) as doc_id, a, b, round(sim + 1e-12, 6) as sim, copies_a, copies_b from pairs",
+)
+def _(spark, d):
+    return M.pairwise_similarity(text_ids(sentences(spark, d)), 0.3).withColumn("sim", six_places("sim"))
+
+
+@check("c10_density_text_ids", f"with recursive {DENSITY} select md5(doc_id::varchar) as doc_id, pos, label from clustered")
+def _(spark, d):
+    return G.cluster_density(text_ids(sentences(spark, d)), 0.3, 10).select("doc_id", "pos", F.col("label").cast("long"))
+
+
+# Dense vectors: how often eight letters occur, less a share of the length.  They stand in for a model's.
+LETTERS = "entariso"
+
+
+def embedded(rows):
+    n = F.length("sentence")
+    counts = [(n - F.length(F.replace("sentence", F.lit(c)))).cast("double") - n / F.lit(12.0) for c in LETTERS]
+    return rows.withColumn("vector", F.array(*counts))
+
+
+EMBEDDED = f"""{Q.SENTENCES},
+embedded as materialized (select doc_id, pos, sentence, [
+  {', '.join(f"length(sentence) - length(replace(sentence, '{c}', '')) - length(sentence) / 12.0::double" for c in 'entariso')}]::double[] as v from sentences)"""
+
+
+def dense_pairs_sql(threshold):
+    return f"""{EMBEDDED},
+firsts as materialized (select doc_id, sentence, v, min(pos) as pos, count(*) as copies from embedded group by all),
+pairs as materialized (
+  select * from (
+    select x.doc_id, x.pos as a, y.pos as b, round(list_cosine_similarity(x.v, y.v), 9) as sim, x.copies as copies_a, y.copies as copies_b
+    from firsts x join firsts y on x.doc_id = y.doc_id and x.pos < y.pos) where sim >= {threshold})"""
+
+
+ADJACENT_DENSE = f"""{EMBEDDED},
+adjacent as (select y.doc_id, y.pos, round(list_cosine_similarity(x.v, y.v), 9) as sim from embedded x join embedded y on x.doc_id = y.doc_id and y.pos = x.pos + 1)"""
+
+
+@check("c5_adjacent_dense", f"with {ADJACENT_DENSE} select doc_id, pos, round(sim + 1e-12, 6) as sim from adjacent")
+def _(spark, d):
+    return M.adjacent_similarity(embedded(sentences(spark, d))).withColumn("sim", six_places("sim"))
+
+
+@check(
+    "c7_pairwise_dense",
+    f"with {dense_pairs_sql(0.97)} select doc_id, a, b, round(sim + 1e-12, 6) as sim, copies_a, copies_b from pairs",
+)
+def _(spark, d):
+    return M.pairwise_similarity(embedded(sentences(spark, d)), 0.97).withColumn("sim", six_places("sim"))
+
+
+THRESHOLD_DENSE = THRESHOLD.replace(pairs_sql(0.3), dense_pairs_sql(0.97))
+DENSITY_DENSE = DENSITY.replace(pairs_sql(1 - 0.7 * 0.7 / 2), dense_pairs_sql("1 - (1 - 0.8::double) * (1 - 0.8::double) / 2"))
+
+NEAREST_DENSE = """outliers as (select * from {src} where label = -1), members as (select * from {src} where label <> -1),
+best as (
+  select o.doc_id, o.pos, m.pos as near_pos from outliers o join members m on m.doc_id = o.doc_id
+  join embedded x on x.doc_id = o.doc_id and x.pos = o.pos join embedded y on y.doc_id = m.doc_id and y.pos = m.pos
+  qualify row_number() over (partition by o.doc_id, o.pos order by round(list_cosine_similarity(x.v, y.v), 9) desc, m.pos) = 1),
+placed as (
+  select l.doc_id, l.pos, l.sentence, case when l.label <> -1 then l.label else coalesce(m.label, 0) end as label
+  from {src} l left join best b on b.doc_id = l.doc_id and b.pos = l.pos left join members m on m.doc_id = l.doc_id and m.pos = b.near_pos)"""
+
+
+@check("c9_threshold_dense", f"with recursive {THRESHOLD_DENSE} select doc_id, pos, label from clustered")
+def _(spark, d):
+    return G.cluster_threshold(embedded(sentences(spark, d)), 0.97).select("doc_id", "pos", F.col("label").cast("long"))
+
+
+@check("c10_density_dense", f"with recursive {DENSITY_DENSE} select doc_id, pos, label from clustered")
+def _(spark, d):
+    return G.cluster_density(embedded(sentences(spark, d)), 0.8, 10).select("doc_id", "pos", F.col("label").cast("long"))
+
+
+@check(
+    "c11_nearest_dense",
+    f"""with {EMBEDDED}, labelled as materialized (select doc_id, pos, sentence, length(sentence) % 4 - 1 as label from sentences),
+    {NEAREST_DENSE.format(src='labelled')} select doc_id, pos, label from placed""",
+)
+def _(spark, d):
+    return G.outliers_nearest(embedded(mixed(spark, d))).select("doc_id", "pos", "label")
+
+
+@check(
+    "c23_semantic_dense",
+    f"""with recursive {clustered_sql(DENSITY_DENSE, NEAREST_DENSE)} select doc_id, chunk, text, coalesce(keywords, '') as keywords
+        from merged left join keyword_lists on chunk_key = doc_id * 1000000 + chunk""",
+)
+def _(spark, d):
+    made = semantic_chunks(docs(spark, d), ChunkingConfig(threshold=0.8), embed=embedded)
+    return made.withColumn("keywords", F.array_join("keywords", "|"))
+
+
+@check(
+    "c23_semantic_dense_sequential",
+    f"""with recursive {SEMANTIC.replace(ADJACENT, ADJACENT_DENSE)} select doc_id, chunk, text, coalesce(keywords, '') as keywords
+        from merged left join keyword_lists on chunk_key = doc_id * 1000000 + chunk""",
+)
+def _(spark, d):
+    made = semantic_chunks(docs(spark, d), ChunkingConfig(use_clustering=False), embed=embedded)
+    return made.withColumn("keywords", F.array_join("keywords", "|"))
