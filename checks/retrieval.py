@@ -234,6 +234,73 @@ def _(spark, d):
     return shown(plan.retrieve(queries, held, documents, scores=scores))
 
 
+# Every query with its own settings: a limit as text, sometimes none, and whether to rerank.
+RERANKED_MIXED = f"""{HYBRID}, settings as (
+  select *, case query_id % 4 when 0 then '3' when 1 then ' 7 ' when 2 then 'many' end as max_chunks,
+         case query_id % 3 when 0 then false when 1 then true end as use_reranker, {Q.strip('lower(query_text)')} as q from asked),
+n as (select h.*, count(*) over (partition by query_id) as n, q, coalesce(use_reranker, true) as wants,
+             case query_id % 4 when 0 then 3 when 1 then 7 else 10 end as cut from hybrid h join settings using (query_id)),
+f as (select *, not wants or n <= 3 or q in {GREET} or (length(q) <= 10 and ({PARTS})) or length(q) < 5 as skip,
+      row_number() over (partition by query_id order by similarity desc, place) as by_sim,
+      case when n > 3 and n % 3 <> 0 and n % 2 <> 0 then 1 else 0 end as gone from n),
+k as (select *, case when skip then null else {SCORE} end as score, case when not skip and gone > 0 then by_sim else place end as spot
+      from f where skip or by_sim <= n - gone),
+mixed as (select query_id, chunk_id, similarity, score as rerank_score,
+                 row_number() over (partition by query_id order by case when wants then score else similarity end desc nulls last, spot) as rank
+          from k qualify rank <= cut)"""
+
+
+def mixed_settings(queries):
+    limit = F.when(F.col("query_id") % 4 == 0, "3").when(F.col("query_id") % 4 == 1, " 7 ").when(F.col("query_id") % 4 == 2, "many")
+    use = F.when(F.col("query_id") % 3 == 0, False).when(F.col("query_id") % 3 == 1, True)
+    return queries.withColumn("max_chunks", limit).withColumn("use_reranker", use)
+
+
+@check(
+    "r13_result_rows",
+    f"""with {RERANKED_MIXED} select query_id, chunk_id, round(similarity + 1e-12, 6) as similarity, round(rerank_score, 6) as rerank_score, rank,
+      document_id, h.name as document_name, null::varchar as link, chunk_text from mixed join held h using (chunk_id)""",
+)
+def _(spark, d):
+    queries, held, documents = store(spark, d)
+    scores = with_score(plan.candidates(queries, held, documents)).select("query_id", "chunk_id", "rerank_score")
+    hits = plan.retrieve_scored(mixed_settings(queries), held, documents, scores=scores)
+    return shown(plan.result_rows(hits, held, documents)).withColumn("rerank_score", F.round("rerank_score", 6))
+
+
+# Ids of another type; ties then fall to the lowest text.
+def text_store(spark, d):
+    queries, held, documents = store(spark, d)
+    own = {c: F.md5(F.col(c).cast("string")) for c in ("query_id", "chunk_id", "document_id")}
+    return tuple(df.withColumns({c: v for c, v in own.items() if c in df.columns}) for df in (queries, held, documents))
+
+
+def text_ids(sql):
+    """The store's tables under text ids."""
+    return sql.replace(Q.STORE, f"""{Q.CHUNKS.replace('chunks as', 'long_chunks as')}, {Q.DOCS.replace('docs as', 'long_docs as')},
+{Q.ASKED.replace('asked as', 'long_asked as').replace('join docs on docs.', 'join long_docs docs on docs.')},
+chunks as (select * replace (md5(chunk_id::varchar) as chunk_id, md5(document_id::varchar) as document_id) from long_chunks),
+docs as (select * replace (md5(document_id::varchar) as document_id) from long_docs),
+asked as (select * replace (md5(query_id::varchar) as query_id) from long_asked)""").replace(
+        Q.keyword_rows("documents", "doc_id", "text"), Q.keyword_rows("(select md5(doc_id::varchar) as doc_id, text from documents)", "doc_id", "text")
+    )
+
+
+@check("r1_search_text_ids", f"with {text_ids(SEMANTIC)} select {COLS}, rank from semantic")
+def _(spark, d):
+    return shown(R.semantic_search(*text_store(spark, d), 20))
+
+
+@check("r10_bm25_text_ids", f"with {text_ids(HELD)}, {BM25} select {COLS}, rank from bm25")
+def _(spark, d):
+    return shown(R.bm25(*text_store(spark, d), 20))
+
+
+@check("r13_retrieve_text_ids", f"with {text_ids(TOP)} select {COLS}, rank from hits")
+def _(spark, d):
+    return shown(plan.retrieve(*text_store(spark, d)))
+
+
 @check(
     "r14_with_fallback",
     f"""with {HELD}, {KEYWORD}, c as (select query_id, count(*) as n from keyword group by all)

@@ -112,20 +112,21 @@ def ranking_metrics(questions: DataFrame, retrieved: DataFrame, relevant: DataFr
     """
     sim = F.round(F.coalesce(cosine(F.col("vector"), F.col("rel_vector")), F.lit(0.0)), 9)
     pairs = retrieved.join(relevant, "question_id", "left").select("question_id", "rank", "rel_id", sim.alias("sim"))
-    result = F.struct(F.lit(0).alias("side"), F.col("rank").cast("long").alias("key"))
-    text = F.struct(F.lit(1).alias("side"), F.col("rel_id").cast("long").alias("key"))
+    none = F.lit(None).cast(relevant.schema["rel_id"].dataType)
+    result = F.struct(F.lit(0).alias("side"), F.col("rank").cast("long").alias("key"), none.alias("text"))
+    text = F.struct(F.lit(1).alias("side"), F.lit(None).cast("long").alias("key"), F.col("rel_id").alias("text"))
     first = F.col("key")
     per_key = (
         pairs.select("question_id", "rank", "sim", F.explode(F.array(result, text)).alias("of"))
         .select("question_id", "rank", "sim", "of.*")
-        .groupBy("question_id", "side", "key")
+        .groupBy("question_id", "side", "key", "text")
         .agg(
             F.max(F.col("sim") > 0.5).alias("hit"),
             F.min(F.when(F.col("sim") > 0.3, F.col("rank"))).alias("rank_3"),
             F.min(F.when(F.col("sim") > 0.2, F.col("rank"))).alias("rank_2"),
         )
     )
-    is_result, is_text = F.col("side") == 0, (F.col("side") == 1) & F.col("key").isNotNull()
+    is_result, is_text = F.col("side") == 0, (F.col("side") == 1) & F.col("text").isNotNull()
     hit = is_result & F.coalesce("hit", F.lit(False))
     hit_at_k = hit & (first <= k)
     n = F.count_if(is_text)

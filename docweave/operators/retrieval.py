@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions.text import strip, words
 from docweave.operators.numbering import top_per_key
-from docweave.session import broadcast_if_small
+from docweave.session import BROADCAST_ROWS, broadcast_if_small, checkpointed
 
 # Rows per side of one scoring tile.
 CHUNK_TILE = 16_384
@@ -50,37 +50,66 @@ def _every_tile(tiles: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.col(tiles) - 1))
 
 
+def _places(ids: np.ndarray) -> np.ndarray:
+    """The rank of each id among those of a tile; texts rank like their UTF-8 bytes."""
+    return np.unique(ids, return_inverse=True)[1]
+
+
+def _hits(query_id, ids: np.ndarray, **scores: np.ndarray) -> pd.DataFrame:
+    """Rows of one query, maybe none; ids are plain objects, as an empty column of numbers is no column of texts."""
+    same = pd.Series([query_id] * len(ids), dtype=object)
+    return pd.DataFrame({"query_id": same, "chunk_id": pd.Series(list(ids), dtype=object), **scores})
+
+
+def _matrix(vectors: pd.Series, chosen: np.ndarray) -> np.ndarray:
+    return np.stack(vectors.to_numpy()[chosen]).astype(float)
+
+
 def _score_tile(k: int):
     def run(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "chunk_id", "distance", "l2_distance"]
         if asked.empty or held.empty:
-            return pd.DataFrame({n: [] for n in names})
-        q = np.stack(asked["vector"].to_numpy()).astype(float)
-        c = np.stack(held["embedding"].to_numpy()).astype(float)
-        qn, cn = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
-        dots, scale = q @ c.T, np.outer(qn, cn)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            dist = np.where(scale > 0, np.round(1.0 - dots / scale, 9), np.inf)
-        l2 = np.round(np.sqrt(np.maximum(qn[:, None] ** 2 + cn[None, :] ** 2 - 2 * dots, 0.0)), 6)
+            return _hits(None, np.zeros(0), distance=np.zeros(0), l2_distance=np.zeros(0))
+        dist = np.full((len(asked), len(held)), np.inf)
+        l2 = np.full(dist.shape, np.inf)
+        wide = [np.array([-1 if v is None else len(v) for v in side]) for side in (asked["vector"], held["embedding"])]
+        # Vectors of different lengths, and queries without one, have no distance to each other.
+        for width in np.intersect1d(*wide):
+            at, ct = np.flatnonzero(wide[0] == width), np.flatnonzero(wide[1] == width)
+            if width < 0:
+                continue
+            q, c = _matrix(asked["vector"], at), _matrix(held["embedding"], ct)
+            qn, cn = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
+            dots, scale = q @ c.T, np.outer(qn, cn)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                own = np.where(scale > 0, np.round(1.0 - dots / scale, 9), np.inf)
+            dist[np.ix_(at, ct)] = np.where(np.isnan(own), np.inf, own)
+            apart = np.round(np.sqrt(np.maximum(qn[:, None] ** 2 + cn[None, :] ** 2 - 2 * dots, 0.0)), 6)
+            l2[np.ix_(at, ct)] = np.where(np.isnan(apart), np.inf, apart)
         ids = held["chunk_id"].to_numpy()
+        place = _places(ids)
         kept = min(k, len(ids))
         edge = np.partition(dist, kept - 1, axis=1)[:, kept - 1]
         out = []
         for i, query_id in enumerate(asked["query_id"]):
             near = np.flatnonzero(dist[i] <= edge[i])
-            best = near[np.lexsort((ids[near], l2[i, near], dist[i, near]))][:k]
-            out.append(pd.DataFrame(dict(zip(names, (query_id, ids[best], dist[i, best], l2[i, best])))))
+            best = near[np.lexsort((place[near], l2[i, near], dist[i, near]))][:k]
+            out.append(_hits(query_id, ids[best], distance=dist[i, best], l2_distance=l2[i, best]))
         return pd.concat(out)
 
     return run
 
 
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def vector_topk(queries: DataFrame, held: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, distance, rank): exact nearest chunks of the query's base by cosine, then L2, then id.
 
     Both sides of a base are cut to tiles; a task multiplies one tile of queries with one tile of chunks and
     gives back ``k`` rows per query, so a base of any size spreads and no pair table exists.  Chunks without
-    a vector come last, and only the first ``k`` of a base can matter.
+    a vector come last, and only the first ``k`` of a base can matter.  A query without a vector, or with one of another
+    length or of zeros, has no distances and gets the lowest ids.  Ids are of any type that can be ordered.
     """
     with_vector = held.filter("embedding is not null").select("kb_id", "chunk_id", "embedding")
     counts = broadcast_if_small(
@@ -104,15 +133,21 @@ def vector_topk(queries: DataFrame, held: DataFrame, k: int) -> DataFrame:
     scored = (
         q_rows.groupBy(*keys)
         .cogroup(c_rows.groupBy(*keys))
-        .applyInPandas(_score_tile(k), "query_id long, chunk_id long, distance double, l2_distance double")
+        .applyInPandas(
+            _score_tile(k),
+            f"query_id {_type(queries, 'query_id')}, chunk_id {_type(held, 'chunk_id')}, distance double, l2_distance double",
+        )
     )
-    seen = F.when(F.col("distance") < float("inf"), F.col("distance"))
+
+    def seen(name):
+        return F.when(F.col(name) < float("inf"), F.col(name))
+
     unscored = top_per_key(held.filter("embedding is null").select("kb_id", "chunk_id"), ["kb_id"], ["chunk_id"], k)
     nothing = F.lit(None).cast("double")
     last = queries.select("query_id", "kb_id").join(unscored, "kb_id").select(
         "query_id", "chunk_id", nothing.alias("distance"), nothing.alias("l2_distance")
     )
-    every = scored.withColumn("distance", seen).unionByName(last)
+    every = scored.withColumn("distance", seen("distance")).withColumn("l2_distance", seen("l2_distance")).unionByName(last)
     order = [F.asc_nulls_last("distance"), F.asc_nulls_last("l2_distance"), F.col("chunk_id")]
     return top_per_key(every, ["query_id"], order, k).drop("l2_distance")
 
@@ -129,13 +164,18 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, documents: DataFrame,
     """(query_id, chunk_id, similarity = 0, rank): chunks sharing a keyword, lowest ids first.
 
     The first ``k`` chunks of a query are among the first ``k`` of each of its keywords, so postings are cut to
-    ``k`` per base and keyword before the join; a frequent keyword costs no more than a rare one.  (The outer
-    explode keeps Spark from computing derived keywords a second time in a filter of its own.)
+    ``k`` per base and keyword before the join; a frequent keyword costs no more than a rare one.  Few keywords that are
+    asked for go to all tasks and leave nothing else to be cut; many are joined after the cut.  (The outer explode keeps
+    Spark from computing derived keywords a second time in a filter of its own.)
     """
     asked = queries.select("query_id", "kb_id", F.explode_outer("keywords").alias("keyword"))
     held = live_chunks(chunks, documents).select("kb_id", "chunk_id", F.explode_outer("keywords").alias("keyword"))
-    wanted = held.join(asked.select("kb_id", "keyword").distinct(), ["kb_id", "keyword"], "left_semi")
-    postings = top_per_key(wanted, ["kb_id", "keyword"], ["chunk_id"], k, "_n").drop("_n")
+    key = ["kb_id", "keyword"]
+    wanted = checkpointed(asked.select(*key).distinct())
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        postings = top_per_key(held.join(F.broadcast(wanted), key, "left_semi"), key, ["chunk_id"], k, "_n").drop("_n")
+    else:
+        postings = top_per_key(held, key, ["chunk_id"], k, "_n").drop("_n").join(wanted, key, "left_semi")
     matched = asked.join(postings, ["kb_id", "keyword"]).select("query_id", "chunk_id").distinct()
     return top_per_key(matched, ["query_id"], ["chunk_id"], k).select(
         "query_id", "chunk_id", F.lit(0.0).alias("similarity"), "rank"
@@ -239,13 +279,61 @@ def fuse(semantic: DataFrame, keyword: DataFrame, weight: float = 0.7) -> DataFr
     return both.select("query_id", "chunk_id", score.alias("score"))
 
 
+def _score_postings(k: int):
+    """Best ``k`` chunks of a tile for each of its queries.
+
+    Terms are taken by the highest score that any chunk of the tile gets from them.  Once the k-th chunk so far can't be
+    reached by what the remaining terms can add, chunks that hold none of the terms so far are out, and the remaining terms
+    are only looked up for those that are still in reach.
+    """
+
+    def run(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        nothing = _hits(None, np.zeros(0), similarity=np.zeros(0))
+        if asked.empty or held.empty:
+            return nothing
+        ids, chunk = np.unique(held["chunk_id"].to_numpy(), return_inverse=True)
+        term, words = pd.factorize(held["term"])
+        order = np.lexsort((chunk, term))
+        chunk, part = chunk[order], held["part"].to_numpy()[order]
+        bounds = np.searchsorted(term[order], np.arange(len(words) + 1))
+        highest = np.maximum.reduceat(part, bounds[:-1])
+        asked = asked.assign(at=pd.Index(words).get_indexer(asked["term"]))
+        out = []
+        for query_id, rows in asked[asked["at"] >= 0].groupby("query_id", sort=False):
+            gains = rows["idf"].to_numpy() * highest[rows["at"]]
+            scores, seen, inside = np.zeros(len(ids)), np.zeros(len(ids), bool), None
+            by_gain = np.argsort(-gains, kind="stable")
+            left = gains.sum() - np.cumsum(gains[by_gain])
+            for i, ahead in zip(by_gain, left):
+                at, idf = rows["at"].iloc[i], rows["idf"].iloc[i]
+                own, add = chunk[bounds[at] : bounds[at + 1]], part[bounds[at] : bounds[at + 1]]
+                if inside is not None:
+                    own, add = own[inside[own]], add[inside[own]]
+                scores[own] += idf * add
+                seen[own] = True
+                found = np.flatnonzero(seen if inside is None else seen & inside)
+                if len(found) >= k:
+                    floor = np.partition(scores[found], len(found) - k)[len(found) - k]
+                    if floor > ahead + 1e-6:
+                        inside = np.zeros(len(ids), bool)
+                        inside[found[scores[found] + ahead >= floor - 1e-6]] = True
+            found = np.flatnonzero(seen if inside is None else seen & inside)
+            rounded = np.round(scores[found], 9)
+            best = np.lexsort((found, -rounded))[:k]
+            out.append(_hits(query_id, ids[found[best]], similarity=rounded[best]))
+        return pd.concat(out) if out else nothing
+
+    return run
+
+
 def bm25(
     queries: DataFrame, chunks: DataFrame, documents: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75
 ) -> DataFrame:
     """(query_id, chunk_id, similarity, rank): BM25 over the live chunks of the query's base.
 
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)).  Postings are cut to the terms that are asked for before anything
-    is counted, and counts are partly summed before each exchange.
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)).  Postings are cut to the terms that are asked for before anything is counted,
+    and counts are partly summed before each exchange.  Chunks of a base are dealt to tiles; a task scores one tile of
+    queries against one tile of postings and gives back ``k`` rows per query, so queries never meet chunks as rows.
     """
 
     def terms(col):
@@ -253,7 +341,10 @@ def bm25(
 
     held = live_chunks(chunks, documents).select("kb_id", "chunk_id", terms(F.col("chunk_text")).alias("terms"))
     lengths = held.select("kb_id", "chunk_id", F.size("terms").alias("dl"), "terms")
-    bases = lengths.groupBy("kb_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))
+    bases = lengths.groupBy("kb_id").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"), F.ceil(F.count(F.lit(1)) / CHUNK_TILE).cast("int").alias("c_tiles")
+    )
+    bases = broadcast_if_small(bases.join(_tile_counts(queries, QUERY_TILE, "q_tiles"), "kb_id"))
     asked = queries.select("query_id", "kb_id", F.explode(F.array_distinct(terms(F.col("query_text")))).alias("term"))
     tf = (
         lengths.select("kb_id", "chunk_id", "dl", F.explode_outer("terms").alias("term"))
@@ -261,16 +352,19 @@ def bm25(
         .groupBy("kb_id", "term", "chunk_id", "dl")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    df = tf.groupBy("kb_id", "term").agg(F.count(F.lit(1)).alias("df")).join(bases, "kb_id")
+    df = tf.groupBy("kb_id", "term").agg(F.count(F.lit(1)).alias("df")).join(bases.select("kb_id", "n"), "kb_id")
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.select("kb_id", "term", idf.alias("idf"), "avg_dl")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    scored = (
-        asked.join(weights, ["kb_id", "term"])
-        .join(tf, ["kb_id", "term"])
-        .groupBy("query_id", "chunk_id")
-        .agg(F.round(F.sum(part), 9).alias("similarity"))
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
+    postings = tf.join(bases, "kb_id").select(
+        "kb_id", _own_tile("chunk_id", "c_tiles").alias("ct"), _every_tile("q_tiles").alias("qt"), "term", "chunk_id", part.alias("part")
+    )
+    weighed = asked.join(df.select("kb_id", "term", idf.alias("idf")), ["kb_id", "term"]).join(bases, "kb_id")
+    lists = weighed.select(
+        "kb_id", _every_tile("c_tiles").alias("ct"), _own_tile("query_id", "q_tiles").alias("qt"), "query_id", "term", "idf"
     )
+    keys = ["kb_id", "ct", "qt"]
+    schema = f"query_id {_type(queries, 'query_id')}, chunk_id {_type(chunks, 'chunk_id')}, similarity double"
+    scored = lists.groupBy(*keys).cogroup(postings.groupBy(*keys)).applyInPandas(_score_postings(k), schema)
     return top_per_key(scored, ["query_id"], [F.desc("similarity"), F.col("chunk_id")], k)
 
 

@@ -151,7 +151,7 @@ def map_tiles(rows: DataFrame, places: Column, symmetric: bool, reduce_tile: Cal
             row, col = _two_sides(part, symmetric and key[1] == key[2])
             if len(row.pos) and len(col.pos):
                 made = pd.DataFrame(reduce_tile(row, col, row.vectors @ col.vectors.T))
-                made.insert(0, "doc_id", key[0])
+                made.insert(0, "doc_id", pd.Series([key[0]] * len(made), dtype=object))
                 out.append(made)
                 size += len(made)
             if size > 50_000:

@@ -34,13 +34,14 @@ def ingest_stream(
     size: int = 64,
     overlap: int = 16,
     tasks: int | None = None,
+    schema: str = DOCUMENT_SCHEMA,
 ) -> StreamingQuery:
     """Chunk documents that arrive as parquet under ``source`` and append them to ``target``, each exactly once.
 
-    ``tasks`` deals the rows of a batch out, for sources that deliver few files with many documents.
+    ``schema`` names the documents' columns, with an id of any type.  ``tasks`` deals the rows of a batch out, for sources that deliver few files with many documents.
     """
     docs = (
-        spark.readStream.schema(DOCUMENT_SCHEMA).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(source)
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(source)
     )
     dealt = docs.repartition(tasks) if tasks else docs
     return (

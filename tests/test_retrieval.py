@@ -1,9 +1,12 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from checks.retrieval import QUERIES
 from docweave.operators import numbering
 from docweave.operators import retrieval as R
+from docweave.plans.retrieve import RetrievalConfig, result_rows, retrieve_scored
 
 
 def test_vector_topk_equals_brute_force(spark, monkeypatch):
@@ -99,3 +102,69 @@ def test_numbering_a_hot_key_in_slices(spark, width):
     df = spark.createDataFrame(rows, "k string, at long")
     got = {(r["k"], r["at"]): r["row"] for r in numbering.numbered(df, "at", ["k"], width=width).collect()}
     assert got == {**{("hot", i * 2): i + 1 for i in range(50)}, ("b", 7): 1, (None, 1): 1, (None, 9): 2}
+
+
+def test_bm25_tile_equals_plain_sums():
+    rng = np.random.default_rng(4)
+    held = pd.DataFrame([(f"t{t}", int(c), rng.choice([0.2, 0.5, 1.0, 1.9])) for t in range(12) for c in rng.choice(300, 5 + 20 * t, replace=False)], columns=["term", "chunk_id", "part"])
+    idf = {f"t{t}": 6.0 / (1 + t) for t in range(12)} | {"absent": 9.0}
+    asked = pd.DataFrame([(q, t, idf[t]) for q in range(30) for t in rng.choice([*idf], rng.integers(1, 9), replace=False)], columns=["query_id", "term", "idf"])
+    for k in (1, 3, 20, 500):
+        got = R._score_postings(k)(None, asked, held).groupby("query_id")[["chunk_id", "similarity"]].apply(lambda x: [tuple(r) for r in x.to_numpy()])
+        for q, rows in asked.groupby("query_id"):
+            joined = held.merge(rows, on="term")
+            sums = (joined["idf"] * joined["part"]).groupby(joined["chunk_id"]).sum().round(9)
+            want = sorted(((c, s) for c, s in sums.items()), key=lambda x: (-x[1], x[0]))[:k]
+            assert (list(got[q]) if q in got.index else []) == want
+
+
+def test_bm25_over_many_tiles(spark, monkeypatch):
+    chunks = spark.createDataFrame([(f"c{i:02}", 1, f"alpha {'beta ' * (i % 5)}gamma w{i}", i == 7) for i in range(40)], "chunk_id string, document_id long, chunk_text string, is_deleted boolean")
+    docs = spark.createDataFrame([(1, "kb", True, "n")], "document_id long, kb_id string, status boolean, name string")
+    queries = spark.createDataFrame([("q1", "kb", "beta w3"), ("q2", "kb", "nothing"), ("q3", "kb", "Alpha beta")], "query_id string, kb_id string, query_text string")
+    whole = sorted(tuple(r) for r in R.bm25(queries, chunks, docs, 5).collect())
+    monkeypatch.setattr(R, "CHUNK_TILE", 6)
+    monkeypatch.setattr(R, "QUERY_TILE", 1)
+    assert sorted(tuple(r) for r in R.bm25(queries, chunks, docs, 5).collect()) == whole and len(whole) == 10 and whole[0][:2] == ("q1", "c03")
+
+
+def test_bm25_has_no_aggregate_of_queries_and_chunks(spark, small):
+    plan = QUERIES["r10_bm25"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Aggregate" in line and "query_id" in line and "chunk_id" in line]
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_keywords_are_cut_before_the_first_exchange_of_postings(spark, monkeypatch, limit):
+    monkeypatch.setattr(R, "BROADCAST_ROWS", limit)
+    chunks = spark.createDataFrame([(i, 1, "t", ["hot"] + (["rare"] if i == 90 else []), False) for i in range(100)], "chunk_id long, document_id long, chunk_text string, keywords array<string>, is_deleted boolean")
+    docs = spark.createDataFrame([(1, "kb", True, "n")], "document_id long, kb_id string, status boolean, name string")
+    queries = spark.createDataFrame([(1, "kb", ["rare", "hot"]), (2, "kb", ["rare"])], "query_id long, kb_id string, keywords array<string>")
+    found = R.keyword_search(queries, chunks, F.broadcast(docs), 3)
+    assert [(r["query_id"], r["chunk_id"]) for r in found.orderBy("query_id", "rank").collect()] == [(1, 0), (1, 1), (1, 2), (2, 90)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_queries_without_a_vector_or_of_another_length(spark):
+    held = [("kb", f"c{i}", v) for i, v in enumerate([[1.0, 0.0], [0.0, 1.0], None, [1.0, 0.0, 0.0], [0.0, 0.0]])]
+    chunks = spark.createDataFrame(held, "kb_id string, chunk_id string, embedding array<double>")
+    queries = spark.createDataFrame([("none", "kb", None), ("two", "kb", [0.0, 2.0]), ("four", "kb", [1.0] * 4), ("nan", "kb", [float("nan"), 1.0])], "query_id string, kb_id string, vector array<double>")
+    got = {}
+    for r in R.vector_topk(queries, chunks, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["chunk_id"], r["distance"]))
+    blank = [("c0", None), ("c1", None), ("c2", None)]
+    assert got == {"none": blank, "four": blank, "nan": blank, "two": [("c1", 0.0), ("c0", 1.0), ("c4", None)]}
+
+
+def test_requests_with_their_own_settings(spark):
+    chunks = spark.createDataFrame([(i, 1, f"t{i}", ["k"], [1.0, i / 10], False) for i in range(6)], "chunk_id long, document_id long, chunk_text string, keywords array<string>, embedding array<double>, is_deleted boolean")
+    docs = spark.createDataFrame([(1, "kb", True, "n", "http://x")], "document_id long, kb_id string, status boolean, name string, link string")
+    asked = [(1, "2", True), (2, None, False), (3, "0", None), (4, "x", None)]
+    queries = spark.createDataFrame([(q, "kb", "what is the law", [], [1.0, 0.0], m, u) for q, m, u in asked], "query_id long, kb_id string, query_text string, keywords array<string>, vector array<double>, max_chunks string, use_reranker boolean")
+    scores = spark.createDataFrame([(q, c, float(c)) for q in range(1, 5) for c in range(6)], "query_id long, chunk_id long, rerank_score double")
+    hits = retrieve_scored(queries, chunks, docs, RetrievalConfig(max_chunks=4), scores)
+    got = {}
+    for r in result_rows(hits, chunks, docs).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["chunk_id"], r["rerank_score"]))
+        assert (r["document_name"], r["link"], r["chunk_text"]) == ("n", "http://x", f"t{r['chunk_id']}")
+    assert got == {1: [(5, 5.0), (4, 4.0)], 2: [(i, None) for i in range(4)], 4: [(i, float(i)) for i in (5, 4, 3, 2)]}

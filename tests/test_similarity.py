@@ -4,6 +4,7 @@ from math import log, sqrt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docweave.operators import clusters as G
 from docweave.operators import similarity as M
@@ -121,3 +122,51 @@ def test_density_needs_enough_close_sentences(spark):
     assert labels(G.cluster_density(df, 0.3, 10)) == [0] * 11 + [-1] * 4
     assert set(labels(G.cluster_density(df, 0.3, 12))) == {-1}
     assert sqrt(2 - 2 * 0.755) == pytest.approx(0.7)
+
+
+def linked(n, m, pairs):
+    """Components of rows 0.. and columns n.. under the given pairs."""
+    root = list(range(n + m))
+    for i, j in pairs:
+        a, b = root[i], root[n + j]
+        root = [a if r == b else r for r in root]
+    return [root.index(r) for r in root]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.1, 0.9, 1.0])
+def test_a_tile_gives_back_a_forest(share):
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 1), (40, 30), (7, 60)):
+        close = rng.random((n, m)) < share
+        i, j = tiles.spanning_pairs(close)
+        assert len(i) < n + m and all(close[a, b] for a, b in zip(i, j))
+        assert linked(n, m, zip(i, j)) == linked(n, m, zip(*np.nonzero(close)))
+
+
+def test_edges_of_a_document_of_alike_sentences_stay_few(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "TILE", 16)
+    rows = [("d", i, f"alpha beta gamma delta w{i}x") for i in range(64)]
+    df = spark.createDataFrame(rows, "doc_id string, pos int, sentence string")
+    links = M.close_forest(M.distinct_rows(df), 0.1).collect()
+    assert len(links) <= 10 * 31 and set(labels(G.cluster_threshold(df, 0.1), "'d'")) == {0}
+    assert G.cluster_density(df, 0.5, 10).schema["doc_id"].dataType.simpleString() == "string"
+
+
+VECTORS = [[1.0, 0.0], [1.0, 0.1], None, [0.0, 0.0], [float("nan"), 1.0], [0.0, 2.0], [0.0], [-1.0, 0.0], [1.0, 0.0], [None, 1.0]]
+
+
+def test_dense_vectors_missing_zero_and_not_finite(spark, tile):
+    df = spark.createDataFrame([("a", i, f"s{i % 8}", v) for i, v in enumerate(VECTORS)], "doc_id string, pos long, sentence string, vector array<double>")
+    got = {(r["a"], r["b"]): (round(r["sim"], 6), r["copies_a"]) for r in M.pairwise_similarity(df, 0.5).collect()}
+    assert got == {(0, 1): (0.995037, 2)}  # 8 reads like 0 and has its vector; 9 reads like 1 and has another
+    near = {r["pos"]: r["sim"] for r in M.adjacent_similarity(df).collect()}
+    assert near[1] == pytest.approx(0.995037, abs=1e-6) and all(near[i] == 0 for i in (2, 3, 4, 5, 6)) and near[8] == -1
+    clusters = labels(G.cluster_threshold(df, 0.9), "'a'")
+    assert clusters[0] == clusters[1] == clusters[8] and len(set(clusters)) == 8
+    outliers = labels(G.outliers_nearest(df.withColumn("label", F.when(F.col("pos").isin(1, 5), F.col("pos")).otherwise(-1))), "'a'")
+    assert outliers[0] == 1 and outliers[5] == 5 and outliers[2] == 1
+
+
+def test_empty_documents(spark):
+    df = spark.createDataFrame([], "doc_id string, pos long, sentence string, vector array<double>")
+    assert G.cluster_density(df).collect() == [] and M.pairwise_similarity(df, 0.5).collect() == []
