@@ -276,3 +276,49 @@ def _(spark, d):
     new = load(spark, d, "benchmark").select(F.col("item_id").alias("document_id"), F.col("text").alias("description"))
     out = L.set_descriptions(docs(spark, d), new, "document_id", NOW)
     return text(out.select("document_id", "description", "updated_at"), "updated_at")
+
+
+# Changes as they come from a log: several to a chunk, not in order of seq, with deletes and restores.
+CHANGE_LOG = """log as (select event_id % 1500 as chunk_id, (event_id * 7919) % 100003 as seq, event_id,
+  case event_id % 7 when 0 then 'delete' when 1 then 'restore' when 2 then 'other' else 'update' end as op, case when event_id % 11 > 0 then props end as new_text from events)"""
+
+
+def change_log(spark, d):
+    kind = F.col("event_id") % 7
+    op = F.when(kind == 0, "delete").when(kind == 1, "restore").when(kind == 2, "other").otherwise("update")
+    return load(spark, d, "events").select(
+        (F.col("event_id") % 1500).alias("chunk_id"), ((F.col("event_id") * 7919) % 100003).alias("seq"), "event_id", op.alias("op"),
+        F.when(F.col("event_id") % 11 > 0, F.col("props")).alias("new_text"),
+    )
+
+
+@check(
+    "l2_apply_changes",
+    f"""with recursive {CHUNKS}, {CHANGE_LOG},
+    known as (select chunk_id, seq, new_text, case op when 'delete' then 0 when 'restore' then 1 else 2 end as r from log where op <> 'other'),
+    steps as (select *, row_number() over (partition by chunk_id order by seq, r, new_text nulls first) as i from known),
+    walk as (
+      select chunk_id, 0 as i, is_deleted as dead, chunk_text as t, false as changed, false as gone from store
+      union all
+      select w.chunk_id, s.i, case r when 0 then true when 1 then false else dead end,
+             case when r = 2 and not dead and new_text is not null then new_text else t end,
+             changed or (r = 2 and not dead and new_text is not null), gone or r = 0
+      from walk w join steps s on s.chunk_id = w.chunk_id and s.i = w.i + 1),
+    ends as (select * from walk qualify row_number() over (partition by chunk_id order by i desc) = 1)
+    select s.chunk_id, t as chunk_text, dead as is_deleted, {ts('updated_at')}, {ts('delete_time')} from
+      (select s.chunk_id, t, dead, case when changed then {STAMP} else updated_at end as updated_at, case when gone then {STAMP} else delete_time end as delete_time
+       from store s join ends e on e.chunk_id = s.chunk_id) s""",
+)
+def _(spark, d):
+    out = L.apply_changes(chunks(spark, d), change_log(spark, d), NOW)
+    return text(out.select("chunk_id", "chunk_text", "is_deleted", "updated_at", "delete_time"), "updated_at", "delete_time")
+
+
+@check(
+    "l2_update_text_in_order",
+    f"""with {CHUNKS}, {CHANGE_LOG},
+    u as (select chunk_id, max_by(new_text, {{'s': seq, 't': new_text}}) as t from log where new_text is not null group by all)
+    select s.chunk_id, case when t is not null and not is_deleted then t else chunk_text end as chunk_text from store s left join u on u.chunk_id = s.chunk_id""",
+)
+def _(spark, d):
+    return L.update_text(chunks(spark, d), change_log(spark, d), NOW).select("chunk_id", "chunk_text")

@@ -340,6 +340,21 @@ def _(spark, d):
     return G.resolve_config(requests, configs(spark, d), any_config=True)
 
 
+@check(
+    "g6_update_config_in_order",
+    f"""with {CONFIGS}, c as (select event_id % 700 as id, (event_id * 7919) % 100003 as seq, case when event_id % 3 > 0 then event_type end as a,
+           case when event_id % 5 > 2 then props end as b from events),
+    x as (select id, max_by(a, {{'s': seq, 'a': a, 'b': b}}) filter (a is not null) as a, max_by(b, {{'s': seq, 'a': a, 'b': b}}) filter (b is not null) as b from c group by all)
+    select configs.id, coalesce(x.a, name_config) as name_config, coalesce(x.b, status) as status from configs left join x on x.id = configs.id""",
+)
+def _(spark, d):
+    changes = load(spark, d, "events").select(
+        (F.col("event_id") % 700).alias("id"), ((F.col("event_id") * 7919) % 100003).alias("seq"),
+        F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("name_config"), F.when(F.col("event_id") % 5 > 2, F.col("props")).alias("status"),
+    )
+    return G.update_config(configs(spark, d), changes, ["name_config", "status"]).select("id", "name_config", "status")
+
+
 @check(
     "g6_update_config",
     f"""with {CONFIGS} select id, coalesce(case when toxic = 0 then 'renamed' end, name_config) as name_config,

@@ -97,6 +97,15 @@ def _(spark, d):
     return writers.assign_batches(load(spark, d, "events").select("event_id"), 64, "event_id")
 
 
+@check(
+    "s8_batches_by_hash",
+    "select event_id, (row_number() over (order by ts, event_id) - 1) // 64 as batch from (select event_id, md5(event_id::varchar) as ts from events)",
+)
+def _(spark, d):
+    rows = load(spark, d, "events").select("event_id", F.md5(F.col("event_id").cast("string")).alias("key"))
+    return writers.assign_batches(rows, 64, "key").select("event_id", "batch")
+
+
 @check("t1_split_sentences", f"with {Q.RAW_SENTENCES} select doc_id, pos, sentence from raw_sentences")
 def _(spark, d):
     return S.split_sentences(docs(spark, d)).withColumn("pos", F.col("pos").cast("long"))

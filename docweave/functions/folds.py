@@ -146,11 +146,23 @@ def fixed_windows(items: Column, size: int, overlap: int = 0) -> Column:
 # --- packing labelled sentences ------------------------------------------------------------------------
 
 
+def _blocks(items: Column) -> Column:
+    """An array in about sqrt(n) slices of as many items."""
+
+    def cut(xs):
+        width = F.greatest(F.ceil(F.sqrt(F.size(xs).cast("double"))).cast("int"), F.lit(1))
+        return F.transform(
+            F.sequence(F.lit(0), F.size(xs) - 1, width), lambda at: F.slice(xs, at + 1, width)
+        )
+
+    return let(items, lambda xs: F.when(F.size(xs) > 0, cut(xs)).otherwise(F.transform(xs, lambda x: F.array(x))))
+
+
 def pack(sentences: Column, limit: int = 2000) -> Column:
     """Chunk texts from an ordered array<struct<sentence, label>>.
 
     A new chunk begins when the label changes or when the sentence lengths (joining spaces not counted)
-    would pass ``limit``.
+    would pass ``limit``.  Chunks are gathered in slices of sqrt(n) sentences, so that no step copies all that is done.
     """
 
     def flush(acc):
@@ -166,35 +178,50 @@ def pack(sentences: Column, limit: int = 2000) -> Column:
             F.when(new, n).otherwise(acc["len"] + n).alias("len"),
         )
 
+    state = ("cur", "label", "len")
+
+    def block(acc, part):
+        begun = F.struct(empty(STRINGS).alias("done"), *[acc[c].alias(c) for c in state])
+        return let(
+            F.aggregate(part, begun, step),
+            lambda end: F.struct(append(acc["all"], end["done"]).alias("all"), *[end[c].alias(c) for c in state]),
+        )
+
     start = F.struct(
-        empty(STRINGS).alias("done"),
+        empty("array<array<string>>").alias("all"),
         empty(STRINGS).alias("cur"),
         F.lit(0).cast("long").alias("label"),
         F.lit(0).alias("len"),
     )
-    return F.aggregate(sentences, start, step, flush)
 
+    def last(acc):
+        rest = F.when(F.size(acc["cur"]) > 0, F.array(F.array_join(acc["cur"], " "))).otherwise(empty(STRINGS))
+        return F.concat(F.flatten(acc["all"]), rest)
 
-def grouped(sentences: Column) -> Column:
-    """array<struct<sentence, label>> -> array<array<string>>: runs of equal labels."""
+    return F.aggregate(_blocks(sentences), start, block, last)
 
-    def step(acc, s):
-        new = (F.size(acc["done"]) == 0) | (s["label"] != acc["label"])
-        last = F.size(acc["done"])
-        return F.struct(
-            F.when(new, append(acc["done"], F.array(s["sentence"])))
-            .otherwise(
-                append(
-                    F.slice(acc["done"], 1, F.greatest(last - 1, F.lit(0))),
-                    append(F.coalesce(F.get(acc["done"], last - 1), empty(STRINGS)), s["sentence"]),
-                )
-            )
-            .alias("done"),
-            s["label"].cast("long").alias("label"),
+
+def _runs(items: Column, starts: Callable[[Column, Column], Column]) -> Column:
+    """array<array<item>>: ``items`` cut before each place i for which ``starts(items, i)`` holds, in one pass and one slice
+    a run; place 0 always starts a run."""
+
+    def cut(xs):
+        places = F.filter(F.sequence(F.lit(0), F.size(xs) - 1), lambda i: (i == 0) | starts(xs, i))
+        runs = let(
+            F.struct(xs.alias("xs"), places.alias("at")),
+            lambda r: F.transform(
+                r["at"], lambda at, j: F.slice(r["xs"], at + 1, F.coalesce(F.get(r["at"], j + 1), F.size(r["xs"])) - at)
+            ),
         )
+        return F.when(F.size(xs) > 0, runs).otherwise(F.transform(xs, lambda x: F.array(x)))
 
-    start = F.struct(empty("array<array<string>>").alias("done"), F.lit(None).cast("long").alias("label"))
-    return F.aggregate(sentences, start, step, lambda a: a["done"])
+    return let(items, cut)
+
+
+def grouped(sentences: Column) -> Column:
+    """array<struct<sentence, label>> -> array<array<string>>: runs of equal labels."""
+    runs = _runs(sentences, lambda xs, i: ~F.get(xs, i)["label"].eqNullSafe(F.get(xs, i - 1)["label"]))
+    return F.transform(runs, lambda run: F.transform(run, lambda s: s["sentence"]))
 
 
 def split_oversized(groups: Column, limit: int = 2000) -> Column:
@@ -216,35 +243,42 @@ def split_oversized(groups: Column, limit: int = 2000) -> Column:
 
 
 def merge_small(chunks: Column, minimum: int = 50) -> Column:
-    """Append chunks shorter than ``minimum`` to the one before; ``chunks`` is array<struct<text, part>>."""
-
-    def step(acc, c):
-        last = F.size(acc)
-        small = (F.length(c["text"]) < minimum) & (last > 0) & ~c["part"]
-        return F.when(
-            small,
-            append(
-                F.slice(acc, 1, F.greatest(last - 1, F.lit(0))),
-                F.concat(F.coalesce(F.get(acc, last - 1), F.lit("")), F.lit(" "), c["text"]),
-            ),
-        ).otherwise(append(acc, c["text"]))
+    """Append chunks shorter than ``minimum`` to the one before; ``chunks`` is array<struct<text, part>>.
 
-    return F.aggregate(chunks, empty(STRINGS), step)
+    Whether a chunk is appended depends on itself alone, so the runs that become one chunk are cut out and joined once.
+    """
+    runs = _runs(chunks, lambda xs, i: (F.length(F.get(xs, i)["text"]) >= minimum) | F.get(xs, i)["part"])
+    return F.transform(runs, lambda run: F.array_join(F.transform(run, lambda c: c["text"]), " ", ""))
 
 
 def add_overlap(chunks: Column, k: int) -> Column:
-    """Put the last ``k`` words of a chunk (its own prefix included) before the next, if it has more than ``k``."""
+    """Put the last ``k`` words of a chunk (its own prefix included) before the next, if it has more than ``k``.
+
+    Only the chunk before is looked at.  Results are gathered in slices of sqrt(n) chunks, so that no step copies all that
+    is done.
+    """
     if k <= 0:
         return chunks
 
-    def step(acc, c):
-        def prefixed(prev):
+    def prefixed(before, c):
+        def after(prev):
             tail = F.array_join(F.slice(prev, F.size(prev) - k + 1, k), " ")
             return F.when(F.size(prev) > k, F.concat(tail, F.lit(" "), c)).otherwise(c)
 
-        return append(acc, let(words(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(""))), prefixed))
+        return let(words(F.coalesce(before, F.lit(""))), after)
+
+    def step(acc, c):
+        return let(prefixed(acc["last"], c), lambda text: F.struct(text.alias("last"), append(acc["out"], text).alias("out")))
+
+    def block(acc, chunk_block):
+        begun = F.struct(acc["last"].alias("last"), empty(STRINGS).alias("out"))
+        return let(
+            F.aggregate(chunk_block, begun, step),
+            lambda done: F.struct(done["last"].alias("last"), append(acc["out"], done["out"]).alias("out")),
+        )
 
-    return F.aggregate(chunks, empty(STRINGS), step)
+    start = F.struct(F.lit(None).cast("string").alias("last"), empty("array<array<string>>").alias("out"))
+    return F.aggregate(_blocks(chunks), start, block, lambda acc: F.flatten(acc["out"]))
 
 
 # --- split points --------------------------------------------------------------------------------------

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.operators.store import last_change
+
 from docweave.functions.common import is_json
 
 # Parameter groups that become numbers or booleans.
@@ -100,11 +102,17 @@ def resolve_config(requests: DataFrame, configs: DataFrame, any_config: bool = F
 
 
 def update_config(configs: DataFrame, changes: DataFrame, fields: list[str]) -> DataFrame:
-    """Only the fields that are given (not NULL) in ``changes`` (id, fields ...) change.
+    """Only the fields that are given (not NULL) in ``changes`` (id, fields ..., maybe seq) change.
 
-    Of several rows with one id the greatest value of each field is taken, so no stored row is multiplied.
+    With ``seq`` the rows of an id are applied one after the other: a field takes its value from the last row that gives
+    it.  Without, one row of an id is applied, the greatest as a whole, so that no stored row is made of two changes.
     """
-    given = changes.groupBy("id").agg(*[F.max(f).alias(f"_{f}") for f in fields])
+    if "seq" in changes.columns:
+        whole = F.struct("seq", F.struct(*fields).alias("all"))
+        last = [F.max_by(f, F.when(F.col(f).isNotNull(), whole)).alias(f"_{f}") for f in fields]
+        given = changes.groupBy("id").agg(*last)
+    else:
+        given = last_change(changes, "id", fields).withColumnsRenamed({f: f"_{f}" for f in fields})
     joined = configs.join(given, "id", "left")
     return joined.withColumns({f: F.coalesce(f"_{f}", f) for f in fields}).drop(*[f"_{f}" for f in fields])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docweave.operators.numbering import top_per_key
@@ -39,18 +40,55 @@ def insert_chunks(chunks: DataFrame, documents: DataFrame, new: DataFrame) -> tu
     return chunks.unionByName(new, allowMissingColumns=True), docs
 
 
-def _one_each(changes: DataFrame, key: str) -> DataFrame:
-    """One row a key, as an update changes a stored row once: the greatest of the values given for it."""
-    return changes.groupBy(key).agg(*[F.max(c).alias(c) for c in changes.columns if c != key])
+def last_change(changes: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """One row a key, as an update changes a stored row once; (key, *values) of one and the same change.
+
+    With a column ``seq`` the last change of a key counts, without one the greatest; of equal ones the greatest values.
+    """
+    whole = F.struct(*values)
+    order = F.struct("seq", whole.alias("_v")) if "seq" in changes.columns else whole
+    return changes.groupBy(key).agg(F.max_by(whole, order).alias("_last")).select(key, "_last.*")
 
 
 def update_text(chunks: DataFrame, changes: DataFrame, now: str | None = None) -> DataFrame:
-    """New text (chunk_id, new_text) for chunks that are not deleted."""
-    joined = chunks.join(_one_each(changes.select("chunk_id", "new_text"), "chunk_id"), "chunk_id", "left")
+    """New text (chunk_id, new_text, maybe seq) for chunks that are not deleted; the last change that gives a text counts."""
+    given = last_change(changes.filter("new_text is not null"), "chunk_id", ["new_text"])
+    joined = chunks.join(given, "chunk_id", "left")
     cond = F.col("new_text").isNotNull() & ~F.col("is_deleted")
     return _set(joined, cond, {"chunk_text": F.col("new_text"), "updated_at": _stamp(now)}).drop("new_text")
 
 
+def apply_changes(chunks: DataFrame, changes: DataFrame, now: str | None = None) -> DataFrame:
+    """Chunks after all ``changes`` (chunk_id, seq, op, new_text) one after the other by seq, in whatever order they come.
+
+    op is update, delete or restore.  An update counts where the chunk is live at that moment, so one behind a delete and
+    before a restore is lost; the last that counts gives the text.  Of changes of one seq, deletes go first, then restores.
+    """
+    rank = F.when(F.col("op") == "delete", 0).when(F.col("op") == "restore", 1).when(F.col("op") == "update", 2)
+    known = changes.select("chunk_id", "seq", rank.alias("_rank"), "new_text").filter("_rank is not null")
+    own = known.join(chunks.select("chunk_id", F.col("is_deleted").alias("_was")), "chunk_id")
+    earlier = W.partitionBy("chunk_id").orderBy("seq", "_rank", "new_text").rowsBetween(W.unboundedPreceding, W.currentRow)
+    toggle = F.last(F.when(F.col("_rank") < 2, F.col("_rank") == 0), ignorenulls=True).over(earlier)
+    stated = own.withColumn("_dead", F.coalesce(toggle, F.col("_was")))
+    at = F.struct("seq", "_rank", "new_text")
+    counts = (F.col("_rank") == 2) & ~F.col("_dead") & F.col("new_text").isNotNull()
+    ends = stated.groupBy("chunk_id").agg(
+        F.max_by("_dead", at).alias("_dead"),
+        F.max_by("new_text", F.when(counts, at)).alias("_text"),
+        F.bool_or(counts).alias("_changed"),
+        F.bool_or((F.col("_rank") == 0) & F.col("_dead")).alias("_gone"),
+    )
+    joined = chunks.join(ends, "chunk_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("_changed", "_gone")})
+    return joined.withColumns(
+        {
+            "chunk_text": F.when(F.col("_changed"), F.col("_text")).otherwise(F.col("chunk_text")),
+            "updated_at": F.when(F.col("_changed"), _stamp(now)).otherwise(F.col("updated_at")),
+            "delete_time": F.when(F.col("_gone"), _stamp(now)).otherwise(F.col("delete_time")),
+            "is_deleted": F.coalesce("_dead", "is_deleted"),
+        }
+    ).drop("_dead", "_text", "_changed", "_gone")
+
+
 def soft_delete(chunks: DataFrame, ids: DataFrame, now: str | None = None) -> DataFrame:
     cond = F.col("_hit") & ~F.col("is_deleted")
     return _set(_marked(chunks, ids, "chunk_id"), cond, {"is_deleted": F.lit(True), "delete_time": _stamp(now)}).drop("_hit")
@@ -93,8 +131,15 @@ def pending_chunks(chunks: DataFrame, document_id=None, ids: DataFrame | None =
 
 
 def fill_embeddings(chunks: DataFrame, new: DataFrame) -> DataFrame:
-    """Embeddings (chunk_id, embedding) go in only where there is none; sets is_done."""
-    given = _one_each(new.select("chunk_id", F.col("embedding").alias("_new")), "chunk_id")
+    """Embeddings (chunk_id, embedding, maybe seq) go in only where there is none; sets is_done.
+
+    The first one given for a chunk fills it, as later ones find it filled; without seq the greatest.
+    """
+    offered = new.filter("embedding is not null").withColumn("_new", F.col("embedding"))
+    if "seq" in new.columns:
+        given = offered.groupBy("chunk_id").agg(F.min_by("_new", F.struct("seq", "_new")).alias("_new"))
+    else:
+        given = last_change(offered, "chunk_id", ["_new"])
     filled = chunks.join(given, "chunk_id", "left").withColumn("embedding", F.coalesce("embedding", "_new")).drop("_new")
     return filled.withColumn("is_done", F.col("embedding").isNotNull())
 
@@ -152,7 +197,7 @@ def mark_embedded(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def upsert_config(configs: DataFrame, new: DataFrame, now: str | None = None) -> DataFrame:
     """(user_id, config, created_at, updated_at) after inserting or replacing (user_id, config)."""
-    given = _one_each(new.select("user_id", F.col("config").alias("_config")), "user_id")
+    given = last_change(new.filter("config is not null").withColumn("_config", F.col("config")), "user_id", ["_config"])
     joined = configs.join(given, "user_id", "full")
     changed = F.col("_config").isNotNull()
     return joined.select(
@@ -191,6 +236,7 @@ def rollup_descriptions(documents: DataFrame, max_chars: int = 20_000, sep: str
 
 def set_descriptions(table: DataFrame, new: DataFrame, key: str, now: str | None = None) -> DataFrame:
     """Descriptions (key, description) where given, with the time of the change."""
-    joined = table.join(_one_each(new.select(key, F.col("description").alias("_new")), key), key, "left")
+    given = last_change(new.filter("description is not null").withColumn("_new", F.col("description")), key, ["_new"])
+    joined = table.join(given, key, "left")
     cond = F.col("_new").isNotNull()
     return _set(joined, cond, {"description": F.col("_new"), "updated_at": _stamp(now)}).drop("_new")

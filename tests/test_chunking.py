@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +120,33 @@ def test_semantic_chunks_on_empty_and_single(spark):
 def test_unknown_method_is_an_error(spark):
     with pytest.raises(ValueError):
         semantic_chunks(rows(spark, ["a b c d."]), ChunkingConfig(clustering_method="nope")).collect()
+
+
+def test_folds_of_a_very_long_document_stay_linear(spark):
+    """64,000 pieces in one row; with a copy of all results at each step these take minutes."""
+    n = 64_000
+    piece = F.concat(F.lit("some words here "), F.col("i").cast("string"))
+    one = spark.range(n).select(F.col("id").alias("i")).groupBy().agg(
+        F.sort_array(F.collect_list(F.struct("i", piece.alias("sentence"), F.floor(F.col("i") / 3).alias("label")))).alias("s")
+    ).select(F.transform("s", lambda x: F.struct(x["sentence"].alias("sentence"), x["label"].alias("label"))).alias("s")).cache()
+    one.count()
+    chunks = F.transform("s", lambda x: F.struct(x["sentence"].alias("text"), F.lit(False).alias("part")))
+    for fold, size in (
+        (folds.grouped(F.col("s")), 21_334), (folds.split_oversized(folds.grouped(F.col("s")), 30), 64_000), (folds.merge_small(chunks, 19), 63_901),
+        (folds.pack(F.col("s"), 200), 21_334), (folds.add_overlap(F.transform("s", lambda x: x["sentence"]), 3), 64_000),
+    ):
+        began = time.time()
+        assert one.select(F.size(fold)).first()[0] == size
+        assert time.time() - began < 10
+
+
+def test_folds_at_their_edges(spark):
+    given = [("a", 0), ("b", 0), ("c", 1), ("d", 0), ("", 0), ("e e e e", 0)]
+    df = spark.createDataFrame([(1, given), (2, given[:1]), (3, [])], "i long, s array<struct<sentence:string,label:long>>")
+    chunks = F.transform("s", lambda x: F.struct(x["sentence"].alias("text"), (x["label"] == 1).alias("part")))
+    got = {r["i"]: r for r in df.select("i", folds.grouped(F.col("s")).alias("g"), folds.merge_small(chunks, 3).alias("m"),
+                                       folds.add_overlap(F.transform("s", lambda x: x["sentence"]), 2).alias("o"), folds.pack(F.col("s"), 2).alias("p")).collect()}
+    assert got[1]["g"] == [["a", "b"], ["c"], ["d", "", "e e e e"]] and got[1]["m"] == ["a b", "c d ", "e e e e"]
+    assert got[1]["o"] == ["a", "b", "c", "d", "", "e e e e"] and got[1]["p"] == ["a b", "c", "d ", "e e e e"]
+    assert got[2]["g"] == [["a"]] and got[2]["m"] == got[2]["o"] == got[2]["p"] == ["a"]
+    assert got[3]["g"] == got[3]["m"] == got[3]["o"] == got[3]["p"] == []

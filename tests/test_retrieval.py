@@ -96,11 +96,11 @@ def test_constant_lists_fuse_to_zero(spark):
     assert got == {1: 0.0, 2: pytest.approx(0.3), 3: 0.0}
 
 
-@pytest.mark.parametrize("width", [3, 1000])
-def test_numbering_a_hot_key_in_slices(spark, width):
+@pytest.mark.parametrize("parts", [7, None])
+def test_numbering_a_hot_key_in_slices(spark, parts):
     rows = [("hot", i * 2) for i in range(50)] + [("b", 7), (None, 1), (None, 9)]
     df = spark.createDataFrame(rows, "k string, at long")
-    got = {(r["k"], r["at"]): r["row"] for r in numbering.numbered(df, "at", ["k"], width=width).collect()}
+    got = {(r["k"], r["at"]): r["row"] for r in numbering.numbered(df, "at", ["k"], parts=parts).collect()}
     assert got == {**{("hot", i * 2): i + 1 for i in range(50)}, ("b", 7): 1, (None, 1): 1, (None, 9): 2}
 
 
@@ -168,3 +168,19 @@ def test_requests_with_their_own_settings(spark):
         got.setdefault(r["query_id"], []).append((r["chunk_id"], r["rerank_score"]))
         assert (r["document_name"], r["link"], r["chunk_text"]) == ("n", "http://x", f"t{r['chunk_id']}")
     assert got == {1: [(5, 5.0), (4, 4.0)], 2: [(i, None) for i in range(4)], 4: [(i, float(i)) for i in (5, 4, 3, 2)]}
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_numbering_by_times_and_texts_spreads_over_tasks(spark, keys):
+    """Sparse values in one key: microseconds over years, and hashed texts."""
+    df = spark.range(4000).select(F.when(F.col("id") % 4 > 0, "hot").alias("k"), F.col("id"), F.md5(F.col("id").cast("string")).alias("h"),
+                                  F.timestamp_micros(F.pmod(F.xxhash64("id"), F.lit(10**15))).alias("at"))
+    for order in ("h", "at"):
+        made = numbering.numbered(df, order, keys, parts=8)
+        rows = made.collect()
+        for key in {r["k"] for r in rows} if keys else {0}:
+            own = sorted((r[order], r["row"]) for r in rows if not keys or r["k"] == key)
+            assert [n for _, n in own] == list(range(1, len(own) + 1))
+        # No task sorts more than about its share of the rows.
+        sorted_parts = df.repartitionByRange(8, *keys, order).rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
+        assert max(sorted_parts) < 4000 / 8 * 2
