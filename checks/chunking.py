@@ -421,15 +421,20 @@ def _(spark, d):
 
 @check(
     "c22_budget_windows",
-    f"""with {PIECES}, t as (select *, len({Q.words('piece')}) as n from rows_ where i > 2),
-    b as (select *, coalesce(sum(n) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as before from t)
-    select doc_id, count(*) as taken, string_agg('<|start_chunk_' || i || '|>' || piece || '<|end_chunk_' || i || '|>', '' order by i) as prompt
-    from b where before <= 80 group by doc_id""",
+    f"""with recursive {PIECES}, t as materialized (select doc_id, i, piece, len({Q.words('piece')}) as n, count(*) over (partition by doc_id) as total from rows_),
+    walk as (
+      select doc_id, i, 1 as first, n as used from t where i = 1
+      union all
+      select t.doc_id, t.i, case when used > 80 then t.i else first end, case when used > 80 then n else used + n end
+      from walk w join t on t.doc_id = w.doc_id and t.i = w.i + 1)
+    select doc_id, (first - 1)::bigint as first, count(*) as taken,
+           string_agg('<|start_chunk_' || i || '|>' || piece || '<|end_chunk_' || i || '|>', '' order by i) as prompt
+    from walk join t using (doc_id, i) where first < total group by doc_id, first""",
 )
 def _(spark, d):
-    rows = docs(spark, d).select("doc_id", paragraphs(F.col("text")).alias("pieces")).filter(F.size("pieces") > 2)
-    made = rows.select("doc_id", folds.budget_window(F.col("pieces"), F.lit(2), 80).alias("w"))
-    return made.select("doc_id", F.col("w.taken").cast("long").alias("taken"), F.col("w.text").alias("prompt"))
+    rows = docs(spark, d).select("doc_id", paragraphs(F.col("text")).alias("pieces"))
+    made = rows.select("doc_id", F.explode(folds.budget_windows(F.col("pieces"), 80)).alias("w"))
+    return made.select("doc_id", F.col("w.first").cast("long").alias("first"), F.col("w.taken").cast("long").alias("taken"), F.col("w.text").alias("prompt"))
 
 
 SEMANTIC = f"""{SEQUENTIAL}, {OVERSIZED.replace('1000', '2000')}, {merging('pieces', 50, 'part')},

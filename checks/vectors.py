@@ -166,27 +166,36 @@ def _(spark, d):
     return drift.select(F.lit("truncate").alias("method"), F.round("drift", 6).alias("drift"), "pairs")
 
 
-# One study row per vector: how well a resize to some target kept the similarity to the next vector.
-STUDY = f"""{VECS}, p as (select a.vec_id, a.v as x, b.v as y from vecs a join vecs b on b.vec_id = a.vec_id + 1),
-study as (select 'truncate' as method, t / 64.0::double as ratio, round(1 - avg(abs(list_cosine_similarity(x, y) - list_cosine_similarity(x[1:t], y[1:t]))), 6) as preservation
-          from p join (select unnest([16, 32, 48, 64]) as t) on true group by t)"""
+# One row per method and size: how well resizing kept each vector's similarity to the next.
+STUDY = f"""{VECS}, p as (select a.v as x, b.v as y from vecs a join vecs b on b.vec_id = a.vec_id + 1),
+kept as (
+  select 'truncate' as method, t, abs(list_cosine_similarity(x, y) - list_cosine_similarity(x[1:t], y[1:t])) as change from p join (select unnest([16, 32, 48, 64]) as t) on true
+  union all
+  select 'pad', t, abs(list_cosine_similarity(x, y) - list_cosine_similarity(list_resize(x, t, 0.0), list_resize(y, t, 0.0))) from p join (select unnest([80, 96, 128]) as t) on true
+  union all
+  select 'decay', t, abs(list_cosine_similarity(x, y) - list_cosine_similarity(
+    list_transform(range(t), lambda i: x[i % 64 + 1] * pow(0.5, i // 64)), list_transform(range(t), lambda i: y[i % 64 + 1] * pow(0.5, i // 64))))
+  from p join (select unnest([80, 96, 128]) as t) on true),
+study as (select method, t / 64.0::double as ratio, round(1 - avg(change), 6) as preservation from kept group by method, t)"""
 
 
 def study(spark, d):
     before = vecs(spark, d).select("vec_id", F.col("v").alias("vector"))
     out = None
-    for t in (16, 32, 48, 64):
-        after = before.withColumn("vector", V.resize_truncate(F.col("vector"), t))
-        row = Z.cosine_drift(before, after).select(
-            F.lit("truncate").alias("method"), F.lit(t / 64.0).alias("ratio"), F.round(1 - F.col("drift"), 6).alias("preservation")
-        )
-        out = row if out is None else out.unionByName(row)
+    for name, sizes in {"truncate": (16, 32, 48, 64), "pad": (80, 96, 128), "decay": (80, 96, 128)}.items():
+        for t in sizes:
+            resized = V.resize_truncate(F.col("vector"), t) if name == "truncate" else V.resize(F.col("vector"), t, name)
+            row = Z.cosine_drift(before, before.withColumn("vector", resized)).select(
+                F.lit(name).alias("method"), F.lit(t / 64.0).alias("ratio"), F.round(1 - F.col("drift"), 6).alias("preservation")
+            )
+            out = row if out is None else out.unionByName(row)
     return out
 
 
 @check(
     "e14_best_per_method",
-    f"with {STUDY} select method, arg_max(ratio, preservation) as best_ratio, max(preservation) as best_preservation from study group by method",
+    f"""with {STUDY} select method, arg_max(ratio, {{'p': preservation, 'r': -ratio}}) as best_ratio, max(preservation) as best_preservation
+    from study group by method""",
 )
 def _(spark, d):
     return Z.best_per_method(study(spark, d))
@@ -194,12 +203,17 @@ def _(spark, d):
 
 @check(
     "e15_method_distribution",
-    """with m as (select case when p_size <= 12 then 'linear' when p_size <= 25 then 'dct' else 'weighted' end as method from part)
-    select method, count(*) as selections, round(count(*) / sum(count(*)) over (), 6) as share from m group by method""",
+    """with s as (select (p_partkey % 12 + 1) * 64 / (p_size * 16)::double as q from part),
+    m as (select 0.5 * (case when q <= 2 then 0.9 else 0.3 end) + 0.3 * 0.9 + 0.2 * 0.8 as a,
+      0.5 * (case when q > 2 and q <= 4 then 0.8 else 0.4 end) + 0.3 * 0.6 + 0.2 * 0.9 as b,
+      0.5 * (case when q > 4 then 0.9 else 0.6 end) + 0.3 * 0.7 + 0.2 * 0.95 as c,
+      0.5 * (case when q < 0.5 then 0.9 else 0.2 end) + 0.3 * 0.9 + 0.2 * 0.7 as e from s),
+    d as (select case greatest(a, b, c, e) when a then 'linear' when b then 'dct' when c then 'weighted' else 'pca' end as method from m)
+    select method, count(*) as selections, round(count(*) / sum(count(*)) over (), 6) as share from d group by method""",
 )
 def _(spark, d):
-    picked = F.when(F.col("p_size") <= 12, "linear").when(F.col("p_size") <= 25, "dct").otherwise("weighted")
-    rows = load(spark, d, "part").select(picked.alias("method"))
+    chosen = Z.choose_method(F.col("p_size") * 16, (F.col("p_partkey") % 12 + 1) * 64)
+    rows = load(spark, d, "part").select(chosen.alias("method"))
     return Z.method_distribution(rows).withColumn("share", F.round("share", 6))
 
 

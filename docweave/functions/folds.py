@@ -331,3 +331,37 @@ def budget_window(pieces: Column, first: Column, budget: int = 800, length: Call
 
     start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("used"), F.lit("").alias("text"))
     return F.aggregate(tail, start, step, lambda a: F.struct(a["text"].alias("text"), a["i"].alias("taken")))
+
+
+def budget_windows(pieces: Column, budget: int = 800, length: Callable[[Column], Column] | None = None) -> Column:
+    """array<struct<first, taken, text>>: ``budget_window`` again and again, each from where the one before ended.
+
+    Windows go on until the document ends; a window that would hold only the last piece is not made, so a document of one
+    piece has none.  Callers with a model's split points start each window there instead, with ``budget_window``.
+    """
+    count = length or (lambda c: F.size(words(c)))
+
+    def step(acc, p):
+        n = count(p)
+        full = acc["used"] > budget
+        return F.struct(
+            (acc["i"] + 1).alias("i"),
+            F.when(full, n).otherwise(acc["used"] + n).alias("used"),
+            F.when(full, append(acc["starts"], acc["i"])).otherwise(acc["starts"]).alias("starts"),
+        )
+
+    def tagged(p, number):
+        n = number.cast("string")
+        return F.concat(F.lit("<|start_chunk_"), n, F.lit("|>"), p, F.lit("<|end_chunk_"), n, F.lit("|>"))
+
+    def windows(s):
+        def one(first, j):
+            taken = F.coalesce(F.get(s["starts"], j + 1), F.size(s["pieces"])) - first
+            parts = F.transform(F.slice(s["pieces"], first + 1, taken), lambda p, i: tagged(p, first + i + 1))
+            return F.struct(first.alias("first"), taken.alias("taken"), F.array_join(parts, "").alias("text"))
+
+        return F.transform(F.filter(s["starts"], lambda first: first < F.size(s["pieces"]) - 1), one)
+
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("used"), F.array(F.lit(0)).alias("starts"))
+    starts = F.aggregate(pieces, start, step, lambda acc: acc["starts"])
+    return let(F.struct(pieces.alias("pieces"), starts.alias("starts")), windows)

@@ -178,38 +178,48 @@ def _ngrams(ws: Column, n: int) -> Column:
     return F.when(F.size(ws) >= n, grams).otherwise(F.expr("cast(array() as array<string>)"))
 
 
+def _numbered(grams: Column) -> Column:
+    """Sorted n-grams, each with its number among its equals, so that shared ones can be counted as sets."""
+
+    def numbers(s):
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, F.greatest(i - 1, F.lit(0)))))
+        return let(
+            F.struct(s.alias("s"), starts.alias("at")),
+            lambda r: F.flatten(
+                F.transform(r["at"], lambda at, j: F.sequence(F.lit(1), F.coalesce(F.get(r["at"], j + 1), F.size(r["s"])) - at))
+            ),
+        )
+
+    def of(s):
+        marked = F.zip_with(s, numbers(s), lambda g, i: F.concat(g, F.lit("\0"), i.cast("string")))
+        return F.when(F.size(s) > 0, marked).otherwise(s)
+
+    return let(F.sort_array(grams), of)
+
+
 def bleu(df: DataFrame, weights: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
     """(id, <name> ...): sentence BLEU with a brevity penalty, zero counts smoothed to 0.1.
 
-    ``weights`` names the scores, by default bleu, bleu_1 and bleu_4.  The n-grams of answer and truth are
-    counted in one aggregation, so no join of n-grams is needed.
+    ``weights`` names the scores, by default bleu, bleu_1 and bleu_4.  Both texts are on one row and are compared there: an
+    n-gram counts as often as the answer and the truth both hold it.  A missing text counts as none.
     """
     wanted = weights or {"bleu": (0.25,) * 4, "bleu_1": (1.0, 0.0, 0.0, 0.0), "bleu_4": (0.25,) * 4}
-    rows = df.select(
-        "id", answer_words(F.col("answer")).alias("cand"), answer_words(F.col("truth")).alias("ref")
-    )
-    sized = rows.select("id", F.size("cand").alias("c"), F.size("ref").alias("r"), "cand", "ref")
 
-    def tagged(col, n, side):
-        return let(F.col(col), lambda ws: F.transform(_ngrams(ws, n), lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("gram"))))
+    def ws(col):
+        return F.coalesce(answer_words(F.col(col)), F.expr("cast(array() as array<string>)"))
 
-    both = F.concat(*[tagged(col, n, side) for n in range(1, 5) for col, side in (("cand", 0), ("ref", 1))])
-    grams = sized.select("id", "c", "r", F.explode_outer(both).alias("g")).select("id", "c", "r", "g.*")
-    counted = grams.groupBy("id", "c", "r", "n", "gram").agg(
-        F.count_if(F.col("side") == 0).alias("in_c"), F.count_if(F.col("side") == 1).alias("in_r")
-    )
+    def matched(n):
+        def shared(s):
+            return F.size(F.array_intersect(_numbered(_ngrams(s["cand"], n)), _numbered(_ngrams(s["ref"], n))))
 
-    def of(n, value):
-        return F.coalesce(F.sum(F.when(F.col("n") == n, value)), F.lit(0))
+        return let(F.struct("cand", "ref"), shared).alias(f"m{n}")
 
-    per_id = counted.groupBy("id", "c", "r").agg(
-        *[of(n, F.least("in_c", "in_r")).alias(f"m{n}") for n in range(1, 5)],
-        *[of(n, F.col("in_c")).alias(f"t{n}") for n in range(1, 5)],
-    )
+    sized = df.select("id", ws("answer").alias("cand"), ws("truth").alias("ref"))
+    counted = sized.select("id", F.size("cand").alias("c"), F.size("ref").alias("r"), *[matched(n) for n in range(1, 5)])
 
     def precision(n):
-        matched, total = F.col(f"m{n}"), F.greatest(F.col(f"t{n}"), F.lit(1))
-        return F.when(matched == 0, F.lit(0.1)).otherwise(matched) / total
+        own, total = F.col(f"m{n}"), F.greatest(F.col("c") - (n - 1), F.lit(1))
+        return F.when(own == 0, F.lit(0.1)).otherwise(own) / total
 
     brevity = F.when(F.col("c") > F.col("r"), 1.0).when(F.col("c") == 0, 0.0).otherwise(F.exp(1.0 - F.col("r") / F.col("c")))
 
@@ -217,7 +227,7 @@ def bleu(df: DataFrame, weights: dict[str, tuple[float, ...]] | None = None) ->
         logs = reduce(lambda a, b: a + b, [F.lit(float(w)) * F.log(precision(n)) for n, w in enumerate(ws, 1)])
         return F.when(F.col("m1") == 0, 0.0).otherwise(brevity * F.exp(logs))
 
-    return per_id.select("id", *[score(ws).alias(name) for name, ws in wanted.items()])
+    return counted.select("id", *[score(ws).alias(name) for name, ws in wanted.items()])
 
 
 def bleu_n(df: DataFrame) -> DataFrame:

@@ -105,3 +105,11 @@ def test_overall_divides_by_thirteen(spark):
 def test_numeric_columns(spark):
     df = spark.createDataFrame([(1, "q", 0.5, 3, True)], "question_id int, question string, mrr double, bleu int, flag boolean")
     assert V.numeric_columns(df) == ["mrr", "bleu"]
+
+
+def test_bleu_counts_repeated_words_in_the_row(spark):
+    rows = [(1, "the the the the", "the cat the mat"), (2, "a b a b a b", "a b a b"), (3, None, "x"), (4, "x", None), (5, "", ""), (5, "x y", "x y")]
+    df = V.bleu(spark.createDataFrame(rows, "id long, answer string, truth string"), {"one": (1.0, 0.0, 0.0, 0.0), "two": (0.0, 1.0, 0.0, 0.0)})
+    got = sorted((r["id"], round(r["one"], 6), round(r["two"], 6)) for r in df.collect())
+    assert got == [(1, 0.5, round(0.1 / 3, 6)), (2, round(4 / 6, 6), 0.6), (3, 0.0, 0.0), (4, 0.0, 0.0), (5, 0.0, 0.0), (5, 1.0, 1.0)]
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
