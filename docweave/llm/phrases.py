@@ -24,8 +24,9 @@ WORD_END = re.compile(rb"[\t-\r .,;:!?]")
 # Bytes of text that are cut to words at a time, and words whose windows are hashed at a time.
 TEXT_SLICE = 1 << 23
 WINDOW_SLICE = 1 << 20
-# Windows that a task holds before it sums them.
-HELD_WINDOWS = 3 << 20
+# Distinct words, and windows, that a task holds before it passes their counts on.
+HELD_WORDS = 400_000
+HELD_WINDOWS = 2 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 # A sieve holds 32 bits for each frequent phrase, 16 MB at the most; a larger set only makes it pass more windows.
@@ -90,26 +91,36 @@ def _texts_to_ids(seed: int):
                 size += len(text)
             yield lang, held
 
+    def count_rows(counts: dict[str, dict[bytes, tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+        for lang, words in counts.items():
+            if words:
+                own, n = zip(*words.values(), strict=True)
+                texts = pa.array([w.decode() for w in words], pa.string())
+                yield _batch(id=_signed(own), lang=pa.array([lang] * len(words), pa.string()), word=texts, n=pa.array(n, pa.int64()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, dict[bytes, tuple[int, int]]] = {}
         for batch in batches:
             for lang, held in groups(batch):
                 if len(held) == 1:
                     made = [to_ids([part], lang.encode(), seed) for part in cut_long(held[0])]
                     # The end of a part that is not the last is no end of a piece.
-                    whole = np.concatenate([*(ids[:-1] for ids, _, _ in made), np.zeros(1, np.uint64)])
-                    rows, counted = [whole], [words for _, _, words in made]
+                    rows = [np.concatenate([*(ids[:-1] for ids, _, _ in made), np.zeros(1, np.uint64)])]
+                    found = [words for _, _, words in made]
                 else:
                     ids, ends, words = to_ids(held, lang.encode(), seed)
-                    rows, counted = np.split(ids, ends[:-1]), [words]
+                    rows, found = np.split(ids, ends[:-1]), [words]
                 kept = [x.tobytes() for x in rows if x.any()]
                 if kept:
                     yield _batch(ids=pa.array(kept, pa.binary()))
-                for words in counted:
-                    if words:
-                        own = _signed([i for i, _ in words.values()])
-                        texts = pa.array([w.decode() for w in words], pa.string())
-                        seen = pa.array([n for _, n in words.values()], pa.int64())
-                        yield _batch(id=own, lang=pa.array([lang] * len(words), pa.string()), word=texts, n=seen)
+                own = counts.setdefault(lang, {})
+                for words in found:
+                    for w, (i, n) in words.items():
+                        own[w] = (i, n + own[w][1]) if w in own else (i, n)
+                if sum(map(len, counts.values())) > HELD_WORDS:
+                    yield from count_rows(counts)
+                    counts = {}
+        yield from count_rows(counts)
 
     return run
 
@@ -143,22 +154,36 @@ class Windows:
         return self.breaks[k : k + n] == self.breaks[:n]
 
 
-def slices(ids: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-    """(ids, own): stretches with the words that the windows of their last starts need; the first `own` starts are theirs."""
+def slices(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(start, ids, own): stretches with the words that windows of their last starts need; the first `own` starts are theirs."""
     for start in range(0, len(ids), WINDOW_SLICE):
-        yield ids[start : start + WINDOW_SLICE + LONGEST - 1], min(WINDOW_SLICE, len(ids) - start)
+        yield start, ids[start : start + WINDOW_SLICE + LONGEST - 1], min(WINDOW_SLICE, len(ids) - start)
+
 
+def verified_groups(prints: np.ndarray, ids: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first occurrence, count) of each distinct window of k ids among those that start at `at`.
 
-def verified_groups(prints: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the first, count) of each distinct row of ids.  Rows are grouped by fingerprint and each is compared with
-    the first of its group; those that differ under one fingerprint are told apart by the ids themselves."""
-    _, first, group, n = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
-    other = np.flatnonzero((rows != rows[first[group]]).any(axis=1))
-    if not len(other):
+    Occurrences are sorted by fingerprint and every one is compared with its neighbour, word by word; groups in which
+    windows differ under one fingerprint are told apart by the ids themselves.
+    """
+    order = np.argsort(prints, kind="stable")
+    prints, at = prints[order], at[order]
+    new = np.ones(len(at), bool)
+    new[1:] = prints[1:] != prints[:-1]
+    differs = np.zeros(len(at), bool)
+    for j in range(k):
+        word = ids[at + j]
+        differs[1:] |= word[1:] != word[:-1]
+    starts = np.flatnonzero(new)
+    first, n = at[starts], np.diff(np.append(starts, len(at)))
+    if not (differs & ~new).any():
         return first, n
-    n = n - np.bincount(group[other], minlength=len(n))
-    _, again, m = np.unique(rows[other], axis=0, return_index=True, return_counts=True)
-    return np.concatenate([first, other[again]]), np.concatenate([n, m])
+    group = np.cumsum(new) - 1
+    bad = np.unique(group[differs & ~new])
+    mixed = at[np.isin(group, bad)]
+    rows = np.lib.stride_tricks.sliding_window_view(ids, k)[mixed]
+    _, again, m = np.unique(rows, axis=0, return_index=True, return_counts=True)
+    return np.concatenate([np.delete(first, bad), mixed[again]]), np.concatenate([np.delete(n, bad), m])
 
 
 class Sieve:
@@ -209,35 +234,34 @@ def _columns(k: int) -> list[str]:
     return [f"w{i}" for i in range(k)]
 
 
-def _summed(prints: list[np.ndarray], rows: list[np.ndarray]) -> pa.RecordBatch:
-    """The distinct rows of ids with their counts, by first word, as neighbours with equal columns take less room."""
-    held = np.concatenate(rows)
-    first, n = verified_groups(np.concatenate(prints), held)
-    order = np.argsort(held[first, 0], kind="stable")
-    distinct = held[first[order]]
-    words = [_signed(distinct[:, i]) for i in range(held.shape[1])]
-    return pa.RecordBatch.from_arrays([*words, pa.array(n[order].astype(np.int64))], [*_columns(held.shape[1]), "n"])
+def _summed(prints: list[np.ndarray], ids: np.ndarray, at: list[np.ndarray], k: int) -> pa.RecordBatch:
+    """The distinct windows with their counts, by first word, as neighbours with equal columns take less room."""
+    first, n = verified_groups(np.concatenate(prints), ids, np.concatenate(at), k)
+    order = np.argsort(ids[first], kind="stable")
+    words = [_signed(ids[first[order] + j]) for j in range(k)]
+    return pa.RecordBatch.from_arrays([*words, pa.array(n[order].astype(np.int64))], [*_columns(k), "n"])
 
 
 def _count_windows(k: int, sieve):
     """Arrow batches of ids to (w0 .. , n): the k-word windows of which both shorter ones pass the sieve, summed in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints, rows, size = [], [], 0
         for batch in batches:
-            for ids, own in slices(flat_ids(batch.column("ids"))):
+            flat = flat_ids(batch.column("ids"))
+            prints, places, size = [], [], 0
+            for start, ids, own in slices(flat):
                 windows = Windows(ids)
                 shorter = windows.whole(k - 1)
                 shorter[shorter] = sieve.value.passes(windows.prints(k - 1)[shorter])
                 at = np.flatnonzero(windows.whole(k)[:own] & (shorter[:-1] & shorter[1:])[:own])
                 prints.append(windows.prints(k)[at])
-                rows.append(np.lib.stride_tricks.sliding_window_view(ids, k)[at] if len(at) else np.zeros((0, k), np.uint64))
+                places.append(at + start)
                 size += len(at)
                 if size >= HELD_WINDOWS:
-                    yield _summed(prints, rows)
-                    prints, rows, size = [], [], 0
-        if size:
-            yield _summed(prints, rows)
+                    yield _summed(prints, flat, places, k)
+                    prints, places, size = [], [], 0
+            if size:
+                yield _summed(prints, flat, places, k)
 
     return run
 

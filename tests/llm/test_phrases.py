@@ -74,14 +74,13 @@ def test_parts_in_one_process(setting):
             flat.append(ids[:-1])
         flat.append(np.zeros(1, np.uint64))
     got = Counter()
-    for ids, own in P.slices(np.concatenate(flat)):
+    for _, ids, own in P.slices(np.concatenate(flat)):
         windows = P.Windows(ids)
         for k in (2, 3, 5):
             at = np.flatnonzero(windows.whole(k)[:own])
             if len(at):
-                held = np.lib.stride_tricks.sliding_window_view(ids, k)[at]
-                first, n = P.verified_groups(windows.prints(k)[at], held)
-                for row, m in zip(held[first].tolist(), n.tolist(), strict=True):
+                first, n = P.verified_groups(windows.prints(k)[at], ids, at, k)
+                for row, m in zip([ids[i : i + k].tolist() for i in first], n.tolist(), strict=True):
                     got[b" ".join(names[i] for i in row).decode()] += m
     want = Counter()
     for text, _ in rows:
