@@ -22,11 +22,11 @@ PIECE, DOCUMENT = b"\xff", b"\xfe"
 MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", PIECE * 10 + b" ")
 WORD_END = re.compile(rb"[\t-\r .,;:!?]")
 # Bytes of text that are cut to words at a time, and words whose windows are hashed at a time.
-TEXT_SLICE = 1 << 23
+TEXT_SLICE = 1 << 22
 WINDOW_SLICE = 1 << 20
 # Distinct words, and windows, that a task holds before it passes their counts on.
-HELD_WORDS = 400_000
-HELD_WINDOWS = 2 << 20
+HELD_WORDS = 250_000
+HELD_WINDOWS = 3 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 # A sieve holds 32 bits for each frequent phrase, 16 MB at the most; a larger set only makes it pass more windows.
