@@ -40,6 +40,15 @@ def _(spark, d):
     return spark.read.parquet(target).withColumn("keywords", F.array_join("keywords", "|"))
 
 
+@check("w1_ingest_text_ids", f"select * replace (md5(doc_id::varchar) as doc_id) from ({ORACLES['w1_ingest_stream']})")
+def _(spark, d):
+    source, target = scratch_path(spark, "arriving"), scratch_path(spark, "ingested")
+    load(spark, d, "documents").select(F.md5(F.col("doc_id").cast("string")).alias("doc_id"), "text").write.parquet(source)
+    tasks = spark.sparkContext.defaultParallelism
+    W.ingest_stream(spark, source, target, scratch_path(spark, "offsets"), tasks=tasks, schema="doc_id string, text string").awaitTermination()
+    return spark.read.parquet(target).withColumn("keywords", F.array_join("keywords", "|"))
+
+
 def event_stream(spark, d):
     rows = spark.readStream.schema(load(spark, d, "events").schema).parquet(stored(d, "events"))
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
