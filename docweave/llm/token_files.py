@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import zlib
 
@@ -20,6 +21,9 @@ MAGIC = b"DWT1"
 SHARD_IDS = 1 << 20
 # Every so many set bits, the place of one is kept for select.
 SAMPLE = 256
+# Longer words are encoded whenever they come up and not kept.
+KEPT_LETTERS = 64
+MARKS = ".,;:!?"
 
 
 class EliasFano:
@@ -44,27 +48,23 @@ class EliasFano:
         return cls(n, low_bits, low, np.packbits(bits, bitorder="little"), places[::SAMPLE].astype(np.uint32))
 
     def select(self, i: int) -> int:
-        """Place of the i-th set bit: from the sample before it on, byte by byte."""
-        at = int(self.samples[i // SAMPLE])
-        left = i % SAMPLE
+        """Place of the i-th set bit; only the bytes from the sample before it to the next sample are looked at."""
+        block = i // SAMPLE
+        at = int(self.samples[block])
+        last = int(self.samples[block + 1]) if block + 1 < len(self.samples) else 8 * len(self.high) - 1
         byte = at >> 3
-        ones = np.bitwise_count(self.high[byte:]) if left > 64 else np.bitwise_count(self.high[byte : byte + 4096])
-        skipped = int(self.high[byte] & ((1 << (at & 7)) - 1)).bit_count()
-        sums = np.cumsum(ones)
-        want = left + skipped
+        sums = np.cumsum(np.bitwise_count(self.high[byte : (last >> 3) + 1]), dtype=np.int64)
+        want = i % SAMPLE + (int(self.high[byte]) & ((1 << (at & 7)) - 1)).bit_count()
         k = int(np.searchsorted(sums, want, side="right"))
-        if k == len(sums):
-            ones = np.bitwise_count(self.high[byte:])
-            sums = np.cumsum(ones)
-            k = int(np.searchsorted(sums, want, side="right"))
-        rest = want - (int(sums[k - 1]) if k else 0)
-        return (byte + k) * 8 + int(np.flatnonzero(np.unpackbits(self.high[byte + k : byte + k + 1], bitorder="little"))[rest])
+        bits, rest = int(self.high[byte + k]), want - (int(sums[k - 1]) if k else 0)
+        for _ in range(rest):
+            bits &= bits - 1
+        return (byte + k) * 8 + (bits & -bits).bit_length() - 1
 
     def get(self, i: int) -> int:
-        low = 0
-        for b in range(self.low_bits):
-            at = i * self.low_bits + b
-            low |= (int(self.low[at >> 3]) >> (at & 7) & 1) << b
+        at = i * self.low_bits
+        held = int.from_bytes(self.low[at >> 3 : (at + self.low_bits + 7) >> 3].tobytes(), "little")
+        low = (held >> (at & 7)) & ((1 << self.low_bits) - 1)
         return ((self.select(i) - i) << self.low_bits) | low
 
     def all(self) -> np.ndarray:
@@ -129,10 +129,24 @@ class Shard:
         return self.ids[self.ends.get(i - 1) if i else 0 : self.ends.get(i)]
 
 
+def separator_of(content: str) -> str | None:
+    """An added token that can stand between words without changing their ids, if the tokenizer file has one.
+
+    Added tokens are found in the text as it is, before anything else.  Words that lack the first character of all added
+    tokens can't hold one, nor form one with a token beside them where that character only stands at their starts.
+    """
+    added = json.loads(content)["added_tokens"]
+    names = [t["content"] for t in added]
+    plain = not any(t[flag] for t in added for flag in ("normalized", "lstrip", "rstrip", "single_word"))
+    return names[0] if names and plain and all(n.rfind(names[0][0]) == 0 for n in names) else None
+
+
 def word_encoder(content: str):
     """Ids of whole texts as little-endian 32-bit integers by the tokenizers library, which is asked once for each word.
 
-    Its pattern never matches across white space, so words can be encoded one by one; a worker keeps the latest.
+    Its pattern never matches across white space, nor across a letter or digit and a mark of punctuation behind it, so
+    words can be encoded one by one and without their last marks; a worker keeps the latest.  New words go to the library
+    as one text in which an added token parts them.
     """
     from tokenizers import Tokenizer
 
@@ -140,15 +154,49 @@ def word_encoder(content: str):
     tokenizer.no_truncation()
     tokenizer.no_padding()
     known: dict[str, bytes] = worker_memory("tokenizers-" + hashlib.sha256(content.encode()).hexdigest())
+    separator = separator_of(content)
+    separator_id = tokenizer.token_to_id(separator) if separator else None
+    folds = "Lowercase" in [n["type"] for n in (json.loads(content)["normalizer"] or {}).get("normalizers", [])]
+
+    def library(texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(x.ids, "<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def parts(word: str) -> tuple[str, ...]:
+        """What an ASCII word is looked up by: its letters in lower case if the file folds them, and the marks behind it."""
+        if not word.isascii():
+            return (word,)
+        stem = word.rstrip(MARKS)
+        if stem == word or not stem or not stem[-1].isalnum():
+            return (word.lower() if folds else word,)
+        return (stem.lower() if folds else stem), word[len(stem) :]
+
+    def spelled(new: set[str]) -> dict[str, bytes]:
+        alone = [w for w in new if not separator or separator[0] in w]
+        out = {w: ids.tobytes() for w, ids in zip(alone, library(alone), strict=True)}
+        cut = {w: parts(w) for w in new if w not in out}
+        joined = list({p for ps in cut.values() for p in ps if p not in known})
+        if joined:
+            ids = library([separator.join(joined)])[0]
+            ends = [*(np.flatnonzero(ids == separator_id) * 4).tolist(), len(ids) * 4]
+            raw, at = ids.tobytes(), 0
+            for piece, end in zip(joined, ends, strict=True):
+                out[piece], at = raw[at:end], end + 4
+        for w, ps in cut.items():
+            out[w] = b"".join([out[p] if p in out else known[p] for p in ps])
+        return out
 
     def encode(texts: list[str]) -> list[bytes]:
         if len(known) >= KNOWN_WORDS:
             known.clear()
         split = [words_of(t) for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        for word, found in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = np.asarray(found.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        found = [list(map(known.get, words)) for words in split]
+        open_ = [i for i, ids in enumerate(found) if None in ids]
+        if open_:
+            new = spelled({w for i in open_ for w, ids in zip(split[i], found[i], strict=True) if ids is None})
+            for i in open_:
+                found[i] = [new[w] if ids is None else ids for w, ids in zip(split[i], found[i], strict=True)]
+            known.update((w, ids) for w, ids in new.items() if len(w) <= KEPT_LETTERS)
+        return [b"".join(ids) for ids in found]
 
     return encode
 
@@ -160,7 +208,8 @@ def write_token_shards(
 
     The table at ``path`` has a row for each shard: (part, n, ids_before in the part, n_docs, n_ids, shard).  Parts are
     ranges of the document ids, so all shards by (part, n) follow each other.  Null texts are empty, null ids come first,
-    equal ids are ordered by text.  Spark's writer commits the files, so a lost executor leaves none half-written.
+    equal ids are ordered by text, repeated rows are written each, other columns are not read, an empty table gives no
+    shard; a document of more than SHARD_IDS ids has a shard of its own.  Spark's writer commits the files, so a lost executor leaves none half-written.
     """
     spark = documents.sparkSession
     content = spark.sparkContext.broadcast(read_tokenizer(tokenizer))
@@ -203,7 +252,10 @@ def write_token_shards(
 
 
 def read_token_shards(spark, path: str) -> DataFrame:
-    """A row for each document of the shards: (doc_id, start, n_tokens, ids_crc32), start counting all ids before it."""
+    """A row for each document of the shards: (doc_id, start, n_tokens, ids_crc32), start counting all ids before it.
+
+    Bounds of documents come from select.  Shards of no documents give no rows.
+    """
     shards = spark.read.parquet(path)
     # One row for each part: as many as the writing job had tasks.
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
@@ -214,7 +266,7 @@ def read_token_shards(spark, path: str) -> DataFrame:
         for batch in batches:
             for base, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard = Shard(data.as_py())
-                ends = shard.ends.all()
+                ends = np.array([shard.ends.get(i) for i in range(shard.ends.n)], np.int64)
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 checks = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)]
                 columns = [
