@@ -42,11 +42,19 @@ def _(spark, d):
     return readers.table_to_text(load(spark, d, "customer"), cols).select("c_custkey", "line")
 
 
-@check("s4_read_json_records", "select item_id, text from benchmark")
+@check(
+    "s4_read_json_records",
+    """select 'array' as kind, item_id, text from benchmark union all select 'lines' as kind, item_id, text from benchmark
+       union all select 'array' as kind, doc_id as item_id, text from documents""",
+)
 def _(spark, d):
-    path = scratch_path(spark, "records")
-    writers.write_results(load(spark, d, "benchmark"), path)
-    return readers.read_json_records(spark, path, "item_id long, text string", lines=True)
+    records = load(spark, d, "benchmark").select("item_id", "text")
+    lines, arrays = scratch_path(spark, "records"), scratch_path(spark, "arrays")
+    writers.write_results(records, lines)
+    writers.write_json_arrays(records.union(load(spark, d, "documents").select("doc_id", "text")), arrays)
+    schema = "item_id long, text string"
+    read = readers.read_json_records(spark, arrays, schema).withColumn("kind", F.lit("array"))
+    return read.unionByName(readers.read_json_records(spark, lines, schema, lines=True).withColumn("kind", F.lit("lines")))
 
 
 @check(

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from docweave.sources.json_arrays import json_objects
+
 
 def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
@@ -49,8 +51,15 @@ def read_json_records(
 ) -> DataFrame:
     """Records of JSON array files, or of files with one record per ``lines``; '@' and '-' leave the names.
 
-    An array file is one unit of work, so large sets should be stored one record per line.
+    Array files are read by byte ranges, so one large file is the work of many tasks (see ``json_objects``).  A record
+    that is no valid JSON has nulls.  Without a schema all records are read once more to find it.
     """
-    reader = spark.read.option("multiLine", not lines)
-    df = (reader.schema(schema) if schema is not None else reader).json(path)
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    if lines:
+        df = reader.json(path)
+    else:
+        records = json_objects(spark, path).select("record")
+        if schema is None:
+            schema = reader.json(records.rdd.map(lambda r: r.record)).schema
+        df = records.select(F.from_json("record", schema).alias("r")).select("r.*")
     return df.toDF(*[c.replace("@", "_at_").replace("-", "_") for c in df.columns])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,21 @@ def write_results(df: DataFrame, path: str, fmt: str = "json") -> None:
         raise ValueError(f"unknown result format {fmt!r}; known: csv, json")
 
 
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """Results as files that hold one JSON array each, NULL fields kept; a task streams its rows into one file."""
+
+    def run(batches):
+        first = True
+        for batch in batches:
+            lines = [f"{'[' if first and not i else ','}{r}" for i, r in enumerate(batch.column(0).to_pylist())]
+            first = first and not lines
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], ["value"])
+
+    records = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    records.mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
 def pack_metadata(df: DataFrame, cols: list[str] | None = None, with_id: bool = False) -> DataFrame:
     """The chosen columns of each row as one JSON text, NULL fields kept."""
     packed = F.to_json(F.struct(*(cols or df.columns)), {"ignoreNullFields": "false"})
