@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -23,20 +24,31 @@ SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 # Elements and names that tell a page's frame or its readers' words from its article.
 FRAME_TAGS = frozenset("nav header footer aside form fieldset button menu dialog label".split())
 FRAME_NAMES = re.compile(
-    r"(^|[-_ ])(ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|foot\w*|side(bar)?\w*|widget\w*"
-    r"|cookies?\w*|consent|notice\w*|alert|popup|modal|subscribe\w*|newsletter|signup|login|search\w*|share\w*|social\w*|related\w*"
-    r"|recommend\w*|comments?\w*|respon[ds]\w*|replies|disqus|copyright|legal|toolbar|pagination|pager|tags?)([-_ ]|$)"
+    r"ads?|advert(s|isements?|ising|orial)?|banners?|sponsor(s|ed|ship)?|promos?|promotions?|nav|navbar|navigation|menu(s|bar)?|breadcrumbs?"
+    r"|header|masthead|footer|side(bar)?|widgets?|cookies?|consent|notices?|alerts?|popups?|modal|subscribe|subscription|newsletters?"
+    r"|signup|login|search|share|sharing|social|related|recommend(ed|ations?)?|comments?|respond|responses?|replies|disqus|copyright"
+    r"|legal|toolbar|pagination|pager|tags?"
+)
+# Words that may stand beside those in a name of the frame; with any other word a name is no name of the frame.
+NEUTRAL_NAMES = re.compile(
+    r"\d*|area|bar|block|box|btn|buttons?|container|content|cta|fixed|form|group|holder|icons?|inner|items?|left|links?|list|main|media|mobile"
+    r"|outer|page|panel|primary|right|row|secondary|section|site|slot|small|sticky|sub|text|thread|top|bottom|unit|wrap(per)?|global|local"
 )
 BODY_NAMES = re.compile(r"(^|[-_ ])(article\w*|content|entry\w*|post\w*|story\w*|main\w*|body\w*)([-_ ]|$)")
 WHOLE = frozenset(("html", "body", "main", "article"))
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
+# Controls that are part of the sentence where they stand inside one of these, and a block elsewhere.
+CONTROLS = frozenset(("button", "label"))
+SENTENCES = frozenset("p li dd dt td th h1 h2 h3 h4 h5 h6 blockquote figcaption caption".split())
+
+# Quotes hold a value behind an equals sign only.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<empty>svg|math)(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
+    r"|<(?P<empty>svg|math)(?=[\s/])(?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+(?<=/)>"
     r"|<(?P<hidden>" + "|".join(HIDDEN) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=hidden)\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)(?:>|\Z)",
     re.S | re.I,
 )
 # One attribute with its value; names are only looked for after the attribute before has ended.
@@ -45,6 +57,13 @@ ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\
 FEATURES = ("in_frame", "in_article", "in_body", "heading", "words", "links", "words_before", "links_before", "words_after", "links_after")
 
 
+def names_frame(name: str) -> bool:
+    """Whether every word of a class or id is one of the frame's or says nothing, and at least one is the frame's."""
+    words = re.split("[-_ ]+", name)
+    frame = [bool(FRAME_NAMES.fullmatch(w)) for w in words]
+    return any(frame) and all(f or NEUTRAL_NAMES.fullmatch(w) for f, w in zip(frame, words, strict=True))
+
+
 def _marks(tag: str, rest: str) -> tuple[bool, bool, bool, bool]:
     """(frame, article, body, hidden) of an element by its name, class, id and role."""
     frame, article, body, hidden = tag in FRAME_TAGS, tag in ("article", "main"), False, False
@@ -54,7 +73,7 @@ def _marks(tag: str, rest: str) -> tuple[bool, bool, bool, bool]:
             if name in ("class", "id"):
                 names = value.split() if name == "class" else [value]
                 # Names of a whole page tell what it holds somewhere, not what it is.
-                frame = frame or tag not in WHOLE and any(FRAME_NAMES.search(x) for x in names)
+                frame = frame or tag not in WHOLE and any(map(names_frame, names))
                 body = body or any(BODY_NAMES.search(x) for x in names)
             elif name == "role":
                 frame = frame or value in FRAME_ROLES
@@ -68,11 +87,14 @@ def blocks_of(page: str) -> list[dict]:
     """The flat text blocks of a page in order, with what their place tells: text, words in it and in its links.
 
     Tags that don't end a block part nothing, but for <br>, which is white space.  Comments, scripts and other content
-    without text go.  Unclosed and stray tags are borne: an end tag closes what is open inside its element.
+    without text go.  Unclosed and stray tags are borne: an end tag closes what is open inside its element.  Buttons and
+    labels inside a sentence belong to it.
     """
     blocks: list[dict] = []
     parts: list[tuple[str, bool]] = []
     stack: list[tuple[str, tuple]] = []
+    opened: Counter[str] = Counter()
+    sentences = 0
     marks = (False, False, False, False)
     heading, links, at = False, 0, 0
 
@@ -102,21 +124,28 @@ def blocks_of(page: str) -> list[dict]:
         if tag == "br":
             add(" ")
             continue
+        if tag in CONTROLS and sentences:
+            continue
         if tag in BLOCKS:
             flush()
         if m["close"]:
-            if any(t == tag for t, _ in stack):
-                while stack:
-                    t, before = stack.pop()
-                    marks = before
+            if opened[tag]:
+                while True:
+                    t, marks = stack.pop()
+                    opened[t] -= 1
                     links -= t == "a"
+                    sentences -= t in SENTENCES
                     if t == tag:
                         break
         elif tag not in VOID and not m["rest"].endswith("/"):
             if tag in SELF_CLOSING and stack and stack[-1][0] == tag:
                 marks = stack.pop()[1]
+                opened[tag] -= 1
+                sentences -= tag in SENTENCES
             own = _marks(tag, m["rest"])
             stack.append((tag, marks))
+            opened[tag] += 1
+            sentences += tag in SENTENCES
             # An article inside the frame belongs to it, and so does a frame inside an article.
             marks = tuple(a or b for a, b in zip(marks, own, strict=True))
             links += tag == "a"
@@ -141,7 +170,7 @@ def features(blocks: list[dict]) -> np.ndarray:
 class DecisionTree:
     """A binary tree that splits rows at a threshold of one feature, grown by Gini impurity."""
 
-    def __init__(self, depth: int = 6, least: int = 2):
+    def __init__(self, depth: int = 8, least: int = 1):
         self.depth, self.least, self.nodes = depth, least, []
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> DecisionTree:
@@ -202,6 +231,11 @@ LABELLED = (
     f"<nav>{_N}</nav><main><p>+{_L}</p><p>+{_S}</p></main>",
     f"<p>+{_L}</p>",
     f"<div><h1>+{_S}</h1><p>+{_L}</p><p>+{_L}</p></div>",
+    f"<p><a href='/'>-Start</a> | <a href='/n'>News</a></p><h2>+{_S}</h2><p>+{_L}</p><p>+{_L}</p><p><a href='/i'>-Imprint</a></p>",
+    f"<article><p>+{_S} <a href='/x'>A title of another page</a></p><p>+{_L}</p></article>",
+    f"<main><p>+<a href='/x'>The long title of another page of this site</a></p><p>+{_L}</p><p>+{_S}</p></main>",
+    f"<main><p>+{_L}</p><p>+Or <a href='/x'>A title of another page</a></p><p>+{_S}</p><p>+<a href='/x'>Another title</a></p><p>+{_L}</p></main>",
+    f"<article><h1>+<a href='/x'>{_S}</a></h1><p>+<a href='/x'>{_L}</a> {_L}</p><p>+{_L} {_L}</p><p>+{_S} <a href='/y'>{_S}</a></p></article>",
     "<nav>-Home</nav><article><p>+<a href='/x'>Read</a></p><p>+<a href='/x'>Two words</a></p><p>+<a href='/x'>Of.</a></p></article>",
     "<main><ul><li>+<a href='/x'>One</a></li><li>+<a href='/x'>Two</a></li><li>+<a href='/y'>Three more words</a></li></ul></main>",
     "<div><a href='/x'>-Home</a></div><p><a href='/x'>-Three more words</a></p><p><a href='/x'>-A list of all pages</a></p><p>-Of.</p>",
@@ -233,7 +267,11 @@ def main_text(page: str, tree: DecisionTree) -> str:
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page; a null page is empty, and so is the text of a page without blocks."""
+    """(page_id, url, text, n_chars) of every page; a null page is empty, and so is the text of a page without blocks.
+
+    Pages are read whole, however long.  Repeated rows give repeated rows, an empty table gives none, a null id or url stays
+    null, and other columns are not read.
+    """
     tree = train_tree()
 
     def run(batches):
