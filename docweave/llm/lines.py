@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docweave.llm.common import let, release_shuffles
 from docweave.session import checkpointed
 
 PERCENT = 80
-# Lines of fewer distinct words are left alone unless the caller asks for shorter ones as well.
 TOKEN_BITS = 57
 TOKEN = (1 << TOKEN_BITS) - 1
 # Tokens are counted in so many slots by hash; a slot's count is never less than its tokens' own.
 SLOT_BITS = 20
 MAP_LONGS = 3
 JOIN_BLOCKS = 4
+# A line's candidates are compared in rounds up to these ranks, then all others.
+ROUNDS = (1, 16)
 # Constants that turn the order of token hashes about; a line's least tokens in these orders are its meeting points.
 TURNS = (0x0123456789ABCDEF & TOKEN, 0x0F1E2D3C4B5A6978 & TOKEN, 0x1A2B3C4D5E6F7081 & TOKEN)
 
@@ -72,7 +74,7 @@ def line_cards(documents: DataFrame, classes: DataFrame, percent: int) -> DataFr
     def bitmap(i):
         own = F.filter("ranked", lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(1023)) % MAP_LONGS == i)
         bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-        return F.aggregate(own, F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(bit(h)))
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
 
     def meeting(turn):
         return F.array_min(F.transform("ranked", lambda h: h.bitwiseAND(F.lit(TOKEN)).bitwiseXOR(F.lit(turn))))
@@ -94,13 +96,17 @@ def line_cards(documents: DataFrame, classes: DataFrame, percent: int) -> DataFr
     )
 
 
+def _differing(a: str, b: str) -> Column:
+    """Bits that differ between the lines' bitmaps, each the parity of its tokens: one line has a token there alone."""
+    return sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(MAP_LONGS)), F.lit(0))
+
+
 def _enough(a: str, b: str, percent: int) -> Column:
-    """Length filter, and the bitmaps' bound on the overlap: bits that differ stand for tokens that only one line has."""
+    """Length filter, and the bitmaps' bound on the overlap."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(MAP_LONGS)), F.lit(0))
     lengths = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
-    # overlap >= percent / (100 + percent) * (na + nb), and overlap <= (na + nb - differ) / 2
-    return lengths & ((na + nb - differ) * (100 + percent) >= (na + nb) * (2 * percent))
+    # overlap >= percent / (100 + percent) * (na + nb), and overlap <= (na + nb - differing) / 2
+    return lengths & ((na + nb - _differing(a, b)) * (100 + percent) >= (na + nb) * (2 * percent))
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -124,6 +130,25 @@ def _similar(documents: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return checkpointed(both.where(common * 100 >= union * percent).select("doc_id", "line_no").distinct())
 
 
+def _best_first(documents: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The later lines of the pairs that are similar enough.
+
+    Each line is compared with its most alike candidates (least `unlike`) first, then with the next ones.  Only lines that
+    these don't decide are compared with all their others, so most of a family's pairs are never compared.
+    """
+    order = W.partitionBy("doc_id", "line_no").orderBy("unlike", "other_id", "other_no")
+    ranked = checkpointed(pairs.withColumn("rank", F.row_number().over(order)).drop("unlike"))
+    found = None
+    for least, most in zip((0, *ROUNDS), (*ROUNDS, None), strict=True):
+        asked = ranked.where(F.col("rank") > least)
+        asked = asked if most is None else asked.where(F.col("rank") <= most)
+        asked = asked if found is None else asked.join(found, ["doc_id", "line_no"], "left_anti")
+        now = _similar(documents, checkpointed(asked.drop("rank")), percent)
+        found = now if found is None else found.union(now)
+        release_shuffles(documents.sparkSession)
+    return found
+
+
 PAIR = ("a.doc_id", "a.line_no", "b.doc_id as other_id", "b.line_no as other_no")
 BITS = [f"b{i}" for i in range(MAP_LONGS)]
 
@@ -162,7 +187,8 @@ def _overlaps(lines: DataFrame, near: DataFrame, percent: int, block: int) -> Da
     # same columns and share one exchange.
     open_ = F.col("a.found") <= F.least(F.col("b.found"), F.lit(0))
     match = (F.col("a.token") == F.col("b.token")) & open_ & _earlier("a", "b") & position & _enough("a", "b", percent)
-    return a.join(b, match).selectExpr(*PAIR).distinct()
+    unlike = (_differing("a", "b") * 1000 / (F.col("a.n") + F.col("b.n"))).cast("int").alias("unlike")
+    return a.join(b, match).select(*[F.expr(c) for c in PAIR], unlike).distinct()
 
 
 def repeated_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -170,9 +196,9 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Only blank lines are never listed.  Earlier is by doc_id, then line number from 0.  Lines of one word set are joined
     first by digests.  The others' tokens are ordered by rarity; lines meet on tokens of their prefixes under the length,
-    position and bitmap filters, and what remains is compared whole.  Before that join each line is
-    compared with the first line of its meeting points, and lines found there only serve as earlier ones: so families of
-    thousands of variants don't meet in all pairs.
+    position and bitmap filters, and what remains is compared whole, the most alike pair of each line first.  Before that
+    join each line is compared with the first line of its meeting points, and lines found there only serve as earlier ones:
+    so families of thousands of variants don't meet in all pairs.
     """
     spark = documents.sparkSession
     usable = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
@@ -198,7 +224,7 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     # The cards of the distinct lines have served as well.
     del sets, lines, found
     release_shuffles(spark)
-    far = _similar(usable, pairs, percent)
+    far = _best_first(usable, pairs, percent)
     return copies.union(near).union(far)
 
 
