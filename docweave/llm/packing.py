@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import bisect
 import math
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -12,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GROUP_ROWS = 2048
-BITS = 256
 PLACES = "doc_id long, piece int, n_tokens int, source string, cluster string, bin string, bin_offset int, bin_tokens int"
 
 
-def bit_of(value) -> int:
-    """The bit of a value in a bitmap.  Two values may share one: they then count as in conflict, never the other way."""
-    return 0 if value is None else 1 << zlib.crc32(str(value).encode()) % BITS
+def bits_of(values) -> list[int]:
+    """A bitmap for each value with one bit, numbered in order of first appearance; a null has none."""
+    numbers = {}
+    return [0 if v is None else 1 << numbers.setdefault(v, len(numbers)) for v in values]
 
 
 def best_fit(lengths, sources, clusters, capacity: int) -> list[tuple[int, int]]:
@@ -29,8 +28,7 @@ def best_fit(lengths, sources, clusters, capacity: int) -> list[tuple[int, int]]
     """
     left: list[tuple[int, int]] = []  # (tokens left, bin), ascending
     seen_sources, seen_clusters, used, out = [], [], [], []
-    for length, source, cluster in zip(lengths, sources, clusters, strict=True):
-        s, c = bit_of(source), bit_of(cluster)
+    for length, s, c in zip(lengths, bits_of(sources), bits_of(clusters), strict=True):
         at = bisect.bisect_left(left, (length, -1))
         while at < len(left) and (seen_sources[left[at][1]] & s or seen_clusters[left[at][1]] & c):
             at += 1
@@ -50,7 +48,7 @@ def best_fit(lengths, sources, clusters, capacity: int) -> list[tuple[int, int]]
     return out
 
 
-def pack_documents(documents: DataFrame, capacity: int = 2048, group_rows: int = GROUP_ROWS) -> DataFrame:
+def pack_documents(documents: DataFrame, capacity: int = 2048, group_rows: int = GROUP_ROWS, cluster: str | None = None) -> DataFrame:
     """Where each document goes: (doc_id, piece, n_tokens, source, cluster, bin, bin_offset, bin_tokens).
 
     Tokens are words between white space.  A document longer than ``capacity`` is cut into pieces of that many tokens and
@@ -61,7 +59,8 @@ def pack_documents(documents: DataFrame, capacity: int = 2048, group_rows: int =
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.when(F.trim(F.regexp_replace(text, r"\s+", " ")) == "", 0).otherwise(F.size(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")))
-    sized = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.md5(text).alias("cluster"), words.alias("words"))
+    own = F.md5(text) if cluster is None else F.coalesce(F.concat(F.lit("c"), F.col(f"`{cluster}`").cast("string")), F.md5(text))
+    sized = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), own.alias("cluster"), words.alias("words"))
     groups = max(1, math.ceil(documents.count() / group_rows))
     dealt = sized.withColumn("deal", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(groups)))
     return dealt.groupBy("deal").applyInPandas(_packer(capacity), PLACES)
