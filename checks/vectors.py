@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import registrar
 from docweave.functions import vectors as V
+from docweave.operators import drift as D
 from docweave.operators import store as L
 from docweave.operators import resizing as Z
 from docweave.sources import tables
@@ -166,6 +167,22 @@ def _(spark, d):
     return drift.select(F.lit("truncate").alias("method"), F.round("drift", 6).alias("drift"), "pairs")
 
 
+@check(
+    "e13_sampled_drift",
+    f"""with {VECS}, n as (select vec_id, v, row_number() over (order by md5('11:' || vec_id), vec_id) - 1 as i, count(*) over () as n from vecs),
+    p as (select a.vec_id, abs(list_cosine_similarity(a.v, b.v) - list_cosine_similarity(a.v[1:32], b.v[1:32])) as change
+      from n a join (select unnest(range(1, 5)) as o) on true join n b on b.i = (a.i + o) % a.n where o < a.n),
+    m as (select vec_id, avg(change) as own from p group by vec_id)
+    select (select round(avg(change), 6) from p) as drift, (select round(2 * stddev_samp(own) / sqrt(count(*)), 6) from m) as error,
+      (select count(*) from p) as pairs""",
+)
+def _(spark, d):
+    before = vecs(spark, d).select("vec_id", F.col("v").alias("vector"))
+    after = before.withColumn("vector", V.resize_truncate(F.col("vector"), 32))
+    drift = D.sampled_drift(before, after, partners=4, seed=11)
+    return drift.select(F.round("drift", 6).alias("drift"), F.round("error", 6).alias("error"), "pairs")
+
+
 # One row per method and size: how well resizing kept each vector's similarity to the next.
 STUDY = f"""{VECS}, p as (select a.v as x, b.v as y from vecs a join vecs b on b.vec_id = a.vec_id + 1),
 kept as (
