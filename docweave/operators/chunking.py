@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import folds
 from docweave.functions.text import words
-from docweave.operators.similarity import adjacent_similarity
+from docweave.operators.similarity import adjacent_similarity, running_groups
 
 
 def _chunk_rows(df: DataFrame, chunks: Column) -> DataFrame:
@@ -48,6 +48,8 @@ def token_count(col: Column, length: Callable[[Column], Column] | None = None) -
 
 def group_sequential(sentences: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(doc_id, pos, sentence, label): a new label wherever a sentence is less similar than ``threshold``."""
+    if "vector" not in sentences.columns:
+        return running_groups(sentences, threshold)
     sims = adjacent_similarity(sentences)
     running = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     breaks = F.when(F.col("sim") < threshold, 1).otherwise(0)

@@ -5,12 +5,22 @@ Tables hold (doc_id, pos, sentence) and maybe vector, and labels are integers, -
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docweave.operators.components import components as linked_components
-from docweave.operators.similarity import close_forest, distinct_rows, distinct_sentences, nearest_member, neighbours
+from docweave.operators.documents import Batch, Document, by_size, counted, map_documents
+from docweave.operators.similarity import (
+    are_close,
+    close_forest,
+    distinct_rows,
+    distinct_sentences,
+    nearest_member,
+    neighbours,
+)
+from docweave.operators.tiles import lowest_linked
 from docweave.session import checkpointed
 
 
@@ -44,13 +54,35 @@ def _numbered_by_root(roots: DataFrame) -> DataFrame:
     return roots.withColumn("label", F.dense_rank().over(W.partitionBy("doc_id").orderBy("root")) - 1)
 
 
+def _clustered(sentences: DataFrame, label_document, label_larger) -> DataFrame:
+    """The sentences with a label: documents that fit one tile where they lie, by ``label_document`` of their distinct
+    sentences, larger ones by ``label_larger``, which works on tables."""
+    small, large = by_size(checkpointed(counted(sentences)))  # read for both kinds of documents
+
+    def label(doc: Document, batch: Batch):
+        return np.arange(doc.start, doc.stop), {"label": label_document(doc.side, doc.sims)[doc.place]}
+
+    found = map_documents(small, label, sentences.columns, "label long")
+    larger = checkpointed(large.where("doc_id is not null").select(*sentences.columns))
+    if larger.isEmpty():
+        return found
+    return found.unionByName(label_larger(larger).withColumn("label", F.col("label").cast("long")))
+
+
 def cluster_threshold(sentences: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Clusters = connected components of the sentences at least ``threshold`` similar."""
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
-    rows = checkpointed(distinct_rows(sentences))
-    roots = components(rows.select("doc_id", "pos").distinct(), close_forest(rows, threshold))
-    return _label_copies(sentences, _numbered_by_root(roots).select("doc_id", "pos", "label"))
+
+    def label_document(side, sims):
+        return np.unique(lowest_linked(are_close(side, side, sims, threshold)), return_inverse=True)[1]
+
+    def label_larger(larger):
+        rows = checkpointed(distinct_rows(larger))
+        roots = components(rows.select("doc_id", "pos"), close_forest(rows, threshold))
+        return _label_copies(larger, _numbered_by_root(roots).select("doc_id", "pos", "label"))
+
+    return _clustered(sentences, label_document, label_larger)
 
 
 def cluster_density(
@@ -66,20 +98,34 @@ def cluster_density(
     close = 1 - epsilon * epsilon / 2
     if close <= 0:
         raise ValueError("the threshold must leave a positive similarity")
-    rows = checkpointed(distinct_rows(sentences))
-    firsts = rows.select("doc_id", "pos", "copies").distinct()
-    near = neighbours(rows, close)
-    dense = checkpointed(
-        firsts.join(near, ["doc_id", "pos"], "left")
-        .filter(F.coalesce("near", F.lit(0)) + F.col("copies") - 1 >= samples)
-        .select("doc_id", "pos", "copies")
-    )
-    links = close_forest(rows.join(dense.select("doc_id", "pos"), ["doc_id", "pos"], "left_semi"), close)
-    roots = components(dense, links).join(dense, ["doc_id", "pos"])
-    sized = roots.withColumn("size", F.sum("copies").over(W.partitionBy("doc_id", "root")))
-    labels = _numbered_by_root(sized.filter(F.col("size") >= min_cluster_size)).select("doc_id", "pos", "label")
-    everyone = firsts.select("doc_id", "pos").join(labels, ["doc_id", "pos"], "left")
-    return _label_copies(sentences, everyone.withColumn("label", F.coalesce("label", F.lit(-1))))
+
+    def label_document(side, sims):
+        linked = are_close(side, side, sims, close)
+        dense = linked @ side.copies + side.copies - 1 >= samples
+        lowest = lowest_linked(linked & dense[:, None] & dense[None, :])
+        size = np.bincount(lowest[dense], side.copies[dense], len(lowest))
+        kept = dense & (size[lowest] >= min_cluster_size)
+        labels = np.full(len(lowest), -1)
+        labels[kept] = np.unique(lowest[kept], return_inverse=True)[1]
+        return labels
+
+    def label_larger(larger):
+        rows = checkpointed(distinct_rows(larger))
+        firsts = rows.select("doc_id", "pos", "copies")
+        near = neighbours(rows, close)
+        dense = checkpointed(
+            firsts.join(near, ["doc_id", "pos"], "left")
+            .filter(F.coalesce("near", F.lit(0)) + F.col("copies") - 1 >= samples)
+            .select("doc_id", "pos", "copies")
+        )
+        links = close_forest(rows.join(dense.select("doc_id", "pos"), ["doc_id", "pos"], "left_semi"), close)
+        roots = components(dense, links).join(dense, ["doc_id", "pos"])
+        sized = roots.withColumn("size", F.sum("copies").over(W.partitionBy("doc_id", "root")))
+        labels = _numbered_by_root(sized.filter(F.col("size") >= min_cluster_size)).select("doc_id", "pos", "label")
+        everyone = firsts.select("doc_id", "pos").join(labels, ["doc_id", "pos"], "left")
+        return _label_copies(larger, everyone.withColumn("label", F.coalesce("label", F.lit(-1))))
+
+    return _clustered(sentences, label_document, label_larger)
 
 
 CLUSTERING = {"threshold": cluster_threshold, "density": cluster_density}
@@ -87,12 +133,26 @@ CLUSTERING = {"threshold": cluster_threshold, "density": cluster_density}
 
 def outliers_nearest(labelled: DataFrame) -> DataFrame:
     """Outliers take the label of their most similar labelled sentence; without any, all become cluster 0."""
-    near = nearest_member(labelled)
-    target = labelled.select("doc_id", F.col("pos").alias("near_pos"), F.col("label").alias("near_label"))
-    found = near.join(target, ["doc_id", "near_pos"]).select("doc_id", "pos", "near_label")
-    joined = labelled.join(found, ["doc_id", "pos"], "left")
-    label = F.when(F.col("label") == -1, F.coalesce("near_label", F.lit(0))).otherwise(F.col("label"))
-    return joined.withColumn("label", label).drop("near_label")
+    small, large = by_size(counted(labelled))
+    is_outlier = F.coalesce(F.col("label") == -1, F.lit(False))
+
+    def nearest(doc: Document, batch: Batch):
+        outlier = batch.rows["_outlier"].slice(doc.start, doc.stop - doc.start).to_numpy(zero_copy_only=False)
+        found, members = np.zeros(len(outlier), np.int64), np.flatnonzero(~outlier)
+        if len(members):
+            own = batch.rows["_label"].slice(doc.start, doc.stop - doc.start).to_numpy()
+            found[outlier] = own[members[np.round(doc.sims[np.ix_(outlier, members)], 9).argmax(axis=1)]]
+        return np.arange(doc.start, doc.stop), {"near_label": found}
+
+    extra = {"_outlier": is_outlier, "_label": F.coalesce(F.col("label").cast("long"), F.lit(0))}
+    in_place = map_documents(small, nearest, labelled.columns, "near_label long", distinct=False, extra=extra)
+    larger = large.select(*labelled.columns)
+    target = larger.select("doc_id", F.col("pos").alias("near_pos"), F.col("label").cast("long").alias("near_label"))
+    found = nearest_member(larger).join(target, ["doc_id", "near_pos"]).select("doc_id", "pos", "near_label")
+    joined = larger.join(found, ["doc_id", "pos"], "left")
+    kind = labelled.schema["label"].dataType
+    label = F.when(F.col("label") == -1, F.coalesce("near_label", F.lit(0)).cast(kind)).otherwise(F.col("label"))
+    return in_place.unionByName(joined).withColumn("label", label).select(*labelled.columns)
 
 
 def outliers_separate(labelled: DataFrame) -> DataFrame:

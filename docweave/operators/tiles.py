@@ -1,7 +1,7 @@
 """Square tiles of a document's similarity matrix, worked through one after another inside tasks.
 
-Rows are token weights (doc_id, pos, tok, w), not yet scaled, or dense vectors (doc_id, pos, vector), one a sentence.  They
-are sent to the tiles their sentence belongs to and sorted by tile; a task then reads its tiles as a stream and holds one at
+Rows are sentences with the weights of their words (doc_id, pos, tok, w: two arrays, the weights scaled to length 1) or with
+dense vectors (doc_id, pos, vector).  They are sent to the tiles their sentence belongs to and sorted by tile; a task then reads its tiles as a stream and holds one at
 a time, so many small documents cost no per-group overhead and a large one spreads over as many tasks as it has tiles.
 doc_id is of any type that can be ordered.
 """
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 # Sentences per side of a tile.
 TILE = 512
+# Words that are multiplied at once, so that a tile of many different words is no large matrix.
+WORDS = 4096
 KEYS = ["doc_id", "ti", "tj"]
 SPARSE, DENSE = ["tok", "w"], ["vector"]
 
@@ -47,12 +49,20 @@ def two_sided_places(pos: Column, n: Column, role: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda o: _place(role, block, o))
 
 
+class Words(NamedTuple):
+    """Weights of numbered words, scaled to length 1 a sentence; ``row`` numbers the sentences."""
+
+    row: np.ndarray
+    word: np.ndarray
+    w: np.ndarray
+
+
 class Side(NamedTuple):
-    """Sentences on one side of a tile: positions, numbers of copies and dense vectors of length 1."""
+    """Sentences on one side of a tile: positions, numbers of copies and vectors of length 1 (dense, or words)."""
 
     pos: np.ndarray
     copies: np.ndarray
-    vectors: np.ndarray
+    vectors: np.ndarray | Words
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -62,36 +72,56 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, length, out=vectors, where=length > 0)
 
 
-def _side(part: dict[str, np.ndarray], chosen: np.ndarray, tok: np.ndarray, n_tok: int) -> Side:
-    """``tok`` is already numbered from 0, with -1 for no token."""
-    pos, first, row = np.unique(part["pos"][chosen], return_index=True, return_inverse=True)
-    vectors = np.zeros((len(pos), max(n_tok, 1)))
-    has = tok[chosen] >= 0
-    vectors[row[has], tok[chosen][has]] = part["w"][chosen][has]
-    return Side(pos, part["copies"][chosen][first], _unit(vectors))
-
-
-def _dense_side(part: dict[str, np.ndarray], chosen: np.ndarray, width: int) -> Side:
+def dense_vectors(held: np.ndarray, width: int = 0) -> np.ndarray:
     """A missing vector counts as zero, a shorter one as filled up with zeros."""
-    order = np.flatnonzero(chosen)[np.argsort(part["pos"][chosen], kind="stable")]
-    vectors = np.zeros((len(order), max(width, 1)))
-    for at, v in zip(range(len(order)), part["vector"][order]):
+    width = max(width, 1, max((len(v) for v in held if v is not None), default=0))
+    vectors = np.zeros((len(held), width))
+    for at, v in enumerate(held):
         if v is not None:
             vectors[at, : len(v)] = v
-    return Side(part["pos"][order], part["copies"][order], _unit(vectors))
+    return _unit(vectors)
+
+
+def similarities(row: Side, col: Side) -> np.ndarray:
+    """The similarity of each sentence of one side to each of the other."""
+    if not isinstance(row.vectors, Words):
+        return row.vectors @ col.vectors.T
+    sims = np.zeros((len(row.pos), len(col.pos)))
+    top = min(side.vectors.word.max(initial=-1) for side in (row, col))
+    for start in range(0, int(top) + 1, WORDS):
+        stop = min(start + WORDS, int(top) + 1)
+        left = _block(row, start, stop)
+        sims += left @ (left if row is col else _block(col, start, stop)).T
+    return sims
+
+
+def _block(side: Side, start: int, stop: int) -> np.ndarray:
+    """The weights of the words start:stop as a matrix."""
+    row, word, w = side.vectors
+    inside = (word >= start) & (word < stop)
+    out = np.zeros((len(side.pos), stop - start))
+    out[row[inside], word[inside] - start] = w[inside]
+    return out
 
 
 def _two_sides(part: dict[str, np.ndarray], diagonal: bool) -> tuple[Side, Side]:
     """Both sides of a tile; on the diagonal they are the same."""
     left = part["role"] == 0
+    order = [np.flatnonzero(side)[np.argsort(part["pos"][side], kind="stable")] for side in ((left,) if diagonal else (left, ~left))]
     if "vector" in part:
         width = max((len(v) for v in part["vector"] if v is not None), default=0)
-        row = _dense_side(part, left, width)
-        return row, row if diagonal else _dense_side(part, ~left, width)
-    names, tok = np.unique(part["tok"], return_inverse=True)
-    tok = tok - int(len(names) > 0 and names[0] < 0)
-    row = _side(part, left, tok, len(names))
-    return row, row if diagonal else _side(part, ~left, tok, len(names))
+        made = [dense_vectors(part["vector"][at], width) for at in order]
+    else:
+        held = [(part["tok"][at], part["w"][at]) for at in order]
+        _, word = np.unique(np.concatenate([t for tok, _ in held for t in tok] or [[]]), return_inverse=True)
+        made, used = [], 0
+        for tok, w in held:
+            sizes = np.fromiter(map(len, tok), int, len(tok))
+            own = word[used : used + sizes.sum()]
+            made.append(Words(np.repeat(np.arange(len(tok)), sizes), own, np.concatenate([*w, []])))
+            used += sizes.sum()
+    sides = [Side(part["pos"][at], part["copies"][at], vectors) for at, vectors in zip(order, made)]
+    return sides[0], sides[-1]
 
 
 def spanning_pairs(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,6 +144,20 @@ def spanning_pairs(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
+def lowest_linked(close: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric table of links the lowest row that it is connected with, itself included."""
+    lowest, waiting = np.arange(len(close)), close.any(axis=1)
+    for start in np.flatnonzero(waiting):
+        if waiting[start]:
+            waiting[start] = False
+            reached = np.array([start])
+            while len(reached):
+                reached = np.flatnonzero(close[reached].any(axis=0) & waiting)
+                waiting[reached] = False
+                lowest[reached] = start
+    return lowest
+
+
 def _tiles(batches: Iterator[pd.DataFrame], held: list[str]) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
     """Cut a sorted stream of batches where the tile changes."""
     rest = None
@@ -135,13 +179,12 @@ def _tiles(batches: Iterator[pd.DataFrame], held: list[str]) -> Iterator[tuple[t
 def map_tiles(rows: DataFrame, places: Column, symmetric: bool, reduce_tile: Callable, schema: str) -> DataFrame:
     """Run ``reduce_tile(row, col, sims) -> dict of columns`` on every tile that has both sides; doc_id comes before them.
 
-    ``rows`` holds (doc_id, pos, tok, w) or (doc_id, pos, vector), whatever ``places`` needs, and maybe the number of copies.
+    ``rows`` holds (doc_id, pos, copies, tok, w) or (doc_id, pos, copies, vector) and whatever ``places`` needs.
     """
-    copies = F.col("copies") if "copies" in rows.columns else F.lit(1).cast("long").alias("copies")
     values = DENSE if "vector" in rows.columns else SPARSE
     held = ["role", "pos", *values, "copies"]
     numbered = rows.withColumn("pos", F.col("pos").cast("long"))
-    sent = numbered.select("doc_id", "pos", *values, copies, F.explode(places).alias("at")).select(
+    sent = numbered.select("doc_id", "pos", *values, "copies", F.explode(places).alias("at")).select(
         "doc_id", F.col("at.ti").alias("ti"), F.col("at.tj").alias("tj"), F.col("at.role").alias("role"), "pos", *values, "copies"
     )
 
@@ -150,7 +193,7 @@ def map_tiles(rows: DataFrame, places: Column, symmetric: bool, reduce_tile: Cal
         for key, part in _tiles(batches, held):
             row, col = _two_sides(part, symmetric and key[1] == key[2])
             if len(row.pos) and len(col.pos):
-                made = pd.DataFrame(reduce_tile(row, col, row.vectors @ col.vectors.T))
+                made = pd.DataFrame(reduce_tile(row, col, similarities(row, col)))
                 made.insert(0, "doc_id", pd.Series([key[0]] * len(made), dtype=object))
                 out.append(made)
                 size += len(made)

@@ -14,7 +14,6 @@ from docweave.functions.keywords import keywords
 from docweave.functions.text import prepared_sentences
 from docweave.operators import chunking, clusters
 from docweave.operators.similarity import adjacent_similarity
-from docweave.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -90,7 +89,7 @@ def clustered_chunks(df: DataFrame, cfg: ChunkingConfig, embed: Embed = _as_is)
     rows = df.select(
         "doc_id", F.posexplode(prepared_sentences(F.col("text"), cfg.min_sentence_length)).alias("pos", "sentence")
     )
-    rows = checkpointed(embed(rows))  # read by every step of the clustering below
+    rows = embed(rows)
     method = clusters.by_name(clusters.CLUSTERING, cfg.clustering_method)
     if cfg.clustering_method == "density":
         labelled = method(rows, cfg.threshold, cfg.min_cluster_size)
