@@ -16,6 +16,8 @@ from docweave.functions.text import prepared_sentences, words
 DOCUMENT_SCHEMA = "doc_id long, text string"
 # One arriving batch holds at most this many files, so a backlog is worked off in steps.
 FILES_PER_BATCH = 1000
+# Groups that the keys of a de-duplicating stream are dealt to; each is a call and a state of its own.
+DEDUPE_GROUPS = 2048
 
 
 def window_chunks(docs: DataFrame, size: int = 64, overlap: int = 16) -> DataFrame:
@@ -55,39 +57,44 @@ def ingest_stream(
     )
 
 
-def dedupe_stream(log: DataFrame, ttl_seconds: int, key: str = "key", ts: str = "ts") -> DataFrame:
+def dedupe_stream(log: DataFrame, ttl_seconds: int, key: str = "key", ts: str = "ts", groups: int = DEDUPE_GROUPS) -> DataFrame:
     """(key, ts) of the rows that find no live entry: the first of a key, and each that is more than ``ttl_seconds``
     later than the last one kept.
 
     Rows of a batch are taken in order of time, so the result does not depend on how rows in order fall into batches.
-    The state of a key is the time of its last kept row; it goes once the watermark has passed that row's time to live.
+    Keys are dealt to ``groups`` by hash, so that a call works through many of them.  The state of a group is the time of each
+    key's last kept row; a time goes with the first call after the watermark has passed its time to live, and the state once
+    all have.
     """
     live = ttl_seconds * 1_000_000
 
     def walk(name, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames))
-        last, kept = state.get[0] if state.exists else None, []
-        for at in np.sort(rows["ts"].to_numpy("datetime64[us]")):
-            micros = int(at.astype(np.int64))
-            if last is None or micros - last > live:
-                kept.append(at)
-                last = micros
-        state.update((last,))
-        ends = (last + live) // 1000
-        if ends > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(ends)
+        last, kept = dict(zip(*state.get)) if state.exists else {}, []
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames))
+            keys, times = rows["key"].to_numpy(object), rows["ts"].to_numpy("datetime64[us]").astype(np.int64)
+            order = np.argsort(times, kind="stable")
+            for own, at in zip(keys[order], times[order].tolist()):
+                before = last.get(own)
+                if before is None or at - before > live:
+                    kept.append((own, at))
+                    last[own] = at
+        passed = state.getCurrentWatermarkMs()
+        last = {own: at for own, at in last.items() if (at + live) // 1000 >= passed}
+        if last:
+            state.update((list(last), list(last.values())))
+            state.setTimeoutTimestamp((max(last.values()) + live) // 1000 + 1)
         else:
             state.remove()
         if kept:
-            yield pd.DataFrame({"key": name[0], "ts": np.array(kept)})
+            keys, times = zip(*kept)
+            yield pd.DataFrame({"key": keys, "ts": np.array(times).astype("datetime64[us]")})
 
     rows = log.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts")).where("ts is not null")
-    groups = rows.withWatermark("ts", f"{ttl_seconds} seconds").groupBy("key")
+    dealt = rows.withColumn("dealt", F.pmod(F.xxhash64("key"), F.lit(groups)))
+    each = dealt.withWatermark("ts", f"{ttl_seconds} seconds").groupBy("dealt")
     timeout = GroupStateTimeout.EventTimeTimeout
-    return groups.applyInPandasWithState(walk, "key string, ts timestamp", "last long", "append", timeout)
+    return each.applyInPandasWithState(walk, "key string, ts timestamp", "keys array<string>, times array<long>", "append", timeout)
 
 
 def conversation_stream(messages: DataFrame, late: str = "1 hour") -> DataFrame:

@@ -74,6 +74,20 @@ def test_keys_come_back_within_one_batch(spark, tmp_path):
     assert got == ["10:00", "10:31", "12:00"]
 
 
+def test_keys_of_one_group_keep_their_own_times(spark, tmp_path):
+    """All keys in one group, over several batches, a missing key among them."""
+    source, target, offsets = (str(tmp_path / n) for n in ("in", "out", "off"))
+    schema = "key string, ts timestamp"
+    batches = [(("a", "10:00"), ("b", "10:20"), (None, "10:20")), (("a", "10:25"), ("b", "10:51"), ("c", "10:52"), (None, "10:40")), (("c", "11:30"), ("a", "11:31"))]
+    for rows in batches:
+        made = spark.createDataFrame([(k, f"2024-01-01 {h}:00") for k, h in rows], "key string, ts string")
+        made.select("key", F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(source)
+        once = ingest.dedupe_stream(spark.readStream.schema(schema).parquet(source), 1800, groups=1)
+        once.writeStream.format("parquet").option("path", target).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
+    got = {(r["key"], r["t"]) for r in spark.read.parquet(target).select("key", F.date_format("ts", "HH:mm").alias("t")).collect()}
+    assert got == {("a", "10:00"), ("b", "10:20"), (None, "10:20"), ("b", "10:51"), ("c", "10:52"), ("c", "11:30"), ("a", "11:31")}
+
+
 def test_running_counts_keep_the_newest_batch(spark, tmp_path):
     source, target, offsets = (str(tmp_path / n) for n in ("in", "out", "off"))
     schema = "conv_id long, ts timestamp, role string"
