@@ -20,6 +20,8 @@ from docweave.session import BROADCAST_ROWS, broadcast_if_small, checkpointed
 # Rows per side of one scoring tile.
 CHUNK_TILE = 16_384
 QUERY_TILE = 1_024
+# Words of the chunks of one BM25 tile; its postings are fewer.
+WORD_TILE = 2_000_000
 
 # Greetings that need no reranking, and fragments that mark a short query as one.
 GREETINGS = [
@@ -291,7 +293,9 @@ def _score_postings(k: int):
         nothing = _hits(None, np.zeros(0), similarity=np.zeros(0))
         if asked.empty or held.empty:
             return nothing
-        ids, chunk = np.unique(held["chunk_id"].to_numpy(), return_inverse=True)
+        chunk, found = pd.factorize(held["chunk_id"])
+        rank = _places(found.to_numpy())
+        ids, chunk = found.to_numpy()[np.argsort(rank)], rank[chunk]
         term, words = pd.factorize(held["term"])
         order = np.lexsort((chunk, term))
         chunk, part = chunk[order], held["part"].to_numpy()[order]
@@ -332,7 +336,8 @@ def bm25(
     """(query_id, chunk_id, similarity, rank): BM25 over the live chunks of the query's base.
 
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)).  Postings are cut to the terms that are asked for before anything is counted,
-    and counts are partly summed before each exchange.  Chunks of a base are dealt to tiles; a task scores one tile of
+    and counts are partly summed before each exchange.  Chunks of a base are dealt to tiles of at most
+    about ``CHUNK_TILE`` chunks and ``WORD_TILE`` words, so a tile's postings don't grow with the input; a task scores one tile of
     queries against one tile of postings and gives back ``k`` rows per query, so queries never meet chunks as rows.
     """
 
@@ -341,9 +346,8 @@ def bm25(
 
     held = live_chunks(chunks, documents).select("kb_id", "chunk_id", terms(F.col("chunk_text")).alias("terms"))
     lengths = held.select("kb_id", "chunk_id", F.size("terms").alias("dl"), "terms")
-    bases = lengths.groupBy("kb_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"), F.ceil(F.count(F.lit(1)) / CHUNK_TILE).cast("int").alias("c_tiles")
-    )
+    c_tiles = F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK_TILE, F.sum("dl") / WORD_TILE)).cast("int")
+    bases = lengths.groupBy("kb_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"), c_tiles.alias("c_tiles"))
     bases = broadcast_if_small(bases.join(_tile_counts(queries, QUERY_TILE, "q_tiles"), "kb_id"))
     asked = queries.select("query_id", "kb_id", F.explode(F.array_distinct(terms(F.col("query_text")))).alias("term"))
     tf = (

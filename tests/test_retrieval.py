@@ -128,6 +128,28 @@ def test_bm25_over_many_tiles(spark, monkeypatch):
     assert sorted(tuple(r) for r in R.bm25(queries, chunks, docs, 5).collect()) == whole and len(whole) == 10 and whole[0][:2] == ("q1", "c03")
 
 
+def test_bm25_tiles_are_cut_by_words(spark, monkeypatch):
+    """Long chunks make more tiles, so that no task is given all postings of a base."""
+    chunks = spark.createDataFrame([(i, 1, f"alpha beta w{i % 9} " * 5, False) for i in range(60)], "chunk_id long, document_id long, chunk_text string, is_deleted boolean")
+    docs = spark.createDataFrame([(1, "kb", True, "n")], "document_id long, kb_id string, status boolean, name string")
+    queries = spark.createDataFrame([(1, "kb", "alpha w3"), (2, "kb", "beta w5")], "query_id long, kb_id string, query_text string")
+    whole = sorted(tuple(r) for r in R.bm25(queries, chunks, docs, 5).collect())
+    plain = R._score_postings
+
+    def bounded(k):
+        score = plain(k)
+
+        def run(key, asked, held):
+            assert held["chunk_id"].nunique() < 40
+            return score(key, asked, held)
+
+        return run
+
+    monkeypatch.setattr(R, "_score_postings", bounded)
+    monkeypatch.setattr(R, "WORD_TILE", 200)
+    assert sorted(tuple(r) for r in R.bm25(queries, chunks, docs, 5).collect()) == whole and len(whole) == 10
+
+
 def test_bm25_has_no_aggregate_of_queries_and_chunks(spark, small):
     plan = QUERIES["r10_bm25"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.split("\n") if "Aggregate" in line and "query_id" in line and "chunk_id" in line]
