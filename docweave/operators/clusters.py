@@ -57,7 +57,7 @@ def _numbered_by_root(roots: DataFrame) -> DataFrame:
 def _clustered(sentences: DataFrame, label_document, label_larger) -> DataFrame:
     """The sentences with a label: documents that fit one tile where they lie, by ``label_document`` of their distinct
     sentences, larger ones by ``label_larger``, which works on tables."""
-    small, large = by_size(checkpointed(counted(sentences)))  # read for both kinds of documents
+    small, large = by_size(counted(sentences))
 
     def label(doc: Document, batch: Batch):
         return np.arange(doc.start, doc.stop), {"label": label_document(doc.side, doc.sims)[doc.place]}
@@ -146,12 +146,14 @@ def outliers_nearest(labelled: DataFrame) -> DataFrame:
 
     extra = {"_outlier": is_outlier, "_label": F.coalesce(F.col("label").cast("long"), F.lit(0))}
     in_place = map_documents(small, nearest, labelled.columns, "near_label long", distinct=False, extra=extra)
+    kind = labelled.schema["label"].dataType
+    label = F.when(F.col("label") == -1, F.coalesce("near_label", F.lit(0)).cast(kind)).otherwise(F.col("label"))
     larger = large.select(*labelled.columns)
+    if larger.isEmpty():
+        return in_place.withColumn("label", label).select(*labelled.columns)
     target = larger.select("doc_id", F.col("pos").alias("near_pos"), F.col("label").cast("long").alias("near_label"))
     found = nearest_member(larger).join(target, ["doc_id", "near_pos"]).select("doc_id", "pos", "near_label")
     joined = larger.join(found, ["doc_id", "pos"], "left")
-    kind = labelled.schema["label"].dataType
-    label = F.when(F.col("label") == -1, F.coalesce("near_label", F.lit(0)).cast(kind)).otherwise(F.col("label"))
     return in_place.unionByName(joined).withColumn("label", label).select(*labelled.columns)
 
 

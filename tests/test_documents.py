@@ -6,7 +6,7 @@ import pytest
 from docweave.operators import clusters as G
 from docweave.operators import similarity as M
 from docweave.operators import tiles
-from tests.test_oracles import plan_of
+from tests.test_oracles import QUERIES, plan_of
 from tests.test_similarity import TEXTS, labels, matrix
 
 
@@ -79,3 +79,8 @@ def test_many_words_are_multiplied_in_blocks(monkeypatch):
         monkeypatch.setattr(tiles, "WORDS", width)
         assert np.allclose(tiles.similarities(*sides), dense[0] @ dense[1].T)
         assert np.allclose(tiles.similarities(sides[0], sides[0]), dense[0] @ dense[0].T)
+
+
+@pytest.mark.parametrize("name", ["c7_pairwise_similarity", "c8_similarity_profile", "c11_outliers_nearest"])
+def test_sentences_are_cut_once_for_both_sizes(spark, small, name):
+    assert "Scan parquet" not in plan_of(QUERIES[name](spark, small))
