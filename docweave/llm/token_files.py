@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import string
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.bpe import KNOWN_WORDS, read_tokenizer, words_of
+from docweave.llm.bpe import KNOWN_WORDS, byte_letters, read_tokenizer, words_of
 from docweave.llm.common import shuffle_partitions, worker_memory
 
 MAGIC = b"DWT1"
@@ -23,7 +26,21 @@ SHARD_IDS = 1 << 20
 SAMPLE = 256
 # Longer words are encoded whenever they come up and not kept.
 KEPT_LETTERS = 64
-MARKS = ".,;:!?"
+# Letters and marks that the normalizers of PLAIN leave as they are, but for upper case; a run of either is one match of its pattern.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+MARKS = string.punctuation
+PLAIN = (
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+)
 
 
 class EliasFano:
@@ -141,12 +158,20 @@ def separator_of(content: str) -> str | None:
     return names[0] if names and plain and all(n.rfind(names[0][0]) == 0 for n in names) else None
 
 
+def is_plain(content: str) -> bool:
+    """Whether a file's normalizers and pattern are those of PLAIN."""
+    file = json.loads(content)
+    steps = [(file["normalizer"] or {}).get("normalizers"), (file["pre_tokenizer"] or {}).get("pretokenizers")]
+    return steps == list(PLAIN) and file["model"]["type"] == "BPE"
+
+
 def word_encoder(content: str):
     """Ids of whole texts as little-endian 32-bit integers by the tokenizers library, which is asked once for each word.
 
     Its pattern never matches across white space, nor across a letter or digit and a mark of punctuation behind it, so
-    words can be encoded one by one and without their last marks; a worker keeps the latest.  New words go to the library
-    as one text in which an added token parts them.
+    words can be encoded one by one and without their last marks; a worker keeps the latest.  New runs of letters or marks
+    go to the library's model as they are, where nothing before it could change them (``PLAIN``); other new words go to the
+    library as one text in which an added token parts them.
     """
     from tokenizers import Tokenizer
 
@@ -156,25 +181,34 @@ def word_encoder(content: str):
     known: dict[str, bytes] = worker_memory("tokenizers-" + hashlib.sha256(content.encode()).hexdigest())
     separator = separator_of(content)
     separator_id = tokenizer.token_to_id(separator) if separator else None
+    model = tokenizer.model if is_plain(content) and separator else None
+    stand_in = dict(enumerate(byte_letters()))
     folds = "Lowercase" in [n["type"] for n in (json.loads(content)["normalizer"] or {}).get("normalizers", [])]
 
     def library(texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(x.ids, "<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def modelled(piece: str) -> bytes:
+        """Ids of a run of letters in lower case or of marks."""
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(stand_in)
+        return array("I", [t.id for t in model.tokenize(letters)]).tobytes()
+
     def parts(word: str) -> tuple[str, ...]:
-        """What an ASCII word is looked up by: its letters in lower case if the file folds them, and the marks behind it."""
-        if not word.isascii():
-            return (word,)
+        """What a word is looked up by: its letters, in lower case if the file folds them, and the marks behind it."""
         stem = word.rstrip(MARKS)
-        if stem == word or not stem or not stem[-1].isalnum():
-            return (word.lower() if folds else word,)
-        return (stem.lower() if folds else stem), word[len(stem) :]
+        if not stem or not stem[-1].isalnum():
+            stem = word
+        own = stem.lower() if folds and (stem.isascii() or LETTERS(stem)) else stem
+        return (own, word[len(stem) :]) if stem != word else (own,)
 
     def spelled(new: set[str]) -> dict[str, bytes]:
         alone = [w for w in new if not separator or separator[0] in w]
         out = {w: ids.tobytes() for w, ids in zip(alone, library(alone), strict=True)}
         cut = {w: parts(w) for w in new if w not in out}
-        joined = list({p for ps in cut.values() for p in ps if p not in known})
+        pieces = {p for ps in cut.values() for p in ps if p not in known}
+        if model:
+            out.update((p, modelled(p)) for p in pieces if LETTERS(p) or not p.strip(MARKS))
+        joined = [p for p in pieces if p not in out]
         if joined:
             ids = library([separator.join(joined)])[0]
             ends = [*(np.flatnonzero(ids == separator_id) * 4).tolist(), len(ids) * 4]

@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from docweave.llm.bpe import read_tokenizer
@@ -64,3 +65,30 @@ def test_separators():
 
     assert separator_of(file("<|a|>", "<b>")) == "<|a|>"
     assert [separator_of(x) for x in (file(), file("<a>", "[b]"), file("<<a>"), file("<a>", lstrip=True))] == [None] * 4
+
+
+def test_plain_runs_go_to_the_model():
+    import tokenizers
+
+    texts = ["Übergrößen übergrößen, zzqx&&& zzqx éàü*** ×÷ a×b ªb º µ ÿŸ Σίσυφος ΣΑΣ İx é́ rock'n'roll ''' '&' _a_ Kzzq# ½! ŒUVRE qzx'"]
+    library, sent = Tokenizer.from_file(WORD_BPE), []
+
+    class Watched:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, given, **how):
+            sent.extend(given)
+            return self.inner.encode_batch_fast(given, **how)
+
+    class Factory:
+        from_str = staticmethod(lambda content: Watched(Tokenizer.from_str(content)))
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tokenizers, "Tokenizer", Factory)
+        got = word_encoder(read_tokenizer(WORD_BPE))(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not any(w in s for s in sent for w in ("über", "zzqx", "&&&", "éàü", "kzzq", "qzx")) and any("rock" in s for s in sent)
