@@ -181,25 +181,39 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def confirmed_in_tiles(pairs: DataFrame, sets: DataFrame, blocks: int, percent: int) -> DataFrame:
     """As ``confirmed``, for many pairs among few documents: ids are dealt to blocks, and a pair is settled in the tile of
-    its two blocks.  A set goes once to each tile that needs it, not once to each pair."""
+    its two blocks.  A set goes once to each tile that needs it, not once to each pair.  A task reads its tiles as a
+    stream, so that tiles of few pairs cost no call each."""
 
     def tile(column):
         return F.pmod(F.xxhash64(column, F.lit(9)), F.lit(blocks)).cast("int")
 
     dealt = checkpointed(pairs.select("a", "b", tile("a").alias("x"), tile("b").alias("y")))
-    needed = dealt.select(F.col("x").alias("u"), F.col("y").alias("v"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sent = needed.join(sets, "doc_id")
-
-    def settle(asked, held):
-        found = {i: np.frombuffer(h, np.uint64) for i, h in zip(held.doc_id, held.hashes, strict=True)}
-        keep = []
-        for a, b in zip(asked.a, asked.b, strict=True):
-            m, n = len(found[a]), len(found[b])
-            both = len(np.intersect1d(found[a], found[b], assume_unique=True))
-            keep.append(100 * both >= percent * (m + n - both))
-        return asked.loc[keep, ["a", "b"]]
-
-    return dealt.groupBy("x", "y").cogroup(sent.groupBy("u", "v")).applyInPandas(settle, "a long, b long")
+    asked = dealt.select("x", "y", "a", "b", F.lit(None).cast("binary").alias("hashes"))
+    needed = dealt.select("x", "y", F.explode(F.array("a", "b")).alias("a")).distinct()
+    held = needed.join(sets.withColumnRenamed("doc_id", "a"), "a").select("x", "y", "a", F.lit(None).cast("long").alias("b"), "hashes")
+    # Rows without a second id come first, so a tile's sets are there before its pairs.
+    sent = held.union(asked).repartition("x", "y").sortWithinPartitions("x", "y", "b")
+
+    def settle(batches):
+        found, tile = {}, None
+        for batch in batches:
+            pairs, keep = {"a": [], "b": []}, []
+            columns = [batch.column(i).to_pylist() for i in range(4)]
+            for x, y, a, b, h in zip(*columns, batch.column(4), strict=True):
+                if (x, y) != tile:
+                    found, tile = {}, (x, y)
+                if b is None:
+                    found[a] = np.frombuffer(h.as_py(), np.uint64)
+                    continue
+                m, n = len(found[a]), len(found[b])
+                both = len(np.intersect1d(found[a], found[b], assume_unique=True))
+                keep.append(100 * both >= percent * (m + n - both))
+                pairs["a"].append(a)
+                pairs["b"].append(b)
+            made = pa.RecordBatch.from_pydict(pairs, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            yield made.filter(pa.array(keep, pa.bool_()))
+
+    return sent.mapInArrow(settle, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
