@@ -23,10 +23,11 @@ MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", PIECE * 10 + b" ")
 WORD_END = re.compile(rb"[\t-\r .,;:!?]")
 # Bytes of text that are cut to words at a time, and words whose windows are hashed at a time.
 TEXT_SLICE = 1 << 22
-WINDOW_SLICE = 1 << 20
-# Distinct words, and windows, that a task holds before it passes their counts on.
+WINDOW_SLICE = 1 << 18
+# Distinct words, and windows, that a task holds before it passes their counts on, and rows that it passes on at once.
 HELD_WORDS = 250_000
-HELD_WINDOWS = 3 << 19
+HELD_WINDOWS = 3 << 18
+SENT_ROWS = 1 << 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 # A sieve holds 32 bits for each frequent phrase, 16 MB at the most; a larger set only makes it pass more windows.
@@ -234,12 +235,16 @@ def _columns(k: int) -> list[str]:
     return [f"w{i}" for i in range(k)]
 
 
-def _summed(prints: list[np.ndarray], ids: np.ndarray, at: list[np.ndarray], k: int) -> pa.RecordBatch:
-    """The distinct windows with their counts, by first word, as neighbours with equal columns take less room."""
+def _summed(prints: list[np.ndarray], ids: np.ndarray, at: list[np.ndarray], k: int) -> Iterator[pa.RecordBatch]:
+    """The distinct windows with their counts, by first word, as neighbours with equal columns take less room; in batches of
+    bounded size, as both sides hold each batch whole."""
     first, n = verified_groups(np.concatenate(prints), ids, np.concatenate(at), k)
     order = np.argsort(ids[first], kind="stable")
-    words = [_signed(ids[first[order] + j]) for j in range(k)]
-    return pa.RecordBatch.from_arrays([*words, pa.array(n[order].astype(np.int64))], [*_columns(k), "n"])
+    first, n = first[order], n[order].astype(np.int64)
+    for start in range(0, len(first), SENT_ROWS):
+        own = slice(start, start + SENT_ROWS)
+        words = [_signed(ids[first[own] + j]) for j in range(k)]
+        yield pa.RecordBatch.from_arrays([*words, pa.array(n[own])], [*_columns(k), "n"])
 
 
 def _count_windows(k: int, sieve):
@@ -258,10 +263,10 @@ def _count_windows(k: int, sieve):
                 places.append(at + start)
                 size += len(at)
                 if size >= HELD_WINDOWS:
-                    yield _summed(prints, flat, places, k)
+                    yield from _summed(prints, flat, places, k)
                     prints, places, size = [], [], 0
             if size:
-                yield _summed(prints, flat, places, k)
+                yield from _summed(prints, flat, places, k)
 
     return run
 

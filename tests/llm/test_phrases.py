@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docweave.llm import phrases as P
@@ -114,3 +115,15 @@ def test_sieve_never_stops_its_own(spark):
     sieve = P.Sieve.of(df, ["w0", "w1"])
     own = np.array([P.Windows(row).prints(2)[0] for row in pairs])
     assert sieve.passes(own).all() and sieve.passes(draw.integers(1, 1 << 62, 20_000).astype(np.uint64)).mean() < 0.01
+
+
+def test_counts_leave_in_small_batches():
+    class Every:
+        value = type("Sieve", (), {"passes": staticmethod(lambda prints: np.ones(len(prints), bool))})
+
+    ids = np.arange(1, 300_001, dtype=np.uint64)
+    ids[-1] = 0
+    batch = pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary())], ["ids"])
+    made = list(P._count_windows(2, Every)(iter([batch])))
+    assert sum(len(b) for b in made) == 299_998 and max(len(b) for b in made) <= 1 << 16
+    assert sorted(x for b in made for x in b.column("w0").to_pylist()) == list(range(1, 299_999))
