@@ -30,6 +30,9 @@ PARITIES = [f"o{i}" for i in range(PARITY_LONGS)]
 SKETCH = PACKED + PARITIES
 HUB_ROUNDS = 2
 BLOCK_DOCUMENTS = 256
+# Entries of a list on one side of a tile, and pairs of entries that a task compares at once.
+LIST_BLOCK = 1024
+PAIRS_AT_ONCE = 1 << 16
 LONG_WORD = 1024
 SEGMENT = 1 << 14
 SETS = "doc_id long, n_shingles long, set_key binary, keys array<long>, packed array<long>"
@@ -216,6 +219,86 @@ def confirmed_in_tiles(pairs: DataFrame, sets: DataFrame, blocks: int, percent:
     return sent.mapInArrow(settle, "a long, b long")
 
 
+def _partners(tile: np.ndarray, role: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(from, to): the rows that each row meets, of rows sorted by tile and role: on the diagonal the later ones of its tile,
+    elsewhere those of the other role."""
+    at = np.arange(len(tile))
+    ends = np.searchsorted(tile, tile, side="right")
+    other = np.searchsorted(2 * tile + role, 2 * tile + 1)
+    return np.where(diagonal, at + 1, np.where(role == 0, other, ends)), ends
+
+
+def pairs_in_lists(listed: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: pairs of documents that share a list, are of different components and so alike that they must be
+    confirmed; each under the first list that they share.
+
+    ``listed`` holds a row (key, size, rep, label, n, earlier, *SKETCH) for each document of a list with so many; earlier has
+    the keys of its lists before this one.  A list is cut into blocks of about 1,024 documents, and pairs of blocks are spread over tasks.  A
+    task reads its tiles as a stream and compares some of their pairs at a time, by the parities before the coordinates.
+    """
+    block = F.pmod(F.xxhash64("rep", F.lit(11)), F.col("blocks")).cast("int")
+
+    def places(block: Column, other: Column, role: Column) -> Column:
+        """Lower and upper block of a tile; on the lower side the role is 0."""
+        return F.struct(F.least(block, other).alias("ti"), F.greatest(block, other).alias("tj"), role.cast("int").alias("role"))
+
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: places(F.col("block"), other, other < F.col("block")))
+    held = ["rep", "label", "n", *SKETCH, "earlier"]
+    dealt = listed.withColumn("blocks", F.ceil(F.col("size") / LIST_BLOCK).cast("int")).withColumn("block", block).select("key", F.explode(tiles).alias("at"), *held)
+    sent = dealt.select("key", "at.*", *held).repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj", "role")
+    n_packed = len(PACKED)
+
+    def found(rows: pa.RecordBatch, tile: np.ndarray):
+        key, ti, tj, role, rep, label, n = (rows.column(i).to_numpy() for i in range(7))
+        sketches = np.stack([rows.column(7 + i).to_numpy() for i in range(len(SKETCH))], axis=1).view(np.uint64)
+        packed, odd = sketches[:, :n_packed], sketches[:, n_packed:]
+        earlier, sets = rows.column(7 + len(SKETCH)), {}
+
+        def first(i: int, j: int) -> bool:
+            for at in (i, j):
+                if at not in sets:
+                    sets[at] = frozenset(earlier[at].as_py())
+            return sets[i].isdisjoint(sets[j])
+
+        start, stop = _partners(tile, role, ti == tj)
+        many = stop - start
+        upto = np.concatenate([[0], np.cumsum(many)])
+        for low in range(0, int(upto[-1]), PAIRS_AT_ONCE):
+            number = np.arange(low, min(low + PAIRS_AT_ONCE, upto[-1]))
+            i = np.searchsorted(upto, number, side="right") - 1
+            j = start[i] + number - upto[i]
+            x, y = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            keep = (label[i] != label[j]) & (x * 100 >= y * percent)
+            i, j = i[keep], j[keep]
+            differ = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64)
+            keep = differ * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+            i, j = i[keep], j[keep]
+            same = (packed[i].view(np.uint8) == packed[j].view(np.uint8)).sum(axis=1, dtype=np.int64) - n_packed
+            keep = same >= ALIKE
+            pairs = [pair for pair in zip(i[keep].tolist(), j[keep].tolist(), strict=True) if first(*pair)]
+            if pairs:
+                i, j = np.array(pairs, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(f(rep[i], rep[j])) for f in (np.minimum, np.maximum)], ["a", "b"])
+
+    def compare(batches):
+        rest = []
+        for batch in filter(len, batches):
+            whole = pa.Table.from_batches([*rest, batch]).combine_chunks().to_batches()[0]
+            change = np.zeros(len(whole), bool)
+            for i in range(3):
+                column = whole.column(i).to_numpy()
+                change[1:] |= column[1:] != column[:-1]
+            # The last tile may go on in the next batch.
+            cut = int(np.flatnonzero(change)[-1]) if change.any() else 0
+            if cut:
+                yield from found(whole.slice(0, cut), np.cumsum(change[:cut]))
+            rest = [whole.slice(cut)]
+        if rest:
+            yield from found(rest[0], np.zeros(len(rest[0]), np.int64))
+
+    return sent.mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document.
 
@@ -264,13 +347,14 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
         return sizes & few & (matching(a, b) >= ALIKE)
 
     def open_lists(found, *carried):
-        """Entries of the lists whose documents aren't all in one component, with their labels."""
+        """Entries of the lists whose documents aren't all in one component, with their labels and the size of the list."""
         known = able if found is None else able.join(found.withColumnRenamed("node", "rep"), "rep", "left")
         label = F.col("rep") if found is None else F.coalesce("component", "rep")
         known = known.withColumn("label", label)
         thin = known.select("label", F.explode("prefix").alias("key"))
-        several = thin.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        entries = known.select("rep", "label", F.posexplode("prefix").alias("at", "key")).join(several, "key", "left_semi")
+        several = thin.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"))
+        several = several.where("x <> y").select("key", "size")
+        entries = known.select("rep", "label", F.posexplode("prefix").alias("at", "key")).join(several, "key")
         return entries.join(able.select("rep", "n", *SKETCH, *carried), "rep")
 
     links, found = None, None
@@ -291,10 +375,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
         release_shuffles(spark)
 
     listed = open_lists(found, "prefix").withColumn("earlier", F.slice("prefix", F.lit(1), F.col("at"))).drop("prefix", "at")
-    a, b = listed.alias("a"), listed.alias("b")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.label") != F.col("b.label"))
-    first = ~F.arrays_overlap("a.earlier", "b.earlier")
-    rest = a.join(b, apart & alike("a", "b") & first).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+    rest = pairs_in_lists(listed, percent)
     blocks = -(-able.count() // BLOCK_DOCUMENTS) or 1
     last = checkpointed(confirmed_in_tiles(rest, sets, blocks, percent))
     if not last.isEmpty():
