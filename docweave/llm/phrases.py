@@ -22,7 +22,7 @@ PIECE, DOCUMENT = b"\xff", b"\xfe"
 MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", PIECE * 10 + b" ")
 WORD_END = re.compile(rb"[\t-\r .,;:!?]")
 # Bytes of text that are cut to words at a time, and words whose windows are hashed at a time.
-TEXT_SLICE = 1 << 22
+TEXT_SLICE = 1 << 21
 WINDOW_SLICE = 1 << 18
 # Distinct words, and windows, that a task holds before it passes their counts on, and rows that it passes on at once.
 HELD_WORDS = 250_000
@@ -118,6 +118,9 @@ def _texts_to_ids(seed: int):
                 for words in found:
                     for w, (i, n) in words.items():
                         own[w] = (i, n + own[w][1]) if w in own else (i, n)
+                # What a worker has freed is given back at once, as two of them share an executor's memory.
+                made = rows = found = kept = ids = words = None
+                pa.default_memory_pool().release_unused()
                 if sum(map(len, counts.values())) > HELD_WORDS:
                     yield from count_rows(counts)
                     counts = {}
@@ -171,6 +174,7 @@ def verified_groups(prints: np.ndarray, ids: np.ndarray, at: np.ndarray, k: int)
     prints, at = prints[order], at[order]
     new = np.ones(len(at), bool)
     new[1:] = prints[1:] != prints[:-1]
+    del order, prints
     differs = np.zeros(len(at), bool)
     for j in range(k):
         word = ids[at + j]
@@ -238,7 +242,11 @@ def _columns(k: int) -> list[str]:
 def _summed(prints: list[np.ndarray], ids: np.ndarray, at: list[np.ndarray], k: int) -> Iterator[pa.RecordBatch]:
     """The distinct windows with their counts, by first word, as neighbours with equal columns take less room; in batches of
     bounded size, as both sides hold each batch whole."""
-    first, n = verified_groups(np.concatenate(prints), ids, np.concatenate(at), k)
+    joined = [np.concatenate(parts) for parts in (prints, at)]
+    # The slices' own parts go before the groups are sorted.
+    prints.clear()
+    at.clear()
+    first, n = verified_groups(joined.pop(0), ids, joined.pop(), k)
     order = np.argsort(ids[first], kind="stable")
     first, n = first[order], n[order].astype(np.int64)
     for start in range(0, len(first), SENT_ROWS):
@@ -260,13 +268,16 @@ def _count_windows(k: int, sieve):
                 shorter[shorter] = sieve.value.passes(windows.prints(k - 1)[shorter])
                 at = np.flatnonzero(windows.whole(k)[:own] & (shorter[:-1] & shorter[1:])[:own])
                 prints.append(windows.prints(k)[at])
-                places.append(at + start)
+                places.append((at + start).astype(np.int32))
                 size += len(at)
+                del windows, shorter, at
                 if size >= HELD_WINDOWS:
                     yield from _summed(prints, flat, places, k)
                     prints, places, size = [], [], 0
             if size:
                 yield from _summed(prints, flat, places, k)
+            flat = ids = batch = None
+            pa.default_memory_pool().release_unused()
 
     return run
 
