@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.common import release_shuffles
-from docweave.llm.near import RegionHash, words
+from docweave.llm.near import RegionHash
+from docweave.llm.word_runs import WordHashes, flat_text, runs
 from docweave.session import checkpointed
 
 # Words whose counts every task holds: the most frequent, at most this many.
@@ -25,35 +27,36 @@ BUFFER_TOKENS = 1 << 21
 BLOCK_ROWS = 128
 FAN_IN = 32
 RATE = 0.2
-SEGMENT = 1 << 14
+# Tokens whose classes are weighed at a time, so that their rows stay in a core's cache.
+AT_ONCE = 1024
 ODDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
 class Tokens:
-    """Hashes of a text's words, then of one end; words hold no white space, so a line feed stands for the end."""
+    """Hashes of texts' words, after each text one end; words hold no white space, so a line feed stands for the end."""
 
     def __init__(self):
-        self.region = RegionHash()
-        self.end = self.region(b"\n", np.array([0]), np.array([1]))
-        self.start = np.uint64(0)
+        self.hashed = WordHashes(fold=True)
+        self.end = RegionHash()(b"\n", np.array([0]), np.array([1]))
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        found, parts = words(text), []
-        for at in range(0, len(found), SEGMENT):
-            own = found[at : at + SEGMENT]
-            sizes = np.fromiter(map(len, own), np.int64, len(own)) + 1
-            ends = np.cumsum(sizes) - 1
-            parts.append(self.region(b" ".join(own), ends - sizes + 1, ends))
-        return np.concatenate([*parts, self.end])
+    def __call__(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(hashes, sizes) of some texts after the others: all their tokens, and how many each has."""
+        data, offsets = flat_text(column)
+        for i, j in runs(offsets):
+            bounds = offsets[i : j + 1] - offsets[i]
+            found, places = self.hashed(data[offsets[i] : offsets[j]], bounds[:-1])
+            ends = np.searchsorted(places, bounds[1:])
+            yield np.insert(found, ends, self.end[0]), np.diff(ends, prepend=0) + 1
 
 
-def contexts(hashes: np.ndarray) -> np.ndarray:
+def contexts(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Feature numbers of each token: the word before it, the one before that, the third before, and the last two together."""
+    at = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     before = np.concatenate([np.zeros(3, np.uint64), hashes])
-    one, two, three = before[2:-1], before[1:-2], before[: len(hashes)]
-    mixed = np.stack([one * ODDS[0], two * ODDS[1], three * ODDS[2], (one * ODDS[3]) ^ ((two + np.uint64(1)) * ODDS[4])], axis=1)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * ODDS[0]
-    return (mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    # Nothing stands before a text's first token.
+    one, two, three = (before[3 - k : 3 - k + len(hashes)] * (at >= k) for k in (1, 2, 3))
+    mixed = [one * ODDS[0], two * ODDS[1], three * ODDS[2], (one * ODDS[3]) ^ ((two + np.uint64(1)) * ODDS[4])]
+    return np.stack([(((x ^ (x >> np.uint64(29))) * ODDS[0]) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16) for x in mixed])
 
 
 class Classes:
@@ -88,9 +91,18 @@ class Classes:
 
 
 def log_softmax(weights: np.ndarray, prior: np.ndarray, features: np.ndarray) -> np.ndarray:
-    z = prior + weights[features].sum(axis=1)
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    """Logarithms of the shares of all classes for each token, a few tokens at a time."""
+    out = np.empty((features.shape[1], len(prior)), np.float32)
+    for at in range(0, len(out), AT_ONCE):
+        z = out[at : at + AT_ONCE]
+        rows = features[:, at : at + AT_ONCE]
+        np.take(weights, rows[0], axis=0, out=z, mode="clip")
+        for row in rows[1:]:
+            z += weights.take(row, axis=0, mode="clip")
+        z += prior
+        z -= z.max(axis=1, keepdims=True)
+        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return out
 
 
 class Trainer:
@@ -105,9 +117,11 @@ class Trainer:
     def step(self, features: np.ndarray, classes: np.ndarray):
         error = np.exp(log_softmax(self.weights, self.prior, features))
         error[np.arange(len(classes)), classes] -= 1
-        for column in features.T:
+        for column in features:
             order = np.argsort(column, kind="stable")
-            rows, starts, many = np.unique(column[order], return_index=True, return_counts=True)
+            ordered = column[order]
+            starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+            rows, many = ordered[starts], np.diff(np.append(starts, len(ordered)))
             gradient = np.add.reduceat(error[order], starts, axis=0)
             self.squares[rows] += (gradient * gradient).mean(axis=1, keepdims=True)
             self.weights[rows] -= RATE * gradient / np.sqrt(self.squares[rows])
@@ -131,9 +145,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(part, ["h", "c"])
 
         for batch in batches:
-            for text in batch.column(0):
-                held.append(tokens(text.as_py()))
-                size += len(held[-1])
+            for hashes, _ in tokens(batch.column(0)):
+                held.append(hashes)
+                size += len(hashes)
                 if size >= BUFFER_TOKENS:
                     yield from counted()
                     held, size = [], 0
@@ -168,19 +182,21 @@ def train(texts: DataFrame, classes) -> np.ndarray:
         features, targets, size = [], [], 0
 
         def steps():
-            f, t = np.concatenate(features), np.concatenate(targets)
+            f, t = np.concatenate(features, axis=1), np.concatenate(targets)
             for at in range(0, len(t), BATCH_TOKENS):
-                trainer.step(f[at : at + BATCH_TOKENS], t[at : at + BATCH_TOKENS])
+                trainer.step(f[:, at : at + BATCH_TOKENS], t[at : at + BATCH_TOKENS])
 
         for batch in batches:
-            for text in batch.column(0):
-                hashes = tokens(text.as_py())
-                features.append(contexts(hashes))
-                targets.append(known(hashes)[0])
-                size += len(hashes)
-                if size >= BATCH_TOKENS:
-                    steps()
-                    features, targets, size = [], [], 0
+            for hashes, sizes in tokens(batch.column(0)):
+                f, t, start = contexts(hashes, sizes), known(hashes)[0], 0
+                for end in np.cumsum(sizes).tolist():
+                    size += end - start
+                    features.append(f[:, start:end])
+                    targets.append(t[start:end])
+                    start = end
+                    if size >= BATCH_TOKENS:
+                        steps()
+                        features, targets, size = [], [], 0
         if size:
             steps()
         part = TaskContext.get().partitionId()
@@ -246,24 +262,34 @@ def score_documents(documents: DataFrame) -> DataFrame:
         logs = np.log10(known.counts + 0.5)
         part, row = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
-            out = {c: [] for c in ("row", "n_tokens", "head_known", "head_log", "gain", "rare", "times")}
-            for text in batch.column(1):
-                hashes = tokens(text.as_py())
+            at = 0
+            for hashes, sizes in tokens(batch.column(1)):
                 numbers, places = known(hashes)
-                features, gain = contexts(hashes), 0.0
-                for at in range(0, len(hashes), BATCH_TOKENS):
-                    own = numbers[at : at + BATCH_TOKENS]
-                    found = log_softmax(w, known.prior, features[at : at + BATCH_TOKENS])
-                    gain += float(found[np.arange(len(own)), own].sum(dtype=np.float64)) / math.log(10)
-                    gain -= float(shares[own].sum())
-                here = places[places >= 0]
-                rare, times = np.unique(hashes[places < 0], return_counts=True)
-                for c, x in zip(out, (part + row, len(hashes), len(here), float(logs[here].sum()), gain, rare.view(np.int64), times), strict=True):
-                    out[c].append(x)
-                row += 1
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            columns = [pa.array(x, t) for x, t in zip(out.values(), types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *out])
+                features, gains = contexts(hashes, sizes), np.empty(len(hashes))
+                for i in range(0, len(hashes), BATCH_TOKENS):
+                    own = numbers[i : i + BATCH_TOKENS]
+                    found = log_softmax(w, known.prior, features[:, i : i + BATCH_TOKENS])
+                    gains[i : i + BATCH_TOKENS] = found[np.arange(len(own)), own] / math.log(10) - shares[own]
+                starts = np.cumsum(sizes) - sizes
+                text = np.repeat(np.arange(len(sizes)), sizes)
+                here = places >= 0
+                head_log = np.where(here, logs[np.maximum(places, 0)], 0.0) if len(logs) else np.zeros(len(hashes))
+                # Other words of each text, with how often they occur there.
+                order = np.lexsort((hashes[~here], text[~here]))
+                rare, owner = hashes[~here][order], text[~here][order]
+                first = np.flatnonzero(np.append(True, (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1]))[: len(rare)])
+                ends = pa.array(np.searchsorted(owner[first], np.arange(len(sizes) + 1)).astype(np.int32))
+                lists = (rare[first].view(np.int64), np.diff(np.append(first, len(rare))))
+                columns = [
+                    batch.column(0).slice(at, len(sizes)),
+                    pa.array(part + row + np.arange(len(sizes))),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(np.add.reduceat(here.astype(np.int64), starts)),
+                    *[pa.array(np.add.reduceat(x, starts)) for x in (head_log, gains)],
+                    *[pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in lists],
+                ]
+                at, row = at + len(sizes), row + len(sizes)
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_tokens", "head_known", "head_log", "gain", "rare", "times"])
 
     schema = "doc_id long, row long, n_tokens long, head_known long, head_log double, gain double, rare array<long>, times array<long>"
     scored = checkpointed(texts.mapInArrow(run, schema))
