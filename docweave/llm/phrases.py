@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import stored, worker_memory
+from docweave.llm.common import release_shuffles, stored, worker_memory
 
 LONGEST = 5
 # Bytes that are in no UTF-8 text stand for the end of a piece and of a document.
@@ -28,6 +28,8 @@ WINDOW_SLICE = 1 << 18
 HELD_WORDS = 250_000
 HELD_WINDOWS = 3 << 18
 SENT_ROWS = 1 << 16
+# Windows are counted in so many parts by their first word, so that not all of a length lie on disk at once.
+WINDOW_BLOCKS = 2
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 # A sieve holds 32 bits for each frequent phrase, 16 MB at the most; a larger set only makes it pass more windows.
@@ -255,8 +257,11 @@ def _summed(prints: list[np.ndarray], ids: np.ndarray, at: list[np.ndarray], k:
         yield pa.RecordBatch.from_arrays([*words, pa.array(n[own])], [*_columns(k), "n"])
 
 
-def _count_windows(k: int, sieve):
-    """Arrow batches of ids to (w0 .. , n): the k-word windows of which both shorter ones pass the sieve, summed in the task."""
+def _count_windows(k: int, sieve, block: int | None = None):
+    """Arrow batches of ids to (w0 .. , n): the k-word windows of which both shorter ones pass the sieve, summed in the task.
+
+    Only windows whose first word is of the block are taken, if one is given.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,6 +272,7 @@ def _count_windows(k: int, sieve):
                 shorter = windows.whole(k - 1)
                 shorter[shorter] = sieve.value.passes(windows.prints(k - 1)[shorter])
                 at = np.flatnonzero(windows.whole(k)[:own] & (shorter[:-1] & shorter[1:])[:own])
+                at = at if block is None else at[ids[at] % np.uint64(WINDOW_BLOCKS) == block]
                 prints.append(windows.prints(k)[at])
                 places.append((at + start).astype(np.int32))
                 size += len(at)
@@ -299,6 +305,7 @@ def frequent_phrases(documents: DataFrame, least: int = 100) -> tuple[DataFrame,
         words = stored(held.where("id is not null").groupBy("id", "lang", "word").agg(F.sum("n").alias("n")), "phrase-words")
         if words.groupBy("id").count().where("count > 1").isEmpty():
             break
+    release_shuffles(spark)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = words.where(F.col("n") >= least)
     rows = held.where("id is null").select("ids")
@@ -306,8 +313,12 @@ def frequent_phrases(documents: DataFrame, least: int = 100) -> tuple[DataFrame,
     for k in range(2, LONGEST + 1):
         sieve = spark.sparkContext.broadcast(shorter)
         schema = ", ".join(f"{c} long" for c in [*_columns(k), "n"])
-        counted = rows.mapInArrow(_count_windows(k, sieve), schema).groupBy(*_columns(k)).agg(F.sum("n").alias("a"))
-        level = stored(counted.where(F.col("a") >= least), f"phrases-{k}")
+        parts = []
+        for block in range(WINDOW_BLOCKS):
+            counted = rows.mapInArrow(_count_windows(k, sieve, block), schema).groupBy(*_columns(k)).agg(F.sum("n").alias("a"))
+            parts.append(stored(counted.where(F.col("a") >= least), f"phrases-{k}"))
+            release_shuffles(spark)
+        level = reduce(DataFrame.union, parts)
         phrases.append(level.select(F.array(*_columns(k)).alias("words"), "a"))
         if k < LONGEST:
             shorter = Sieve.of(level, _columns(k))
